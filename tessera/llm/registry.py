@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality, sharding, warc
+from . import decontamination, packing, quality, secret_scan, sharding, warc
 from .common import read
 
 
@@ -30,6 +30,10 @@ def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in found}
@@ -40,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_feistel_sharding": sharding.oracle(),
         "op5_fm_index_decontamination": decontamination.oracle(),
         "op6_adaptive_quality": quality.oracle(),
+        "op10_ownership_secrets": secret_scan.oracle(),
     }
