@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality, secret_scan, sharding, warc
+from . import decontamination, html_extraction, near_duplicates, packing, quality, secret_scan, sharding, warc
 from .common import read
 
 
+def op1_dom_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op3_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.group_documents(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 

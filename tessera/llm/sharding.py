@@ -121,8 +121,8 @@ def oracle(shards: int = 40, seed: int = 7) -> str:
             v = (v >> 1) ^ (0xEDB88320 if v & 1 else 0)
         table.append(v)
     step = f"xor(crc >> 8, ([{', '.join(map(str, table))}]::BIGINT[])[1 + (xor(crc, v) & 255)])"
-    digit = "(instr('0123456789ABCDEF', h[2 * k + {}]) - 1)"
-    octets = f"list_transform(range(octet_length(encode(text))), lambda k: 16 * {digit.format(1)} + {digit.format(2)})"
+    digit = "(instr('0123456789ABCDEF', x[{}]) - 1)"
+    octets = f"list_transform(regexp_extract_all(h, '..'), lambda x: 16 * {digit.format(1)} + {digit.format(2)})"
     return f"""
 with recursive base as (
   select doc_id, coalesce(text, '') as text from documents),
