@@ -23,14 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import materialize
+from .common import among, materialize
 from .components import connected_components
 
 CHUNK, MISS = 4, 1e-6
 #: Bucket members that one task compares with as many others; larger buckets are dealt into blocks.
 BLOCK = 2000
-#: Id lists are broadcast up to this many rows (8 MB); longer ones are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def chunks(percent: int) -> int:
@@ -105,12 +103,6 @@ def index_keys(classes: DataFrame, m: int) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, f"key long, slot int, rep {id_type}")
 
 
-def _among(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
-    """Rows of ``df`` whose ``column`` is in ``ids.id`` (or is not)."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, F.col(column) == F.col("id"), how)
-
-
 def _close(edges: DataFrame, classes: DataFrame, m: int) -> DataFrame:
     """Edges (a, b) whose signatures differ in fewer than ``2 * m`` symbols."""
     sign = classes.select("rep", "signature")
@@ -151,7 +143,7 @@ def confirm(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     """Edges (a, b) whose full sets have ``100 * intersection >= percent * union``."""
     edges = materialize(edges, "pairs")
     ids = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_sets(_among(docs, ids, "doc_id"), k), "sets")
+    sets = materialize(_sets(among(docs, ids, "doc_id"), k), "sets")
     both = edges.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,4 +234,4 @@ def group_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that are near-duplicates of one with a smaller id, with all columns."""
     dropped = materialize(group_documents(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("id")).distinct(), "dropped")
-    return _among(docs, dropped, id_col, "left_anti")
+    return among(docs, dropped, id_col, "left_anti")

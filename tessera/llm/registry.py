@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, near_duplicates, packing, quality, secret_scan, sharding, warc
+from . import decontamination, html_extraction, near_duplicates, packing, quality, repeats, secret_scan, sharding, warc
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op1_dom_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op2_lyndon_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.group_documents(read(spark, sf_dir, "documents"), k=3, percent=85)
 
