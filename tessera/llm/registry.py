@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, near_duplicates, packing, quality, repeats, secret_scan, sharding, warc
+from . import decontamination, html_extraction, near_duplicates, packing, quality, repeats, secret_scan, sharding, token_shards, warc
 from .common import read
 
 
@@ -42,6 +42,10 @@ def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.materialize_order(read(spark, sf_dir, "documents"))
+
+
 def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(read(spark, sf_dir, "documents"))
 
