@@ -31,7 +31,7 @@ from .lyndon_sort import suffix_array
 
 LENGTH, GRAM, EXTEND = 50, 20, 15
 BUCKET_BYTES = 8 << 20
-FLUSH_ANCHORS = 1_500_000
+FLUSH_ANCHORS = 600_000
 #: Bytes of contexts that are suffix-sorted as one text.
 SORT_BYTES = 16_384
 _LOW = np.uint64(28)
@@ -83,9 +83,11 @@ class Pack:
 
 def _split(key: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The arrays' rows by key."""
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     key, arrays = key[order], [a[order] for a in arrays]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else []
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     for a, b in zip(first, [*first[1:], len(key)], strict=True):
         yield int(key[a]), [x[a:b] for x in arrays]
 
