@@ -5,9 +5,11 @@ differ in at most ``2 * m - 1`` symbols have a chunk with at most one different
 place of that error (a key for each chunk and left-out symbol) finds every such pair. ``m`` is the least number
 of chunks for which a pair at the similarity threshold exceeds that distance with probability ``MISS`` at most.
 
-No group is expanded into all of its pairs. First each member of a bucket is compared with the smallest
-member; linked sets form components; then only pairs of different components inside a bucket are
-compared, block by block, on their signatures. Links are confirmed on full sets of shingle hashes.
+No group is expanded into all of its pairs. First each member of a bucket is compared with the bucket's
+leader; linked sets form components; then only pairs of different components inside a bucket are
+compared. Groups of hot buckets are compared block by block in tasks that hold the full sets, and only links
+leave them; a component that a link joins is not compared again. Pairs of two documents of a group's largest
+component are never formed. Links are confirmed on full sets of shingle hashes.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from .common import among, materialize
 from .components import connected_components
 
 CHUNK, MISS = 4, 1e-6
-#: Bucket members that one task compares with as many others; larger buckets are dealt into blocks.
-BLOCK = 2000
+#: Buckets of more members are hot. Hot buckets that share members form one group, dealt into blocks of ``BLOCK`` documents;
+#: a task compares two blocks.
+HOT, BLOCK = 64, 400
 
 
 def chunks(percent: int) -> int:
@@ -160,38 +163,69 @@ def confirm(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 
 
 def _apart(members: DataFrame, m: int) -> DataFrame:
-    """Pairs of bucket members of different components with close signatures; each pair comes from its first shared key alone.
+    """Pairs of members of a small bucket, of different components, with close signatures; each pair comes from its first shared key alone.
 
-    members: (key, slot, rep, component, signature, blocks). Buckets of more than ``BLOCK`` members are dealt
-    over pairs of blocks, so a task holds two blocks at most.
+    members: (key, slot, rep, component, signature), at most ``HOT`` rows of each key.
     """
     n = CHUNK * m
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
     id_type = members.schema["rep"].dataType.simpleString()
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep")
+        symbols = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, n)
+        rep, component, slot = rows["rep"].to_numpy(), pd.factorize(rows["component"])[0], int(rows["slot"].iloc[0])
+        same = symbols[:, None, :] == symbols[None, :, :]
+        i, j = np.nonzero(np.triu(component[:, None] != component[None, :]) & (n - same.sum(2) < 2 * m))
+        eq = same[i, j].reshape(-1, m, CHUNK)
+        chunk = (eq.sum(2) >= CHUNK - 1).argmax(1)
+        at = np.arange(len(i))
+        first = chunk * CHUNK + np.where(eq[at, chunk].all(1), 0, eq[at, chunk].argmin(1)) if len(i) else at
+        return pd.DataFrame({"a": rep[i[first == slot]], "b": rep[j[first == slot]]})
+
+    return members.select("key", "slot", "rep", "component", "signature").groupBy("key").applyInPandas(pairs, f"a {id_type}, b {id_type}")
+
+
+def _hot_links(hot: DataFrame, m: int, percent: int) -> DataFrame:
+    """Links between members of hot groups that are of different components.
+
+    hot: (group, rep, component, signature, shingles). The members of a group's largest component and the others are dealt into
+    blocks of their own; a task has a block of the others and any second block.
+    """
+    n = CHUNK * m
+    id_type = hot.schema["rep"].dataType.simpleString()
+    sizes = hot.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"))
+    groups = sizes.groupBy("group").agg(F.max_by("component", "n").alias("largest"), F.max("n").alias("n_large"), (F.sum("n") - F.max("n")).alias("n_other")).filter("n_other > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    spot = F.xxhash64("rep")
+    dealt = hot.join(groups, "group").withColumns({"other": F.col("component") != F.col("largest"), "large_blocks": blocks("n_large"), "other_blocks": blocks("n_other")})
+    dealt = dealt.withColumn("own", F.when(F.col("other"), F.col("large_blocks") + F.pmod(spot, "other_blocks")).otherwise(F.pmod(spot, "large_blocks")).cast("int"))
+    mates = F.when(F.col("other"), F.sequence(F.lit(0), F.col("large_blocks") + F.col("other_blocks") - 1)).otherwise(F.sequence(F.col("large_blocks"), F.col("large_blocks") + F.col("other_blocks") - 1))
+    dealt = dealt.withColumn("mate", F.explode(mates)).withColumns({"low": F.least("own", "mate"), "high": F.greatest("own", "mate")})
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep")
         symbols = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, n)
         rep, component, own = rows["rep"].to_numpy(), pd.factorize(rows["component"])[0], rows["own"].to_numpy()
-        slot, within = int(rows["slot"].iloc[0]), bool((rows["low"] == rows["high"]).iloc[0])
-        left, right = [], []
-        for at in range(0, len(rows), 64):
-            x = slice(at, at + 64)
-            same = symbols[x, None, :] == symbols[None, :, :]
-            fine = (component[x, None] != component[None, :]) & (np.arange(len(rows))[x, None] < np.arange(len(rows))[None, :]) & (n - same.sum(2) < 2 * m)
+        sets = [_unpack(x) for x in rows["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        within = bool((rows["low"] == rows["high"]).iloc[0])
+        out: list[tuple] = []
+        for i in range(len(rows) - 1):
+            rest = slice(i + 1, None)
+            low, high = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
+            near = ((symbols[rest] != symbols[i]).sum(1) < 2 * m) & (100 * low >= percent * high)
             if not within:
-                fine &= own[x, None] != own[None, :]
-            i, j = np.nonzero(fine)
-            eq = same[i, j].reshape(-1, m, CHUNK)
-            chunk = (eq.sum(2) >= CHUNK - 1).argmax(1)
-            first = chunk * CHUNK + np.where(eq[np.arange(len(i)), chunk].all(1), 0, eq[np.arange(len(i)), chunk].argmin(1))
-            left.append(rep[i[first == slot] + at])
-            right.append(rep[j[first == slot]])
-        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+                near &= own[rest] != own[i]
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if component[i] != component[j]:
+                    both = np.sort(np.concatenate((sets[i], sets[j])))
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= percent * (len(both) - common):
+                        out.append((rep[i], rep[j]))
+                        component[component == component[j]] = component[i]
+        return pd.DataFrame(out, columns=["a", "b"]).astype({"a": rep.dtype, "b": rep.dtype})
 
-    return dealt.select("key", "slot", "rep", "component", "signature", "own", "low", "high").groupBy("key", "low", "high").applyInPandas(pairs, f"a {id_type}, b {id_type}")
+    return dealt.select("group", "rep", "component", "signature", "shingles", "own", "low", "high").groupBy("group", "low", "high").applyInPandas(links, f"a {id_type}, b {id_type}")
 
 
 def group_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,18 +241,29 @@ def group_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = materialize(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.any_value("signature").alias("signature"), F.count(F.lit(1)).alias("n")), "classes")
 
     keys = index_keys(classes, m)
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # buckets of one chunk order their members alike, those of another chunk in another way: a large group gets a leader from each chunk
+    order = F.xxhash64("rep", F.floor(F.col("slot") / CHUNK))
+    buckets = keys.groupBy("key").agg(F.min_by("rep", order).alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = materialize(keys.join(buckets, "key"), "members")
-    led = members.filter("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    led = members.filter("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
     tried = materialize(_close(led, classes, m), "tried")
     linked = materialize(confirm(tried, narrow, k, percent), "linked")
     first = materialize(connected_components(linked), "components")
 
-    labelled = members.filter("size > 2").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = first.select(F.col("node").alias("rep"), "component")
+    sign = classes.select("rep", "signature")
+    labelled = members.filter(f"size between 3 and {HOT}").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    left = labelled.join(open_keys, "key", "left_semi").join(classes.select("rep", "signature"), "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    left = labelled.join(open_keys, "key", "left_semi").join(sign, "rep")
     apart = _apart(left, m).distinct().join(tried, ["a", "b"], "left_anti")
-    more = confirm(apart, narrow, k, percent)
+
+    hot = members.filter(f"size > {HOT}").select("leader", "rep").distinct()
+    groups = connected_components(hot.filter("leader <> rep").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    groups = materialize(groups.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(sign, "rep"), "hot")
+    sets = _sets(among(narrow, groups.select(F.col("rep").alias("id")).distinct(), "doc_id"), k).dropDuplicates(["id"])
+    across = _hot_links(groups.join(sets, F.col("rep") == F.col("id")), m, percent)
+
+    more = confirm(apart, narrow, k, percent).unionByName(across)
     label = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     bridges = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
     stars = first.filter("node > component").select(F.col("component").alias("a"), F.col("node").alias("b"))

@@ -187,6 +187,7 @@ def test_near_duplicates_match_brute_force(docs, k, percent):
 
 def test_near_duplicates_cross_blocks(spark, monkeypatch):
     """A chain of neighbours: links are found between members that are not linked with the smallest one, also when buckets are dealt into blocks."""
+    monkeypatch.setattr(near_duplicates, "HOT", 3)
     monkeypatch.setattr(near_duplicates, "BLOCK", 4)
     rng = random.Random(1)
     words = [rng.choice(WORDS) + str(i) for i in range(60)]
