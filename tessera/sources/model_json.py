@@ -1,0 +1,125 @@
+"""Model database documents: JSON, plain or gzip, in and out.
+
+A document is one small JSON object of named arrays. Files are read by Spark (binaryFile), told apart by their first
+bytes, and decoded under a size cap; malformed text and invalid documents are different errors. Collections are then
+exploded into typed frames by Spark.
+"""
+
+from __future__ import annotations
+
+import gzip
+import json
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.model_db import CONTEXT, ModelDb
+
+MAX_BYTES = 100 << 20
+VERSION = "0.3.0"
+SCALAR = "struct<kind:string,num:double,str:string,bool:boolean>"
+#: The document's collections and the columns of their frames, as (name, JSON key, type).
+LOCATOR = "struct<sheet:string,cell:string,range:string,page:int,passage:string,timecode:string>"
+COLLECTIONS: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
+    "models": ("models", [("id", "id", "string"), ("name", "name", "string"), ("primary_entity_id", "primaryEntityId", "string"), ("base_currency", "baseCurrency", "string"), ("as_of", "asOf", "string"), ("current_version_id", "currentVersionId", "string"), ("version_ids", "versionIds", "array<string>"), ("default_scenario_id", "defaultScenarioId", "string")]),
+    "entities": ("entities", [("id", "id", "string"), ("type", "type", "string"), ("name", "name", "string"), ("parent_entity_id", "parentEntityId", "string")]),
+    "metrics": ("metrics", [("id", "id", "string"), ("name", "name", "string"), ("data_type", "dataType", "string"), ("unit", "unit", "string"), ("aggregation", "aggregation", "string"), ("tags", "tags", "array<string>")]),
+    "periods": ("periods", [("id", "id", "string"), ("label", "label", "string"), ("type", "type", "string"), ("start_date", "startDate", "string"), ("end_date", "endDate", "string"), ("parent_period_id", "parentPeriodId", "string")]),
+    "scenarios": ("scenarios", [("id", "id", "string"), ("name", "name", "string"), ("type", "type", "string")]),
+    "transformations": ("transformations", [("id", "id", "string"), ("output_metric_id", "outputMetricId", "string"), ("status", "status", "string"), ("expression", "expression", "string"), ("source_expressions", "sourceExpressions", "map<string,string>")]),
+    "relationships": ("relationships", [("id", "id", "string"), ("from_id", "fromId", "string"), ("type", "type", "string"), ("to_id", "toId", "string")]),
+    "source_artifacts": ("sourceArtifacts", [("id", "id", "string"), ("type", "type", "string"), ("title", "title", "string"), ("uri", "uri", "string"), ("content_hash", "contentHash", "string")]),
+    "provenance_contexts": ("provenanceContexts", [("id", "id", "string"), ("source_artifact_id", "sourceArtifactId", "string"), ("extraction_run_id", "extractionRunId", "string"), ("confidence", "confidence", "double"), ("review_status", "reviewStatus", "string")]),
+    "provenance_records": ("provenanceRecords", [("target_id", "targetId", "string"), ("context_id", "contextId", "string"), ("locator", "locator", LOCATOR), ("confidence", "confidence", "double"), ("review_status", "reviewStatus", "string")]),
+    "extraction_runs": ("extractionRuns", [("id", "id", "string"), ("source_artifact_ids", "sourceArtifactIds", "array<string>"), ("status", "status", "string"), ("extractor", "extractor", "string"), ("model_version_id", "modelVersionId", "string")]),
+    "unresolved_items": ("unresolvedItems", [("id", "id", "string"), ("model_id", "modelId", "string"), ("category", "category", "string"), ("description", "description", "string"), ("current_treatment", "currentTreatment", "string"), ("impact", "impact", "string"), ("next_action", "nextAction", "string"), ("target_id", "targetId", "string"), ("locator", "locator", LOCATOR), ("attention_level", "attentionLevel", "string"), ("action_owner", "actionOwner", "string"), ("status", "status", "string")]),
+}
+
+
+class MalformedJson(ValueError):
+    """The text is not JSON."""
+
+
+class InvalidDocument(ValueError):
+    """The JSON is not a model database of the supported version."""
+
+
+def decode(content: bytes, cap: int = MAX_BYTES) -> str:
+    """Text of a file's bytes; gzip is known by its first two bytes, not by the name."""
+    if content[:2] == b"\x1f\x8b":
+        reader = zlib.decompressobj(31)
+        content = reader.decompress(content, cap + 1)
+    if len(content) > cap:
+        raise InvalidDocument(f"more than {cap} bytes")
+    return content.decode()
+
+
+def parse_document(text: str) -> dict:
+    try:
+        document = json.loads(text)
+    except json.JSONDecodeError as error:
+        raise MalformedJson(str(error)) from error
+    if not isinstance(document, dict) or document.get("schemaVersion") != VERSION:
+        raise InvalidDocument(f"schemaVersion must be {VERSION}")
+    if not isinstance(document.get("dataset"), dict):
+        raise InvalidDocument("dataset is missing")
+    for _, (key, _) in COLLECTIONS.items():
+        if not isinstance(document.get(key, []), list):
+            raise InvalidDocument(f"{key} must be an array")
+    return document
+
+
+def _tagged(value: object) -> dict:
+    kind = "null" if value is None else "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
+    return {"kind": kind, "num": float(value) if kind == "number" else None, "str": value if kind == "string" else None, "bool": value if kind == "boolean" else None}
+
+
+def from_document(spark: SparkSession, document: dict) -> ModelDb:
+    """Frames of a parsed document; ``ord`` keeps declaration order."""
+    frames: dict[str, DataFrame] = {}
+    for name, (key, columns) in COLLECTIONS.items():
+        rows = [(i, *(r.get(k) for _, k, _ in columns)) for i, r in enumerate(document.get(key, []))]
+        frames[name] = spark.createDataFrame(rows, ", ".join(["ord long", *(f"{c} {t}" for c, _, t in columns)]))
+    points, series = [], []
+    for s, item in enumerate(document.get("observationSeries", [])):
+        context = [item.get(k) for k in ("modelId", "metricId", "entityId", "asOf", "versionId")]
+        series.append((s, *context))
+        for p in item.get("points", []):
+            points.append((len(points), *context, p["id"], p.get("periodId"), p.get("scenarioId"), p.get("actuality"), *_tagged(p.get("value")).values(), p.get("valueType"), p.get("transformationId")))
+    context = ", ".join(f"{c} string" for c in CONTEXT)
+    frames["series"] = spark.createDataFrame(series, f"series_ord long, {context}")
+    frames["observations"] = spark.createDataFrame(points, f"ord long, {context}, id string, period_id string, scenario_id string, actuality string, kind string, num double, str string, bool boolean, value_type string, transformation_id string")
+    frames["model_versions"] = frames["models"].select(F.col("id").alias("model_id"), F.explode("version_ids").alias("version_id"))
+    frames["transformation_sources"] = frames["transformations"].select(F.col("id").alias("transformation_id"), F.explode("source_expressions").alias("period_id", "formula"))
+    for name in ("provenance_records", "unresolved_items"):
+        frames[name] = frames[name].withColumns({"sheet": F.col("locator.sheet"), "cell": F.col("locator.cell")})
+    shown, metrics = [], []
+    for p, item in enumerate(document.get("tablePresentations", [])):
+        name = item.get("id") or f"presentation_{p}"
+        shown.append((p, name, item.get("title"), item.get("modelId"), (item.get("sourceLocator") or {}).get("sheet")))
+        for section in item.get("sections", []):
+            metrics.extend((len(metrics) + i, name, section.get("id"), m, (section.get("metricParentIds") or {}).get(m)) for i, m in enumerate(section.get("metricIds", [])))
+    frames["presentations"] = spark.createDataFrame(shown, "ord long, id string, title string, model_id string, sheet string")
+    frames["presentation_metrics"] = spark.createDataFrame(metrics, "ord long, presentation_id string, section_id string, metric_id string, parent_id string")
+    return ModelDb(frames)
+
+
+def read_model(spark: SparkSession, path: str, cap: int = MAX_BYTES) -> ModelDb:
+    """The database of one JSON or gzip file."""
+    row = spark.read.format("binaryFile").load(path).select("content").head()
+    if row is None:
+        raise InvalidDocument("no file")
+    return from_document(spark, parse_document(decode(bytes(row["content"]), cap)))
+
+
+def encode_gzip(document: dict) -> bytes:
+    """The document as gzip JSON with a line feed at the end; the same bytes each time."""
+    return gzip.compress((json.dumps(document, ensure_ascii=False) + "\n").encode(), mtime=0)
+
+
+def write_observations(observations: DataFrame, path: str) -> None:
+    """Observation series as JSON lines, gzip, one series a line: a sink for databases of any size."""
+    from ..plans.model_db import group_series
+
+    group_series(observations).withColumn("points", F.expr("transform(points, p -> named_struct('id', p.id, 'periodId', p.period_id, 'scenarioId', p.scenario_id, 'actuality', p.actuality, 'value', coalesce(to_json(p.num), p.str, to_json(p.bool)), 'valueType', p.value_type, 'transformationId', p.transformation_id))")).select(F.to_json(F.struct(F.col("model_id").alias("modelId"), F.col("metric_id").alias("metricId"), F.col("entity_id").alias("entityId"), F.col("as_of").alias("asOf"), F.col("version_id").alias("versionId"), "points")).alias("value")).write.text(path, compression="gzip")
