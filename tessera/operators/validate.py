@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions
-from ..plans.model_db import CONTEXT, ModelDb, value_matches
+from ..plans.model_db import CONTEXT, ModelDb, period_key, value_matches
+from .hierarchy import parent_cycles, parent_issues
 
 
 def _found(df: DataFrame, code: str, field: str, object_id: str | Column = "id") -> DataFrame:
@@ -164,6 +165,100 @@ def presentation_metric_not_visible(db: ModelDb) -> DataFrame:
     return _found(shown.join(seen, ["model_id", "metric_id"], "left_anti"), "presentation.metric_not_visible", "metricIds", F.concat_ws("/", "presentation_id", "metric_id"))
 
 
+def presentation_duplicate_id(db: ModelDb) -> DataFrame:
+    return _found(_repeated(db.presentations, ["id"]), "presentation.duplicate_id", "id")
+
+
+def presentation_duplicate_section(db: ModelDb) -> DataFrame:
+    """Section ids are global: a section of a later presentation that an earlier one has."""
+    sections = db.presentation_metrics.groupBy("presentation_id", "section_id").agg(F.min("ord").alias("ord"))
+    return _found(_repeated(sections, ["section_id"]), "presentation.duplicate_section", "sections", "section_id")
+
+
+def presentation_parents(db: ModelDb) -> DataFrame:
+    """Display parents that are not in the section, or do not stand before their child."""
+    items = db.presentation_metrics.select(F.concat_ws("/", "presentation_id", "section_id").alias("group"), F.col("ord").alias("pos"), F.col("metric_id").alias("id"), "parent_id")
+    issues = parent_issues(items)
+    code = F.when(F.col("issue") == "unknown_parent", "presentation.parent_unknown").otherwise("presentation.parent_order")
+    return issues.select(code.alias("code"), F.concat_ws("/", "group", "id").alias("object_id"), F.lit("metricParentIds").alias("field"))
+
+
+def presentation_names(db: ModelDb) -> DataFrame:
+    """Where a model has several presentations, each needs an id and a title. Unnamed ones have an id made from their place."""
+    several = db.presentations.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("model_id"))).filter("_n > 1")
+    no_id = _found(several.filter(F.col("id") == F.concat(F.lit("unnamed_presentation_"), "ord")), "presentation.id_required", "id")
+    return no_id.unionByName(_found(several.filter("title is null"), "presentation.title_required", "title"))
+
+
+def presentation_missing(db: ModelDb) -> DataFrame:
+    """Models without a presentation: a fallback if an open item says so, else missing."""
+    bare = db.models.join(db.presentations.select(F.col("model_id").alias("id")), "id", "left_anti").select("id")
+    # an item without a model speaks for all of them
+    said = db.unresolved_items.filter("status = 'open' and category = 'presentation'").select(F.coalesce("model_id", F.lit("*")).alias("_model"), F.lit(1).alias("_one")).distinct()
+    j = bare.withColumn("_model", F.explode(F.array("id", F.lit("*")))).join(said, "_model", "left").groupBy("id").agg(F.count("_one").alias("n"))
+    return j.select(F.when(F.col("n") > 0, "presentation.fallback").otherwise("presentation.missing").alias("code"), F.col("id").alias("object_id"), F.lit("tablePresentations").alias("field"))
+
+
+def transformation_opaque(db: ModelDb) -> DataFrame:
+    """Opaque formulas: a warning if an open formula action points at them or their metric, else an error."""
+    opaque = db.transformations.filter("status = 'opaque'").select("id", "output_metric_id")
+    acted = db.unresolved_items.filter("status = 'open' and category = 'formula' and attention_level = 'action_required'").select(F.col("target_id").alias("_t")).distinct()
+    either = opaque.select("id", F.explode(F.array("id", "output_metric_id")).alias("_t")).join(acted, "_t", "left_semi").select("id").distinct().withColumn("_has", F.lit(True))
+    j = opaque.join(either, "id", "left")
+    return j.select(F.when(F.col("_has"), "transformation.opaque").otherwise("transformation.opaque_action_required").alias("code"), F.col("id").alias("object_id"), F.lit("status").alias("field"))
+
+
+def formula_edges(db: ModelDb) -> DataFrame:
+    """(model_id, from_metric, from_period, to_metric, to_period): cells and the cells they read, on each model's own axis of periods by type."""
+    rows = db.transformations.filter("status = 'supported'").select("id", "output_metric_id", "expression").collect()
+    refs = [(r["id"], r["output_metric_id"], x.metric_id, x.offset, x.period_id) for r in rows for x in expressions.analyze(r["expression"]).references]
+    table = db.observations.sparkSession.createDataFrame(refs, "transformation_id string, from_metric string, to_metric string, offset int, named string")
+    seen = db.observations.select("model_id", "period_id").distinct().join(db.periods.select(F.col("id").alias("period_id"), "type", period_key().alias("key")), "period_id")
+    axis = seen.withColumn("pos", F.row_number().over(Window.partitionBy("model_id", "type").orderBy("key", "period_id")))
+    cells = db.observations.filter("transformation_id is not null").select("model_id", "transformation_id", F.col("period_id").alias("from_period")).distinct().join(F.broadcast(table), "transformation_id")
+    here = axis.select("model_id", "type", F.col("period_id").alias("from_period"), "pos")
+    there = axis.select("model_id", "type", F.col("period_id").alias("moved"), F.col("pos").alias("target"))
+    placed = cells.join(here, ["model_id", "from_period"], "left").withColumn("target", F.col("pos") + F.col("offset")).join(there, ["model_id", "type", "target"], "left")
+    return placed.select("model_id", "from_metric", "from_period", "to_metric", F.coalesce("named", "moved").alias("to_period")).filter("to_period is not null").distinct()
+
+
+def transformation_cycle(db: ModelDb) -> DataFrame:
+    """Cells on or above a cycle of formulas: cells that read none of the rest are trimmed until nothing changes."""
+    edges = formula_edges(db).select(F.concat_ws("/", "model_id", "from_metric", "from_period").alias("a"), F.concat_ws("/", "model_id", "to_metric", "to_period").alias("b")).checkpoint()
+    n = edges.count()
+    while n:
+        edges = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b").checkpoint()
+        left = edges.count()
+        if left == n:
+            break
+        n = left
+    return _found(edges.select("a").distinct(), "transformation.cycle", "expression", "a")
+
+
+def component_cycle(db: ModelDb) -> DataFrame:
+    parents = db.relationships.filter("type = 'component_of'").groupBy(F.col("from_id").alias("id")).agg(F.min_by("to_id", "ord").alias("parent_id"))
+    return _found(parent_cycles(parents), "relationship.component_cycle", "relationships", "cycle")
+
+
+def decision_change_value_type(db: ModelDb) -> DataFrame:
+    return _found(db.decision_changes.filter("before_kind <> after_kind"), "decision_change.value_type", "after")
+
+
+def extraction_run_open_attention(db: ModelDb) -> DataFrame:
+    """Runs reported as completed while an open item is traced to them."""
+    traced = db.unresolved_items.filter("status = 'open'").select(F.explode(F.array("id", "target_id")).alias("target_id")).filter("target_id is not null")
+    runs = db.provenance_records.join(traced, "target_id", "left_semi").join(db.provenance_contexts.select(F.col("id").alias("context_id"), "extraction_run_id"), "context_id").select(F.col("extraction_run_id").alias("id")).distinct()
+    return _found(db.extraction_runs.filter("status = 'completed'").join(runs, "id", "left_semi"), "extraction_run.open_attention", "status")
+
+
+def open_items(db: ModelDb) -> DataFrame:
+    """A warning for each open item that no presentation or opaque rule reports."""
+    opaque = db.transformations.filter("status = 'opaque'").select(F.explode(F.array("id", "output_metric_id")).alias("target_id")).distinct()
+    said = db.unresolved_items.filter("category = 'formula' and attention_level = 'action_required'").join(opaque, "target_id", "left_semi").select("id")
+    rest = db.unresolved_items.filter("status = 'open' and category <> 'presentation'").join(said, "id", "left_anti")
+    return rest.select(F.concat(F.lit("unresolved."), "attention_level").alias("code"), F.col("id").alias("object_id"), F.lit("status").alias("field"))
+
+
 #: Each rule with the collections it needs.
 RULES: list[tuple[Callable[[ModelDb], DataFrame], set[str]]] = [
     (references, {"observations", "metrics", "models", "entities", "periods", "transformations"}),
@@ -191,6 +286,17 @@ RULES: list[tuple[Callable[[ModelDb], DataFrame], set[str]]] = [
     (presentation_duplicate_metric, {"presentation_metrics"}),
     (presentation_metric_not_visible, {"observations", "presentations", "presentation_metrics", "metrics"}),
     (unresolved_repair_required, {"unresolved_items"}),
+    (presentation_duplicate_id, {"presentations"}),
+    (presentation_duplicate_section, {"sections"}),
+    (presentation_parents, {"sections"}),
+    (presentation_names, {"sections"}),
+    (presentation_missing, {"sections", "models", "unresolved_items"}),
+    (transformation_opaque, {"sections", "transformations", "unresolved_items"}),
+    (transformation_cycle, {"observations", "transformations", "periods"}),
+    (component_cycle, {"relationships"}),
+    (decision_change_value_type, {"decision_changes"}),
+    (extraction_run_open_attention, {"extraction_runs", "unresolved_items", "provenance_records", "provenance_contexts"}),
+    (open_items, {"sections", "transformations", "unresolved_items"}),
 ]
 
 

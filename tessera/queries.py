@@ -318,5 +318,5 @@ def _rule(rule: Callable[[ModelDb], DataFrame]) -> Callable[[SparkSession, str],
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [observations_flatten, series_regroup, metric_series_asof, metric_series_early, financial_table_long, financial_table_wide, period_types, model_overview, entities_with_data, period_modes, metric_search, object_index, relationships_both_ways, period_axis, resolve_inputs, direct_dependents, transitive_dependents, eval_net_revenue, eval_all, edit_propagation, metric_hierarchy, forest_depth, parent_issues, component_cycles, hidden_ranges, expr_arithmetic, expr_round, expr_mod, expr_minmax, expr_when, locator_parse, formula_kind, number_format, unique_lookup, transformation_dedup, context_ids, function_histogram, sum_if, history_fold, shared_formula_shift, provenance_resolved, unreviewed_counts, attention_queue, attention_by_owner, navigation_target]
-    rules = {f"validate_{rule.__name__}": _rule(rule) for rule, _ in validate.RULES if rule.__name__ != "series_duplicate"}
+    rules = {f"validate_{rule.__name__}": _rule(rule) for rule, needs in validate.RULES if not needs & {"series", "sections", "decision_changes", "extraction_runs"} and rule.__name__ not in ("presentation_duplicate_id", "component_cycle", "transformation_cycle")}
     return {f.__name__: f for f in plain} | rules

@@ -96,11 +96,14 @@ def from_document(spark: SparkSession, document: dict) -> ModelDb:
         frames[name] = frames[name].withColumns({"sheet": F.col("locator.sheet"), "cell": F.col("locator.cell")})
     shown, metrics = [], []
     for p, item in enumerate(document.get("tablePresentations", [])):
-        name = item.get("id") or f"presentation_{p}"
+        name = item.get("id") or f"unnamed_presentation_{p}"
         shown.append((p, name, item.get("title"), item.get("modelId"), (item.get("sourceLocator") or {}).get("sheet")))
         for section in item.get("sections", []):
             metrics.extend((len(metrics) + i, name, section.get("id"), m, (section.get("metricParentIds") or {}).get(m)) for i, m in enumerate(section.get("metricIds", [])))
     frames["presentations"] = spark.createDataFrame(shown, "ord long, id string, title string, model_id string, sheet string")
+    frames["sections"] = spark.createDataFrame([(p.get("modelId"), x.get("id"), x.get("title")) for p in document.get("tablePresentations", []) for x in p.get("sections", [])], "model_id string, id string, title string")
+    changes = [(c["id"], c.get("decisionId"), c.get("metricId"), c.get("periodId"), _tagged(c.get("before"))["kind"], _tagged(c.get("after"))["kind"]) for c in document.get("decisionChanges", [])]
+    frames["decision_changes"] = spark.createDataFrame(changes, "id string, decision_id string, metric_id string, period_id string, before_kind string, after_kind string")
     frames["presentation_metrics"] = spark.createDataFrame(metrics, "ord long, presentation_id string, section_id string, metric_id string, parent_id string")
     return ModelDb(frames)
 
