@@ -8,9 +8,6 @@ the leftmost bin with room in O(log bins).
 
 from __future__ import annotations
 
-import base64
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,70 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import vec
+from .tokens import encoder, with_end
+
 LENGTH = 1024
 GROUP_DOCS = 4096
-CACHE = 400_000
-_ODD_SPACE = re.compile(r" \s|\s ")
-
-
-def vocabulary(name: str) -> str:
-    """Path of a public vocabulary file on this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-class Encoder:
-    """Ids of the 50,257-entry byte-level BPE.
-
-    The split pattern always breaks before a single space between two visible characters, so a text is
-    encoded chunk by chunk with a cache of chunks; texts with other spacing are encoded whole. The rank file
-    holds the same vocabulary as the JSON file; the JSON one is used for texts that hold a special token's
-    string, which it alone recognises.
-    """
-
-    def __init__(self, ranks: str = "byte_bpe_50k.tiktoken", full: str = "byte_bpe_50k.json", special: str = "<|endoftext|>"):
-        import public_tokenizers
-        import tiktoken
-
-        with open(vocabulary(ranks), "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode_plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.special, self.full, self.json = special, full, None
-        self.cache: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        if self.special in text:
-            if self.json is None:
-                os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-                from tokenizers import Tokenizer
-
-                self.json = Tokenizer.from_file(vocabulary(self.full))
-            return self.json.encode(text, add_special_tokens=False).ids
-        if _ODD_SPACE.search(text):
-            return self.encode_plain(text)
-        ids: list[int] = []
-        cache, lead = self.cache, ""
-        for word in text.split(" "):
-            word, lead = lead + word, " "
-            found = cache.get(word)
-            if found is None:
-                found = self.encode_plain(word)
-                if len(word) < 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[word] = found
-            ids += found
-        return ids
-
-
-_encoder: list[Encoder] = []
-
-
-def encoder() -> Encoder:
-    if not _encoder:
-        _encoder.append(Encoder())
-    return _encoder[0]
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -92,22 +30,21 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = 0, id_col: str =
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()
+        encode = encoder().encode_block
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1)
-            rows: list[tuple] = []
-            size = 0
-            for i in range(batch.num_rows):
-                ids = np.append(np.array(encode(texts[i].as_py() or ""), np.uint32), np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), length):
-                    raw = ids[start : start + length].tobytes()
-                    rows.append((i, start, len(raw) // 4, zlib.crc32(raw), len(ids), *([raw] if with_ids else [])))
-                    size += len(raw) if with_ids else 40
-                if size > 4 << 20 or i == batch.num_rows - 1:
-                    at, *cols = zip(*rows, strict=True)
-                    arrays = [doc_ids.take(pa.array(at)), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.binary()) for c in cols[4:])]
-                    yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
-                    rows, size = [], 0
+            doc_ids = batch.column(0)
+            for begin, _, buf, offs in vec.text_blocks(batch.column(1)):
+                ids, first = with_end(*encode(buf, offs), end_id)
+                raw = ids.astype("<u4").tobytes()
+                sizes = np.diff(first)
+                n = -(-sizes // length)
+                text = np.repeat(np.arange(len(sizes)), n)
+                start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * length
+                size = np.minimum(sizes[text] - start, length)
+                at = (4 * (first[text] + start)).tolist()
+                cut = [raw[a : a + 4 * s] for a, s in zip(at, size.tolist(), strict=True)]
+                arrays = [doc_ids.take(pa.array(begin + text)), pa.array(start), pa.array(size), pa.array(map(zlib.crc32, cut), pa.int64()), pa.array(sizes[text])]
+                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cut, pa.binary())] if with_ids else [])], names + ["ids"] * with_ids)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
