@@ -32,6 +32,8 @@ from .lyndon_sort import suffix_array
 LENGTH, GRAM, EXTEND = 50, 20, 15
 BUCKET_BYTES = 8 << 20
 FLUSH_ANCHORS = 600_000
+#: Bytes of text whose anchors are found at once; the arrays for that take about 100 times as much.
+ANCHOR_BYTES = 1 << 20
 #: Bytes of contexts that are suffix-sorted as one text.
 SORT_BYTES = 16_384
 _LOW = np.uint64(28)
@@ -125,7 +127,7 @@ def send_anchors(texts: DataFrame, n: int) -> DataFrame:
 
         for batch in batches:
             ids, parts = batch.column("doc_id").to_numpy(), batch.column("part").to_numpy()
-            for begin, _, buf, offs in vec.text_blocks(batch.column("text")):
+            for begin, _, buf, offs in vec.text_blocks(batch.column("text"), ANCHOR_BYTES):
                 hashes, text, start, _, _ = anchors(buf, offs)
                 if len(hashes):
                     held.append([hashes, start - offs[text], ids[begin + text], parts[begin + text]])
@@ -176,7 +178,7 @@ def send_contexts(texts: DataFrame, found: DataFrame, n: int) -> DataFrame:
             ids = docs.column("doc_id").to_numpy()
             has = np.flatnonzero(np.isin(ids, known))
             docs, ids = docs.take(pa.array(has)), ids[has]
-            for begin, _, buf, offs in vec.text_blocks(docs.column("text")):
+            for begin, _, buf, offs in vec.text_blocks(docs.column("text"), ANCHOR_BYTES):
                 hashes, text, start, last, place = anchors(buf, offs)
                 if not len(hashes):
                     continue

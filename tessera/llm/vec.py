@@ -45,8 +45,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def text_blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of consecutive rows; null counts as empty."""
+def text_blocks(column: pa.Array | pa.ChunkedArray, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of consecutive rows, about ``size`` bytes each; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -61,7 +61,7 @@ def text_blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int,
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        end = int(np.searchsorted(offs, offs[at] + BLOCK_BYTES, "right")) - 1
+        end = int(np.searchsorted(offs, offs[at] + (size or BLOCK_BYTES), "right")) - 1
         end = min(max(end, at + 1), at + MAX_DOCS, len(column))
         yield at, end, raw[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
         at = end
