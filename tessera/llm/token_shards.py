@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .common import shared_path
-from .sharding import ROUNDS, PRIME, radices, round_keys
+from .sharding import PRIME, ROUNDS, radices, round_keys
 from .tokens import encoder, with_end
 
 LENGTH, SLOTS = 1024, 8192
@@ -92,8 +92,11 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, slots: int =
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(x) for x in _sequences(batches, length, end_id))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+        n = 0
+        for batch in batches:
+            for _, _, buf, offs in vec.text_blocks(batch.column(1)):
+                n += int(encoder().encode_block(buf, offs)[1][-1]) + len(offs) - 1
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-n // length)], pa.int64())], ["part", "n"])
 
     # one row for each input partition
     counted = {r["part"]: r["n"] for r in narrow.mapInArrow(count, "part int, n long").collect()}

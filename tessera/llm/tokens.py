@@ -2,7 +2,8 @@
 
 The split pattern of this vocabulary always breaks where a run of white space begins after a visible
 character, so a text is a sequence of chunks (white space and the visible characters after it) that are
-encoded on their own. Each distinct chunk of a block is looked up once. Texts with white space beyond ASCII, or with a
+encoded on their own. The distinct chunks of a block are encoded in one call and cut apart by the
+lengths of their ids. Texts with white space beyond ASCII, or with a
 special token's string, are encoded whole.
 """
 
@@ -16,9 +17,6 @@ import numpy as np
 
 from . import vec
 
-#: Most chunks that a task remembers.
-CACHE = 300_000
-
 
 def vocabulary_path(name: str) -> str:
     """Path of a public vocabulary file on this machine."""
@@ -44,13 +42,14 @@ class Encoder:
 
         with open(vocabulary_path(ranks), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        self.size = np.zeros(max(table.values()) + 1, np.int64)
+        self.size[list(table.values())] = [len(k) for k in table]
         self.special, self.full, self.json = special.encode(), full, None
-        self.cache: dict[int, list[int]] = {}
 
     def whole(self, raw: bytes) -> list[int]:
         if self.special not in raw:
-            return self.plain(raw.decode())
+            return self.plain.encode_ordinary(raw.decode())
         if self.json is None:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
@@ -69,24 +68,32 @@ class Encoder:
         begins[offs[:-1][np.diff(offs) > 0]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(buf))
-        unique, index, which = np.unique(vec.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        raw, cache = buf.tobytes(), self.cache
-        found = [cache.get(h) for h in unique.tolist()]
-        for k, ids in enumerate(found):
-            if ids is None:
-                chunk = raw[starts[index[k]] : ends[index[k]]]
-                found[k] = ids = self.plain(chunk.decode())
-                if len(chunk) < 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[int(unique[k])] = ids
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        _, index, which = np.unique(vec.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        # the distinct chunks one after the other; a line feed goes before those that do not begin with white space,
+        # and those of white space alone (at the end of a text) are encoded by themselves
+        at, size = starts[index], (ends - starts)[index]
+        alone = np.flatnonzero(space[at + size - 1])
+        blanks = [self.plain.encode_ordinary(buf[at[k] : at[k] + size[k]].tobytes().decode()) for k in alone]
+        size[alone] = 0
+        bare = ((size > 0) & ~space[at]).astype(np.int64)
+        place = np.cumsum(size + bare) - size
+        joined = np.full(int((size + bare).sum()), 10, np.uint8)
+        inner = np.arange(int(size.sum()))
+        before = np.cumsum(size) - size
+        joined[np.repeat(place - before, size) + inner] = buf[np.repeat(at - before, size) + inner]
+        flat = np.array(self.plain.encode_to_numpy(joined.tobytes().decode()), np.uint32)
+        last = np.cumsum(self.size[flat])
+        low = np.searchsorted(last, place, "right")
+        sizes = np.where(size > 0, np.searchsorted(last, place + size, "left") + 1 - low, 0)
+        for k, blank in zip(alone, blanks, strict=True):
+            low[k], sizes[k] = len(flat), len(blank)
+            flat = np.append(flat, np.array(blank, np.uint32))
         which = which.ravel()
-        size = sizes[which]
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        first = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(starts, offs)]
+        count = sizes[which]
+        ids = flat[np.repeat(low[which] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        first = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(starts, offs)]
 
+        raw = buf.tobytes()
         odd = np.unique(np.searchsorted(offs, _wide_space(buf), "right") - 1).tolist()
         at = raw.find(self.special)
         while at >= 0:
