@@ -41,9 +41,16 @@ def among(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") ->
     return df.join(F.broadcast(ids) if small else ids, F.col(column) == F.col("id"), how)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep what goes between Spark and Python tasks small: texts may be long, and a default batch of 10,000 of them is not."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

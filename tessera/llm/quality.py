@@ -119,7 +119,8 @@ def limits(sketch: DataFrame) -> DataFrame:
 
 def judge(counted: DataFrame, sketch: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``counted`` with boolean columns ``_base_failed`` and ``_kept``."""
-    found = limits(sketch)
+    # a small file of known size, so Spark plans the joins as broadcasts while it is under the threshold, and texts stay where they are
+    found = materialize(limits(sketch), "limits")
     # one row for each (language, source): Spark broadcasts it while it is under its size threshold, and joins by shuffle beyond
     level = {i: found.filter((F.col("level") == i) & (F.col("rows") >= (0 if i == 3 else MIN_ROWS))).select(F.col("lang").alias(f"_l{i}"), F.col("source").alias(f"_s{i}"), F.struct(*LEAST_SPREAD).alias(f"_m{i}")) for i in (0, 1, 3)}
     lang, source = F.coalesce(F.col(lang_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col).cast("string"), F.lit(""))
