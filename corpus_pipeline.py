@@ -8,16 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, near_duplicates, packing, quality, secret_scan
-from tessera.llm.common import materialize, read
+from tessera.llm.common import bound_batches, materialize, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the adaptive limits of their language and source."""
+    bound_batches(spark)
     return quality.keep_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group (five words, similarity 0.8)."""
+    bound_batches(spark)
     return near_duplicates.keep_one(docs)
 
 
@@ -33,6 +35,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document in a sequence."""
+    bound_batches(spark)
     return packing.pack_documents(docs)
 
 
