@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -131,7 +132,7 @@ def parse(page: str) -> Node:
                     up = up.parent
                 if last is not None:
                     close_to(last)
-            tokens = [t.lower() for a in _ATTR.finditer(m[3]) for t in _TOKEN.findall(a[2] or a[3] or a[4] or "")][:24] if "=" in m[3] else []
+            tokens = [t.lower() for a in _ATTR.finditer(m[3]) for t in _TOKEN.findall(a[2] or a[3] or a[4] or "")] if "=" in m[3] else []
             node = Node(tag, node, tokens)
         else:
             inline += 1
@@ -182,7 +183,7 @@ def features(nodes: list[Node]) -> np.ndarray:
                 i = c.order
                 index[i], mates[i], mean[i] = j / k, k, sizes / k
                 before[i] = chars[x.children[j - 1].order] if j else -1
-            counts = {t: names.count(t) for t in set(names)} if k < 64 else {t: k / 2 for t in set(names)}
+            counts = Counter(names)
             for c in x.children:
                 same[c.order] = counts[c.tag] / k
     for i in range(n - 1, 0, -1):

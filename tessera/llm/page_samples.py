@@ -16,6 +16,9 @@ _BOILER = {
     "share": ["share", "social-links", "tags", "breadcrumbs", "meta-links", "pagination"],
 }
 
+#: Share of lists of siblings that are long (65 to 184).
+LONG = 0.03
+
 
 class _Page:
     def __init__(self, rng: np.random.Generator):
@@ -27,6 +30,10 @@ class _Page:
     def chance(self, p: float) -> bool:
         return bool(self.rng.random() < p)
 
+    def many(self, low: int, high: int) -> int:
+        """A number of siblings: now and then a long page, as flat articles, link lists and threads may have."""
+        return int(self.rng.integers(65, 185)) if self.chance(LONG) else int(self.rng.integers(low, high))
+
     def word(self) -> str:
         return "".join(self.pick([*_CONSONANTS]) + self.pick([*_VOWELS]) for _ in range(self.rng.integers(1, 4)))
 
@@ -56,7 +63,7 @@ class _Page:
             out.append(f"<h1>{title}</h1>")
             if self.chance(0.4):
                 out.append(f"<p><b>{self.keep(title + self.word())}<br>")
-        for _ in range(int(rng.choice([1, 2, 3, 5, 8, 14]))):
+        for _ in range(int(rng.integers(65, 185) if self.chance(LONG) else rng.choice([1, 2, 3, 5, 8, 14]))):
             kind = rng.random()
             if kind < 0.72:
                 text = self.keep(self.prose() if self.chance(0.85) else self.sentence(1, 6))
@@ -83,11 +90,11 @@ class _Page:
         if kind == "form":
             inner = f'<form action="/x"><p>{self.sentence()}</p><label>{self.word()}</label><input name="a"><button>{self.word()}</button></form>'
         elif kind == "share":
-            inner = self.links(int(rng.integers(2, 6)))
+            inner = self.links(self.many(2, 6))
         elif kind == "talk":
-            inner = f"<h3>{self.sentence(1, 3)}</h3>" + "".join(f'<div{self.attrs(["comment", "comment-body", "reply", "c"])}><p>{self.word().title()}</p><p>{self.prose(1, 3)}</p></div>' for _ in range(rng.integers(1, 6)))
+            inner = f"<h3>{self.sentence(1, 3)}</h3>" + "".join(f'<div{self.attrs(["comment", "comment-body", "reply", "c"])}><p>{self.word().title()}</p><p>{self.prose(1, 3)}</p></div>' for _ in range(self.many(1, 6)))
         elif kind == "side":
-            inner = f"<h3>{self.sentence(1, 4)}</h3>" + (self.links(int(rng.integers(2, 8))) if self.chance(0.6) else f"<p>{self.prose(1, 3)}</p>")
+            inner = f"<h3>{self.sentence(1, 4)}</h3>" + (self.links(self.many(2, 8)) if self.chance(0.6) else f"<p>{self.prose(1, 3)}</p>")
         else:
             inner = self.prose(1, 3) if self.chance(0.6) else f"<p>{self.prose(1, 2)}</p>" + (f'<a href="/x">{self.word()}</a>' if self.chance(0.5) else "")
         return f"<{tag}{self.attrs(_BOILER[kind])}>{inner}</{tag}>"
@@ -97,7 +104,7 @@ class _Page:
         head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{self.sentence()}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
         top, bottom = [], []
         if self.chance(0.8):
-            menu = f"<nav>{self.links(int(rng.integers(2, 9)))}</nav>" if self.chance(0.6) else f"<div{self.attrs(['menu', 'nav', 'navbar', 'top-menu'])}>{self.links(int(rng.integers(2, 9)), self.pick(['li', 'span']))}</div>"
+            menu = f"<nav>{self.links(self.many(2, 9))}</nav>" if self.chance(0.6) else f"<div{self.attrs(['menu', 'nav', 'navbar', 'top-menu'])}>{self.links(self.many(2, 9), self.pick(['li', 'span']))}</div>"
             top.append(menu if plain or self.chance(0.5) else f"<header{self.attrs(['site-header', 'masthead', 'header'])}><p>{self.sentence(1, 4)}</p>{menu}</header>")
         if plain:
             if self.chance(0.8):

@@ -298,6 +298,31 @@ def test_html_held_out_accuracy():
     assert wrong < 0.02 * right
 
 
+SAME = 20  # column of the share of siblings with the same tag
+
+
+def test_html_features_of_many_siblings():
+    nodes = dom.walk(dom.parse("<article>" + "<p>One two.</p>" * 100 + "<h2>Three</h2>" * 25 + "</article>"))
+    same = dom.features(nodes)[:, SAME]
+    assert {(x.tag, s) for x, s in zip(nodes, same) if x.parent and x.parent.tag == "article"} == {("p", 0.8), ("h2", 0.2)}
+    long = " ".join(f"util-{'xyz'[i % 3]}" for i in range(40))
+    for tag in (f'<div class="{long}" id="comments">', f'<div class="{long} comments">'):
+        node = dom.parse(f"{tag}Some text.</div>").children[0]
+        assert dom.TALK.intersection(node.tokens) == {"comments"}
+
+
+def test_html_held_out_long_pages():
+    trees, rng = html_extraction.model(), np.random.default_rng(321)
+    right = wrong = pages = 0
+    while pages < 12:
+        html, main = page_samples.labelled_page(rng)
+        nodes = dom.walk(dom.parse(html))
+        if max(len(x.children) for x in nodes) > 64:
+            got = set(html_extraction.decode(nodes, trees.predict(dom.features(nodes))))
+            right, wrong, pages = right + len(got & main), wrong + len(got ^ main), pages + 1
+    assert wrong < 0.02 * right
+
+
 def test_html_awkward_pages(spark):
     article = "<article><h1>A &amp; B</h1><p>One\n two<br>three.<p>Four, five &lt;six&gt;. Seven eight.</article>"
     pages = [(1, "u", f"<nav><ul><li><a href=/x>Home</a></ul></nav>{article}<footer>&copy; me</footer>"), (2, None, None), (3, "u", ""), (4, "u", "<p><div <<< &bogus; <!-- open"), (None, "u", "<script>var a='<p>no</p>'</script>")]
