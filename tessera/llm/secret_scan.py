@@ -3,8 +3,10 @@
 Patterns give candidates with their places; the places follow from the lengths of the matches and of the
 pieces between them. Hashes of candidate values are counted over the corpus by distinct repositories and
 owners: a value with ``EXAMPLE_OWNERS`` owners or more is a widely copied example, a value of one owner looks live.
-Live tokens of mixed letters and digits become spans of their own beside the base kinds. Repository and
-owner are columns; in the query a document stands for a repository and its source for the owner.
+Tokens of mixed letters and digits become spans of their own beside the base kinds. The query, as its SQL, takes
+tokens of one owner, where every copy of a text adds its owner. With ``distinct_texts``, as in the pipeline, all
+tokens but examples are taken, and copies of a text have one owner together. Repository and owner are columns; in
+the query a document stands for a repository and its source for the owner.
 """
 
 from __future__ import annotations
@@ -51,14 +53,21 @@ def _candidates(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumn("_cands", F.concat(*parts)).drop("_t", *(f"_m_{k}" for k in KINDS))
 
 
-def _spans(cands: DataFrame) -> DataFrame:
-    """Spans of all candidates: (_row, kind, begin, end, base, n_owners, n_repos); only token spans that are live and overlap no base span."""
+def _spans(cands: DataFrame, distinct_texts: bool = False) -> DataFrame:
+    """Spans of all candidates: (_row, kind, begin, end, base, n_owners, n_repos); only token spans that are live and overlap no base span.
+
+    distinct_texts: equal texts (``_copy``) count as one owner, the smallest, and all tokens but examples are live.
+    """
     w = Window.partitionBy("_row", "kind").orderBy("i")
-    rows = cands.select("_row", "_repo", "_owner", F.posexplode("_cands").alias("i", "c")).select("_row", "_repo", "_owner", "i", "c.*")
+    rows = cands.select("_row", "_repo", "_owner", "_copy", F.posexplode("_cands").alias("i", "c")).select("_row", "_repo", "_owner", "_copy", "i", "c.*")
     least = F.create_map(*(F.lit(x) for k, (_, _, n) in KINDS.items() for x in (k, n)))
     rows = rows.withColumn("end", F.sum((F.col("gap") + F.col("size")).cast("long")).over(w)).withColumn("begin", F.col("end") - F.col("size"))
     rows = rows.filter(F.col("value_size") >= least[F.col("kind")]).withColumn("base", F.col("kind").isin(*BASE))
-    by_owner = rows.select("value", "_owner", "_repo").distinct().groupBy("value", "_owner").agg(F.count(F.lit(1)).alias("n"))
+    if distinct_texts:  # equal texts hold the same values, so the smallest owner of a value's copies is that of the text
+        texts = rows.groupBy("value", "_copy").agg(F.min("_owner").alias("_owner"), F.min("_repo").alias("_repo"))
+    else:
+        texts = rows
+    by_owner = texts.select("value", "_owner", "_repo").distinct().groupBy("value", "_owner").agg(F.count(F.lit(1)).alias("n"))
     owners = by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
     # a widely copied value may be a hot key: Spark splits such a partition of the left side (adaptive skew join)
     rows = rows.join(owners, "value")
@@ -67,44 +76,46 @@ def _spans(cands: DataFrame) -> DataFrame:
     after = F.min(F.when(F.col("base"), F.col("begin"))).over(place.rowsBetween(1, Window.unboundedFollowing))
     rows = rows.withColumns({"_before": before, "_after": after})
     apart = F.coalesce(F.col("_before") <= F.col("begin"), F.lit(True)) & F.coalesce(F.col("_after") >= F.col("end"), F.lit(True))
-    return rows.filter(F.col("base") | (apart & (F.col("n_owners") == 1))).select("_row", "kind", "begin", "end", "base", "n_owners", "n_repos")
+    live = F.col("n_owners") < EXAMPLE_OWNERS if distinct_texts else F.col("n_owners") == 1
+    return rows.filter(F.col("base") | (apart & live)).select("_row", "kind", "begin", "end", "base", "n_owners", "n_repos")
 
 
 def _tagged(docs: DataFrame, text_col: str, repo: Column, owner: Column) -> DataFrame:
-    named = docs.withColumns({"_row": F.monotonically_increasing_id(), "_repo": repo.cast("string"), "_owner": F.coalesce(owner.cast("string"), F.lit(""))})
+    named = docs.withColumns({"_row": F.monotonically_increasing_id(), "_repo": repo.cast("string"), "_owner": F.coalesce(owner.cast("string"), F.lit("")), "_copy": F.xxhash64(text_col)})
     return _candidates(named, F.col(text_col))
 
 
-def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", distinct_texts: bool = False) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example), a row for each input row.
 
     Places are code points, end exclusive. n_live counts spans whose value has one owner, n_example those of
-    widely copied values. A null or empty text has no spans; a null owner is an owner of its own, and null repositories
+    widely copied values. ``distinct_texts`` adds n_few, the spans of more than one owner that are no examples. A null or empty text has no spans; a null owner is an owner of its own, and null repositories
     count as one; repeated rows are reported as often as they occur; an empty table gives an empty result; other columns are ignored.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"))
-    tagged = materialize(_tagged(narrow, "text", F.col("repo"), F.col("owner")).select("_row", "doc_id", "_repo", "_owner", "_cands"), "secrets")
+    tagged = materialize(_tagged(narrow, "text", F.col("repo"), F.col("owner")).select("_row", "doc_id", "_repo", "_owner", "_copy", "_cands"), "secrets")
     order = F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3)
-    mine = _spans(tagged.filter(F.size("_cands") > 0)).groupBy("_row").agg(
+    mine = _spans(tagged.filter(F.size("_cands") > 0), distinct_texts).groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("begin", order.alias("k"), "kind", "end", "base"))).alias("s"),
         *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE),
         F.count_if(F.col("n_owners") == 1).alias("n_live"),
         F.count_if(F.col("n_owners") >= EXAMPLE_OWNERS).alias("n_example"),
+        F.count_if((F.col("n_owners") > 1) & (F.col("n_owners") < EXAMPLE_OWNERS)).alias("n_few"),
     )
     text = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["begin"], x["end"])), ",")
-    found = mine.select("_row", *(f"n_{k}" for k in [*BASE, "live", "example"]), text(F.filter("s", lambda x: x["base"])).alias("base"), text(F.col("s")).alias("spans"))
+    found = mine.select("_row", *(f"n_{k}" for k in [*BASE, "live", "example", "few"]), text(F.filter("s", lambda x: x["base"])).alias("base"), text(F.col("s")).alias("spans"))
     out = tagged.select("_row", "doc_id").join(found, "_row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", *(zero(f"n_{k}") for k in BASE), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"))
+    return out.select("doc_id", *(zero(f"n_{k}") for k in BASE), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"), *([zero("n_few")] if distinct_texts else []))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", distinct_texts: bool = False) -> DataFrame:
     """``docs`` with every span (base kinds and live tokens) replaced by ``mark``; n_chars, if there, is counted anew.
 
     The scanned table is written once to the shared folder; only rows with spans are joined and rebuilt.
     """
     tagged = materialize(_tagged(docs, text_col, F.col(repo_col), F.col(owner_col)), "secrets")
-    spans = _spans(tagged.filter(F.size("_cands") > 0)).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_s"))
+    spans = _spans(tagged.filter(F.size("_cands") > 0), distinct_texts).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_s"))
     hit = tagged.filter(F.size("_cands") > 0).join(spans, "_row", "left")
     text = F.col(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))

@@ -377,6 +377,22 @@ def test_redaction(docs):
         assert r["text"] == (text if text is None else want + text[at:])
 
 
+def test_redaction_of_copied_secrets(spark):
+    """A secret in copies of one text, or in texts of two owners, is no example; one in three texts of three owners is."""
+    import corpus_pipeline
+
+    names = ["copied", "thrice", "pair", "mixed", "known"]
+    token = {k: f"{k}Q7" * 6 for k in names}
+    rows = [("copied", "a", 0), ("copied", "b", 0), ("thrice", "a", 0), ("thrice", "b", 0), ("thrice", "c", 0), ("pair", "a", 0), ("pair", "b", 1), ("mixed", "a", 0), ("mixed", "b", 0), ("mixed", "c", 1), ("known", "a", 0), ("known", "b", 1), ("known", "c", 2)]
+    text = [f"text {i} holds {token[k]} here" for k, _, i in rows]
+    df = spark.createDataFrame([(n, t, s) for n, (t, (_, s, _)) in enumerate(zip(text, rows))], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_scans(spark, df, "").collect()}
+    assert got == {n: t if k == "known" else t.replace(token[k], "[SECRET]") for n, (t, (k, _, _)) in enumerate(zip(text, rows))}
+    classes = {"copied": (1, 0, 0), "thrice": (1, 0, 0), "pair": (0, 1, 0), "mixed": (0, 1, 0), "known": (0, 0, 0)}
+    scanned = secret_scan.scan_documents(df, distinct_texts=True).collect()
+    assert {r["doc_id"]: (r["n_live"], r["n_few"], r["n_example"]) for r in scanned} == {n: classes[k] for n, (k, _, _) in enumerate(rows)}
+
+
 def test_quality_keeps_clean_documents(docs):
     kept = {r["doc_id"] for r in quality.keep_documents(docs).collect()}
     scored = {r["doc_id"]: r for r in quality.score_documents(docs).collect()}
