@@ -1,11 +1,14 @@
 """Quality rules with adaptive thresholds.
 
 Each text gets counts and four ratios (in thousandths). For each (language, source) a mergeable quantile
-sketch of every ratio is kept: a histogram whose bins keep the four leading bits of the value, so merging is
-adding counts, the size is bounded by the number of bins, and a quantile is off by an eighth at most. The
-limit of a ratio is ``median + SPREADS * max(median - lower quartile, least spread)``: the lower half of the
-group sets it, so up to half of a group may be junk. Groups of fewer than ``MIN_ROWS`` rows use the merged
-sketch of their language, and small languages that of all rows.
+sketch of every ratio is kept: a histogram whose bins keep the ``LEAD`` leading bits of the value, so merging is
+adding counts, the size is bounded by the number of bins, and a quantile is off by 1/64 at most.
+
+The limit of a ratio is ``median + SPREADS * width``, where width is how far the group's 90 % quantile lies above its
+median: at least one bin, and at most ``BOUND`` times the width of the group's language, so a source in which junk is
+more than a tenth does not set its limit by it (the language bounds itself likewise by all rows). Groups of fewer than
+``MIN_ROWS`` rows use the merged sketch of their language, and small languages that of all rows. A count is over when it
+exceeds its limit by more than the rule's slack: a few events in a short text are no evidence.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .common import materialize
+from .common import masked, materialize, unmasked
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_ROWS, SPREADS = 30, 4
-#: Least spread of each ratio, in thousandths: below it, groups count as equally clean.
-LEAST_SPREAD = {"symbols": 50, "dup_lines": 100, "repeats": 100, "word_length": 1500}
+MIN_ROWS, SPREADS, BOUND, LEAD = 30, 4, 2, 7
+#: Ratios: count, what it is divided by, and how many events beyond the limit are let pass.
+RULES = {"symbols": ("n_symbols", "n_words", 3), "dup_lines": ("n_dup_lines", "n_lines", 2), "repeats": ("n_repeat_words", "n_words", 18), "word_length": ("word_chars", "n_words", 30)}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -85,11 +88,14 @@ def with_counts(df: DataFrame, text_col: str = "text", keep_text: bool = True) -
     return df.mapInArrow(run, schema)
 
 
-def _ratios(q: Column) -> dict[str, Column]:
-    def of(a: str, b: str) -> Column:
-        return F.expr(f"(1000 * _quality.{a}) div greatest(_quality.{b}, 1)")
+def _ratio(rule: str) -> Column:
+    a, b, _ = RULES[rule]
+    return F.expr(f"(1000 * _quality.{a}) div greatest(_quality.{b}, 1)")
 
-    return {"symbols": of("n_symbols", "n_words"), "dup_lines": of("n_dup_lines", "n_lines"), "repeats": of("n_repeat_words", "n_words"), "word_length": of("word_chars", "n_words")}
+
+def _over(rule: str, limit: Column) -> Column:
+    a, b, slack = RULES[rule]
+    return F.expr(f"1000 * (_quality.{a} - {slack})") > limit * F.expr(f"greatest(_quality.{b}, 1)")
 
 
 def _base_failed() -> Column:
@@ -99,41 +105,48 @@ def _base_failed() -> Column:
 
 def sketches(counted: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, metric, bin, n): sketches of the rows that pass the base rules; merge by adding ``n``."""
-    ratios = _ratios(F.col("_quality"))
-    long = counted.filter(~_base_failed()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in ratios.items()))).alias("x"))
-    shift = "greatest(length(bin(x.v)) - 4, 0)"
+    long = counted.filter(~_base_failed()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), _ratio(m).alias("v")) for m in RULES))).alias("x"))
+    shift = f"greatest(length(bin(x.v)) - {LEAD}, 0)"
     binned = long.select("lang", "source", "x.metric", F.expr(f"shiftleft(shiftright(x.v, {shift}), {shift})").alias("bin"))
     return binned.groupBy("lang", "source", "metric", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def limits(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, rows and limit of each metric): levels 0 source, 1 language, 3 all rows."""
-    levels = sketch.cube("lang", "source", "metric", "bin").agg(F.sum("n").alias("n"), F.grouping_id().alias("g")).filter(F.col("g").isin(0, 4, 12))
-    w = Window.partitionBy("g", "lang", "source", "metric")
-    cum = levels.withColumn("cum", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, total, mid, width, step) of the sketches merged by ``keys``."""
+    by = [*keys, "metric"]
+    w = Window.partitionBy(*by)
+    merged = sketch.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    cum = merged.withColumn("cum", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
     at = lambda share: F.min(F.when(F.col("cum") * 100 >= F.col("total") * share, F.col("bin")))
-    found = cum.groupBy("g", "lang", "source", "metric").agg(at(50).alias("mid"), at(25).alias("low"), F.max("total").alias("total"))
-    spread = F.greatest(F.col("mid") - F.col("low"), F.create_map(*(F.lit(x) for kv in LEAST_SPREAD.items() for x in kv))[F.col("metric")])
-    return found.withColumn("limit", (F.col("mid") + SPREADS * spread).cast("long")).groupBy((F.col("g") / 4).cast("int").alias("level"), "lang", "source").agg(F.max("total").alias("rows"), *(F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(m) for m in LEAST_SPREAD))
+    found = cum.groupBy(*by).agg(at(50).alias("mid"), at(90).alias("high"), F.max("total").alias("total"))
+    return found.select(*by, "total", "mid", (F.col("high") - F.col("mid")).alias("width"), F.expr(f"mid div {1 << (LEAD - 1)} + 1").alias("step"))
+
+
+def limits(sketch: DataFrame) -> DataFrame:
+    """(lang, source, limit of each rule): the limits that hold for each group of the sketch."""
+    names = ("total", "mid", "width", "step")
+    level = [_quantiles(sketch, keys).withColumnsRenamed({c: f"{c}{i}" for c in names}) for i, keys in enumerate((["lang", "source"], ["lang"], []))]
+    # joins of tables of one row for each group and rule; none of them sees a document
+    df = level[0].join(level[1], ["lang", "metric"]).join(level[2], "metric")
+
+    def limit(i: int) -> Column:
+        width = F.col(f"width{i}") if i == 2 else F.least(f"width{i}", BOUND * F.greatest(f"step{i}", f"width{i + 1}"))
+        return (F.col(f"mid{i}") + SPREADS * F.greatest(f"step{i}", width)).cast("long")
+
+    held = F.when(F.col("total0") >= MIN_ROWS, limit(0)).when(F.col("total1") >= MIN_ROWS, limit(1)).otherwise(limit(2))
+    return df.withColumn("limit", held).groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(m) for m in RULES))
 
 
 def judge(counted: DataFrame, sketch: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``counted`` with boolean columns ``_base_failed`` and ``_kept``."""
-    # a small file of known size, so Spark plans the joins as broadcasts while it is under the threshold, and texts stay where they are
-    found = materialize(limits(sketch), "limits")
-    # one row for each (language, source): Spark broadcasts it while it is under its size threshold, and joins by shuffle beyond
-    level = {i: found.filter((F.col("level") == i) & (F.col("rows") >= (0 if i == 3 else MIN_ROWS))).select(F.col("lang").alias(f"_l{i}"), F.col("source").alias(f"_s{i}"), F.struct(*LEAST_SPREAD).alias(f"_m{i}")) for i in (0, 1, 3)}
-    lang, source = F.coalesce(F.col(lang_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    df = counted.withColumns({"_lang": lang, "_source": source})
-    df = df.join(level[0], (F.col("_lang") == F.col("_l0")) & (F.col("_source") == F.col("_s0")), "left")
-    df = df.join(level[1].drop("_s1"), F.col("_lang") == F.col("_l1"), "left")
-    df = df.join(F.broadcast(level[3].select("_m3")), F.lit(True), "left")  # one row
-    limit = F.coalesce(F.col("_m0"), F.col("_m1"), F.col("_m3"))
+    """``counted`` with boolean columns ``_base_failed`` and ``_kept``. A group without limits has no row that passes the base rules."""
+    # a small file of known size, so Spark plans the join as a broadcast while it is under the threshold, and texts stay where they are
+    found = materialize(limits(sketch), "limits").select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*RULES).alias("_limit"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    df = counted.join(found, (text(lang_col) == F.col("_l")) & (text(source_col) == F.col("_s")), "left")
     over = F.lit(False)
-    for m, v in _ratios(F.col("_quality")).items():
-        over = over | F.coalesce(v > limit[m], F.lit(False))
-    df = df.withColumn("_base_failed", _base_failed()).withColumn("_kept", ~F.col("_base_failed") & ~over)
-    return df.drop("_lang", "_source", "_l0", "_s0", "_l1", "_m0", "_m1", "_m3")
+    for m in RULES:
+        over = over | F.coalesce(_over(m, F.col("_limit")[m]), F.lit(False))
+    return df.withColumn("_base_failed", _base_failed()).withColumn("_kept", ~F.col("_base_failed") & ~over).drop("_l", "_s", "_limit")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -150,17 +163,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, with all of their columns. Texts are read twice and never shuffled while the limits are small."""
-    sketch = sketches(with_counts(docs.select(lang_col, source_col, text_col), text_col, keep_text=False), lang_col, source_col)
-    return judge(with_counts(docs, text_col), sketch, lang_col, source_col).filter("_kept").select(*docs.columns)
+    """The rows of ``docs`` that pass, with all of their columns whatever their names. Texts are read twice and never shuffled while the limits are small.
+
+    Null and empty texts go; null languages and sources form groups of their own; repeated rows are judged alike;
+    an empty table stays empty.
+    """
+    df, name = masked(docs)
+    text, lang, source = name[text_col], name[lang_col], name[source_col]
+    sketch = materialize(sketches(with_counts(df.select(lang, source, text), text, keep_text=False), lang, source), "sketches")
+    return unmasked(judge(with_counts(df, text), sketch, lang, source).filter("_kept"), docs)
 
 
 def oracle() -> str:
-    shift = "greatest(length(bin(v)) - 4, 0)"
-    spread = "case metric " + " ".join(f"when '{m}' then {v}" for m, v in LEAST_SPREAD.items()) + " end"
-    pick = ", ".join(f"max(lim) filter (metric = '{m}') as {m}" for m in LEAST_SPREAD)
-    over = " or ".join(f"coalesce({m} > coalesce(a_{m}, b_{m}, c_{m}), false)" for m in LEAST_SPREAD)
-    cols = lambda x: ", ".join(f"{m} as {x}_{m}" for m in LEAST_SPREAD)
+    shift = f"greatest(length(bin(v)) - {LEAD}, 0)"
+    limit = lambda i: f"mid{i} + {SPREADS} * greatest(step{i}, " + (f"width{i})" if i == 2 else f"least(width{i}, {BOUND} * greatest(step{i}, width{i + 1})))")
+    level = lambda i, keys: f"""select {"".join(k + ", " for k in keys)}metric, max(total) as total{i}, min(bin) filter (cum * 100 >= total * 50) as mid{i},
+             min(bin) filter (cum * 100 >= total * 90) - mid{i} as width{i}, mid{i} // {1 << (LEAD - 1)} + 1 as step{i}
+      from (select *, sum(n) over (partition by {"".join(k + ", " for k in keys)}metric order by bin) as cum, sum(n) over (partition by {"".join(k + ", " for k in keys)}metric) as total
+            from (select {"".join(k + ", " for k in keys)}metric, bin, count(*) as n from x group by all)) group by {"".join(k + ", " for k in keys)}metric"""
+    pick = ", ".join(f"max(lim) filter (metric = '{m}') as {m}" for m in RULES)
+    over = " or ".join(f"coalesce(1000 * ({a} - {slack}) > lim.{m} * greatest({b}, 1), false)" for m, (a, b, slack) in RULES.items())
     return rf"""
 with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
 w as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i
@@ -184,17 +206,9 @@ r as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERC
 x as (select lang, source, metric, (v >> {shift}) << {shift} as bin from
       (unpivot (select lang, source, symbols, dup_lines, repeats, word_length from r where not base_failed)
        on symbols, dup_lines, repeats, word_length into name metric value v)),
-g as (select grouping(lang) as gl, grouping(source) as gs, lang, source, metric, bin, count(*) as n from x
-      group by grouping sets ((lang, source, metric, bin), (lang, metric, bin), (metric, bin))),
-c as (select *, sum(n) over (partition by gl, gs, lang, source, metric order by bin) as cum,
-             sum(n) over (partition by gl, gs, lang, source, metric) as total from g),
-q as (select gl, gs, lang, source, metric, max(total) as total, min(bin) filter (cum * 100 >= total * 50) as mid,
-             min(bin) filter (cum * 100 >= total * 25) as low from c group by all),
-lim as (select gl, gs, lang, source, max(total) as total, {pick} from
-        (select *, mid + {SPREADS} * greatest(mid - low, {spread}) as lim from q) group by all)
+lim as (select lang, source, {pick} from
+        (select lang, source, metric, case when total0 >= {MIN_ROWS} then {limit(0)} when total1 >= {MIN_ROWS} then {limit(1)} else {limit(2)} end as lim
+         from ({level(0, ["lang", "source"])}) join ({level(1, ["lang"])}) using (lang, metric) join ({level(2, [])}) using (metric)) group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({over}) as kept
-from r
-left join (select lang, source, {cols("a")} from lim where gl = 0 and gs = 0 and total >= {MIN_ROWS}) a using (lang, source)
-left join (select lang, {cols("b")} from lim where gl = 0 and gs = 1 and total >= {MIN_ROWS}) b using (lang)
-left join (select {cols("c")} from lim where gl = 1) c on true
+from r left join lim using (lang, source)
 """
