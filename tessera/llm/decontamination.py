@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .common import masked, unmasked
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -114,8 +115,9 @@ class Windows:
         if not len(at):
             return found
         text = np.searchsorted(first, at, "right") - 1
-        for t in np.unique(text):
-            mine = text == t
+        order = np.argsort(text, kind="stable")
+        hit_texts, begins = np.unique(text[order], return_index=True)
+        for t, mine in zip(hit_texts.tolist(), np.split(order, begins[1:]), strict=True):
             n, spans, items = found[t]
             change = np.zeros(int(first[t + 1] - first[t]) + 1, np.int64)
             np.add.at(change, at[mine] - first[t], 1)
@@ -173,13 +175,19 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """``docs`` with the hit spans cut out of the text (each from its first word to its last) and n_chars, if there, counted anew."""
-    found = find_benchmark(docs, benchmark, window, text_col)
-    at = found.columns.index(text_col)
+    """``docs`` with the hit spans cut out of the text (each from its first word to its last) and n_chars, if there, counted anew.
+
+    All rows and columns stay, whatever their names. Null texts stay null, and texts without hits stay as they are; repeated rows
+    are cut alike; an empty table stays empty.
+    """
+    df, name = masked(docs)
+    text = name[text_col]
+    found = find_benchmark(df, benchmark, window, text)
+    at = found.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
+            texts = batch.column(text).to_pylist()
             for i, f in enumerate(batch.column("_found").to_pylist()):
                 if not f["spans"]:
                     continue
@@ -193,7 +201,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    out = found.mapInArrow(run, docs.schema)
+    out = unmasked(found.mapInArrow(run, df.schema), docs)
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
