@@ -1,14 +1,15 @@
 """Packing of documents into fixed-length sequences.
 
 Texts are tokenised and cut every ``length`` ids; only the last piece of a document is shorter. Pieces are
-packed by first-fit decreasing, run on its own in randomised groups of about ``GROUP_DOCS`` documents (group
-= hash of the id), so no task sees the whole corpus. A tournament tree over the free room of the bins finds
-the leftmost bin with room in O(log bins).
+packed by first-fit decreasing, run on its own in randomised groups of at most about ``GROUP_PIECES`` pieces (group
+= hash of the piece), so no task sees the whole corpus, and neither a very long document nor a row that is repeated
+often fills a group. A tournament tree over the free room of the bins finds the leftmost bin with room in O(log bins).
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +22,22 @@ from . import vec
 from .tokens import encoder, with_end
 
 LENGTH = 1024
-GROUP_DOCS = 4096
+GROUP_PIECES = 4096
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): ids of each text and then ``end_id``, cut every ``length`` ids."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    """(doc_id, start, length, ids_crc32, doc_tokens, copy[, ids]): ids of each text and then ``end_id``, cut every ``length`` ids.
+
+    copy tells equal rows of a task apart: 0 for the first row of an id and text, then 1, and so on, whatever the order of the rows.
+    """
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"]
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, copy long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder().encode_block
+        encode, seen = encoder().encode_block, Counter()
         for batch in batches:
             doc_ids = batch.column(0)
+            keys = doc_ids.to_pylist()
             for begin, _, buf, offs in vec.text_blocks(batch.column(1)):
                 ids, first = with_end(*encode(buf, offs), end_id)
                 raw = ids.astype("<u4").tobytes()
@@ -43,7 +48,12 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = 0, id_col: str =
                 size = np.minimum(sizes[text] - start, length)
                 at = (4 * (first[text] + start)).tolist()
                 cut = [raw[a : a + 4 * s] for a, s in zip(at, size.tolist(), strict=True)]
-                arrays = [doc_ids.take(pa.array(begin + text)), pa.array(start), pa.array(size), pa.array(map(zlib.crc32, cut), pa.int64()), pa.array(sizes[text])]
+                copies = np.zeros(len(sizes), np.int64)
+                for i, (a, b) in enumerate(zip((4 * first[:-1]).tolist(), (4 * first[1:]).tolist(), strict=True)):
+                    key = hash((keys[begin + i], zlib.crc32(raw[a:b]), b - a))
+                    copies[i] = seen[key]
+                    seen[key] += 1
+                arrays = [doc_ids.take(pa.array(begin + text)), pa.array(start), pa.array(size), pa.array(map(zlib.crc32, cut), pa.int64()), pa.array(sizes[text]), pa.array(copies[text])]
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cut, pa.binary())] if with_ids else [])], names + ["ids"] * with_ids)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -74,14 +84,16 @@ def first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     return bins, offsets
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = 0, group_docs: int = GROUP_DOCS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = 0, group_pieces: int = GROUP_PIECES, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): a row for each piece.
 
     A null or empty text is one piece that holds the end id. Repeated rows are packed as often as they occur.
     An empty table gives an empty result. Other columns are ignored. ``with_ids`` adds the ids (uint32, little-endian).
     """
-    groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, length, end_id, id_col, text_col, with_ids).withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)).cast("int"))
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    # an id stands for a byte at least, so there are at most this many pieces
+    groups = max(1, -(-(n + size // length) // group_pieces))
+    cut = pieces(docs, length, end_id, id_col, text_col, with_ids).withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "copy"), F.lit(groups)).cast("long")).drop("copy")
     names = [c for c in cut.columns if c != "_group"]
     kinds = ", ".join(f"{c} {cut.schema[c].dataType.simpleString()}" for c in names)
 
