@@ -1,11 +1,12 @@
-"""Suffix arrays by linear grouping.
+"""Suffix arrays by grouping Lyndon prefixes.
 
 Phase 1 groups suffixes by their longest Lyndon prefix. Groups are taken from the largest down; for a suffix
 of the current group, the nearest suffix to its left that lies in a smaller group (its previous-smaller
 pointer) has its prefix extended by the group's, so it moves to a new group just above its old one. Pointers
 jump over finished suffixes, and each is jumped over once, so all jumps are linear in number. Phase 2 emits
 the order: when a suffix is emitted, the suffixes whose Lyndon prefix ends where it begins follow in their
-groups; they are found by the same pointers. No names are assigned and nothing recurses.
+groups; they are found by the same pointers. No names are assigned and nothing recurses. Members of a group are gone
+through in text order, which Python's sort gives; apart from these sorts all work is linear in the text.
 """
 
 from __future__ import annotations

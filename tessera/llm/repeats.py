@@ -5,7 +5,7 @@
    Anchor hashes are dealt into buckets; those that only one document has are dropped.
 3. Documents with other anchors send the context of each (the bytes of all windows that it anchors) to the
    anchor's bucket, each distinct context of a task once.
-4. A bucket joins its distinct contexts into texts and sorts their suffixes by linear grouping
+4. A bucket joins its distinct contexts into texts and sorts their suffixes by grouping
    (``lyndon_sort``). Neighbours in suffix order that share 50 bytes are one string; its smallest document
    id goes to every place where it occurs.
 5. Places whose string has a smaller document go back to their documents and are merged into spans.
@@ -36,6 +36,8 @@ FLUSH_ANCHORS = 600_000
 ANCHOR_BYTES = 1 << 20
 #: Bytes of contexts that are suffix-sorted as one text.
 SORT_BYTES = 16_384
+#: Longer blocks (one long text) are gone through in overlapping parts: a place takes the 28 low bits of a hash.
+PART_BYTES = 1 << 27
 _LOW = np.uint64(28)
 
 
@@ -45,9 +47,15 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     n = len(buf)
     if n < length:
         return none
+    if n > PART_BYTES:
+        parts = []
+        for at in range(0, n - length + 1, PART_BYTES - length + 1):
+            h, text, start, last, place = anchors(buf[at : at + PART_BYTES], np.clip(offs - at, 0, min(PART_BYTES, n - at)), length, gram)
+            parts.append((h, text, start + at, last + at, place + at))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     at = np.arange(n - gram + 1)
     hashes = vec.span_hashes(buf, at, at + gram)
-    # least hash and then leftmost: the place goes into the low bits (a text of 256 MB or more is not supported)
+    # least hash and then leftmost: the place goes into the low bits
     least = (hashes >> _LOW << _LOW) | at.astype(np.uint64)
     width, span = length - gram + 1, 1
     while span * 2 <= width:
