@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import among, materialize
+from .common import among, materialize, partitions
 from .components import connected_components
 
 CHUNK, MISS = 4, 1e-6
@@ -225,7 +225,9 @@ def _hot_links(hot: DataFrame, m: int, percent: int) -> DataFrame:
                         component[component == component[j]] = component[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype({"a": rep.dtype, "b": rep.dtype})
 
-    return dealt.select("group", "rep", "component", "signature", "shingles", "own", "low", "high").groupBy("group", "low", "high").applyInPandas(links, f"a {id_type}, b {id_type}")
+    # dealt out by pair of blocks: what the join left is dealt by group, and a grouping by more keys would keep that
+    dealt = dealt.select("group", "rep", "component", "signature", "shingles", "own", "low", "high").repartition(partitions(hot.sparkSession), "group", "low", "high")
+    return dealt.groupBy("group", "low", "high").applyInPandas(links, f"a {id_type}, b {id_type}")
 
 
 def group_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,6 +279,9 @@ def group_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are near-duplicates of one with a smaller id, with all columns."""
+    """``docs`` without the documents that are near-duplicates of one with a smaller id, with all columns whatever their names.
+
+    Texts without words and rows of a null id stay; rows that share an id stay or go together; an empty table stays empty.
+    """
     dropped = materialize(group_documents(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("id")).distinct(), "dropped")
     return among(docs, dropped, id_col, "left_anti")
