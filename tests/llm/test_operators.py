@@ -158,6 +158,17 @@ def test_repeats_match_brute_force(docs):
     assert any(v[1] and v[1] < v[0] for v in got.values())
 
 
+def test_repeats_of_long_texts_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(repeats, "PART_BYTES", 700)
+    column = [t.encode() for t in TEXTS if t and len(t) > 50]
+    offs = np.cumsum([0, *map(len, column)])
+    hashes, text, first, last, place = repeats.anchors(np.frombuffer(b"".join(column), np.uint8), offs)
+    monkeypatch.undo()
+    whole = repeats.anchors(np.frombuffer(b"".join(column), np.uint8), offs)
+    windows = lambda h, t, a, b, p: sorted((w, x, y, z) for x, y, i, j, z in zip(h, t, a, b, p, strict=True) for w in range(i, j + 1))
+    assert windows(hashes, text, first, last, place) == windows(*whole)
+
+
 def brute_components(texts, k, percent):
     sets = []
     for t in texts:
@@ -239,6 +250,17 @@ def test_packing_holds_each_id_once(docs):
         assert at <= 256
 
 
+def test_packing_splits_repeated_rows_and_long_texts(spark):
+    """Neither copies of a row, null ids nor the pieces of one document fill one group."""
+    rows = [(5, "same text here")] * 600 + [(None, f"text {i}") for i in range(600)] + [(6, "long text " * 9000)]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=32, group_pieces=64).collect()
+    for mine in ([r for r in out if r["doc_id"] == 5], [r for r in out if r["doc_id"] is None], [r for r in out if r["doc_id"] == 6]):
+        groups = collections.Counter(r["sequence_id"] >> 32 for r in mine)
+        assert len(groups) > 5 and max(groups.values()) < len(mine) / 3
+    assert sum(r["doc_id"] == 5 for r in out) == 600
+    assert sum(r["length"] for r in out if r["doc_id"] == 6) == [r["doc_tokens"] for r in out if r["doc_id"] == 6][0]
+
+
 def test_first_fit_uses_leftmost_bin():
     bins, offsets = packing.first_fit(np.array([3, 5, 7, 2, 5, 3]), 10)
     assert bins.tolist() == [0, 1, 0, 2, 1, 2] and offsets.tolist() == [7, 0, 0, 3, 5, 0]
@@ -389,10 +411,66 @@ def test_redaction_of_copied_secrets(spark):
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_scans(spark, df, "").collect()}
     assert got == {n: t if k == "known" else t.replace(token[k], "[SECRET]") for n, (t, (k, _, _)) in enumerate(zip(text, rows))}
     classes = {"copied": (1, 0, 0), "thrice": (1, 0, 0), "pair": (0, 1, 0), "mixed": (0, 1, 0), "known": (0, 0, 0)}
-    scanned = secret_scan.scan_documents(df, distinct_texts=True).collect()
+    scanned = secret_scan.scan_documents(df).collect()
     assert {r["doc_id"]: (r["n_live"], r["n_few"], r["n_example"]) for r in scanned} == {n: classes[k] for n, (k, _, _) in enumerate(rows)}
 
 
+def test_many_repositories_of_one_owner_make_an_example(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "EXAMPLE_REPOS", 4)
+    often, rarely = "oftenQ7" * 5, "rarelyQ7" * 5
+    rows = [(i, f"text {i} holds {often} here", "a") for i in range(4)] + [(i, f"text {i} holds {rarely} here", "a") for i in range(4, 7)]
+    got = secret_scan.scan_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"]: (r["spans"] != "", r["n_live"], r["max_repos"]) for r in got} == {i: (i > 3, int(i > 3), 3 * (i > 3)) for i in range(7)}
+
+
+CLASHES = ["id", "_id", "_row", "_lang", "_quality", "_found", "_owner", "_repo", "_cands", "_t", "_s", "_limit", "_kept", "c0", "part", "key", "rep", "a b"]
+
+
+@pytest.mark.parametrize("stage", ["quality_rules", "near_dedup", "benchmark_decontamination", "secret_scans"])
+def test_stages_keep_columns_of_any_name(spark, docs, bench, tmp_path, stage):
+    """Values and schema stay, on null ids, null texts, repeated rows and clashing names; and on an empty table."""
+    import corpus_pipeline
+
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, t, ["en", None][i % 2], f"s{i % 3}") for i, t in enumerate(TEXTS)] + [(None, TEXTS[40], None, None), (7, TEXTS[7], "en", "s1"), (7, TEXTS[7], "en", "s1"), (None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    df = spark.createDataFrame([(*r, *(f"{c}{i}" for c in CLASHES)) for i, r in enumerate(rows)], schema)
+    run = dict(corpus_pipeline.STAGES)[stage]
+    plain = df.select("doc_id", "text", "lang", "source", "part")
+    out = run(spark, df, str(tmp_path))
+    assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+    got = {r["part"]: r for r in out.collect()}
+    want = {r["part"]: r["text"] for r in run(spark, plain, str(tmp_path)).collect()}
+    assert {k: r["text"] for k, r in got.items()} == want
+    for i, r in enumerate(rows):
+        if f"part{i}" in got:
+            mine = got[f"part{i}"]
+            assert (mine["doc_id"], mine["lang"], mine["source"], *(mine[c] for c in CLASHES)) == (r[0], r[2], r[3], *(f"{c}{i}" for c in CLASHES))
+    assert stage in ("quality_rules", "near_dedup") or len(got) == len(rows)
+    assert run(spark, df.limit(0), str(tmp_path)).collect() == []
+
+
+def test_quality_limits_move_with_the_group(spark):
+    """Each rule fires on what is out of line in its group, and lets the same text pass in a group where it is usual."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    prose = lambda n, size=6: [word(size) for _ in range(n)]
+
+    def text(symbols=0, lines=0, repeats=0, size=6):
+        words = prose(200 - symbols - repeats * 3, size) + ["#"] * 0
+        words += ["$" + word(5) for _ in range(symbols)] + ["again and on"] * repeats
+        rng.shuffle(words)
+        return " ".join(words) + "".join(f"\nline {word(5)}" for _ in range(10)) + "\nthe same line here" * lines
+
+    odd = {"symbols": dict(symbols=60), "dup_lines": dict(lines=8), "repeats": dict(repeats=20), "word_length": dict(size=14)}
+    rows = []
+    for rule, kind in odd.items():
+        rows += [(f"{rule}-usual-{i}", text(), "en", "plain") for i in range(40)] + [(f"{rule}-odd", text(**kind), "en", "plain")]
+        rows += [(f"{rule}-home-{i}", text(**kind), f"xx-{rule}", f"home-{rule}") for i in range(50)]
+    got = {r["doc_id"]: r["kept"] for r in quality.score_documents(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()}
+    assert {k for k, v in got.items() if not v} == {f"{rule}-odd" for rule in odd}
+
+
 def test_quality_keeps_clean_documents(docs):
     kept = {r["doc_id"] for r in quality.keep_documents(docs).collect()}
     scored = {r["doc_id"]: r for r in quality.score_documents(docs).collect()}
@@ -409,14 +487,90 @@ def test_blocks_split_anywhere(monkeypatch):
     assert whole == parts
 
 
-def test_pipeline(spark, tmp_path, docs, bench):
+def brute_hits(texts, items, window=10):
+    """(begin, end) in bytes of each maximal run of hit words of each text."""
+    pattern = rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+    low = lambda t: re.sub(rb"[A-Z]+", lambda m: m[0].lower(), (t or "").encode())
+    wanted = set()
+    for t in items:
+        w = re.findall(pattern, low(t))
+        wanted |= {tuple(w[i : i + window]) for i in range(max(len(w) - window, 0) + 1)} if w else set()
+    sizes, out = {len(w) for w in wanted}, []
+    for t in texts:
+        found = list(re.finditer(pattern, low(t)))
+        hit = [False] * len(found)
+        for n in sizes:
+            for i in range(len(found) - n + 1):
+                if tuple(m[0] for m in found[i : i + n]) in wanted:
+                    hit[i : i + n] = [True] * n
+        out.append([(found[i].start(), found[j - 1].end()) for i, j in ((m.start(), m.end()) for m in re.finditer("1+", "".join("01"[h] for h in hit)))])
+    return out
+
+
+def brute_redacted(texts, owners):
+    """Texts without the base spans, and without tokens of fewer than three owners and twenty distinct texts that overlap no base span."""
+    kinds = {
+        "assign": (r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+        "access": (r"(AKIA[A-Z0-9]+)", 20), "hex": (r"([0-9a-f]+)", 24), "token": (r"([A-Za-z0-9+/_-]+)", 24),
+    }
+    found = [[(m.start(), m.end(), k, m[1]) for k, (p, n) in kinds.items() for m in re.finditer(p, t or "") if len(m[1]) >= n and (k != "token" or all(re.search(c, m[1]) for c in ("[0-9]", "[a-z]", "[A-Z]")))] for t in texts]
+    owner, holders = {}, collections.defaultdict(set)
+    for t, o in zip(texts, owners, strict=True):
+        owner[t] = min(o, owner.get(t, o))
+    for t, spans in zip(texts, found, strict=True):
+        for s in spans:
+            holders[s[3]].add(t)
+    out = []
+    for t, spans in zip(texts, found, strict=True):
+        base = [s for s in spans if s[2] != "token"]
+        few = lambda v: len({owner[x] for x in holders[v]}) < 3 and len(holders[v]) < 20
+        cut = base + [s for s in spans if s[2] == "token" and few(s[3]) and not any(b[0] < s[1] and b[1] > s[0] for b in base)]
+        new, at = "", 0
+        for a, b, *_ in sorted(cut):
+            if a >= at:
+                new += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        out.append(None if t is None else new + t[at:])
+    return out
+
+
+def test_pipeline(spark, tmp_path, bench):
+    """All pieces, with texts, ids and places, against brute force of every stage but the verdict of the quality rules, which SQL checks."""
     import corpus_pipeline
 
-    docs.drop("_row", "key").write.parquet(f"{tmp_path}/documents.parquet")
+    rng = random.Random(8)
+    texts_of = TEXTS + [" ".join(rng.choice(WORDS) for _ in range(90)) + " " + t for t in TEXTS if t and "AKIA" in t]
+    docs = spark.createDataFrame([(i, t, ["en", None, "fr"][i % 3], f"src{min(i % 7, 3)}", 5) for i, t in enumerate(texts_of)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     scored = {r["doc_id"]: r["kept"] for r in quality.score_documents(docs).collect()}
     kept = sorted(i for i, k in scored.items() if k)
-    group = brute_components([TEXTS[i] for i in kept], 5, 80)
-    assert {r["doc_id"] for r in out} == {kept[i] for i, v in group.items() if v[2]}
-    assert {s for s, _ in corpus_pipeline.STAGES} == {"quality_rules", "near_dedup", "benchmark_decontamination", "secret_scans", "packing"}
+    group = brute_components([texts_of[i] for i in kept], 5, 80)
+    kept = [kept[i] for i, v in group.items() if v[2]]
+    texts = []
+    for raw, spans in zip([texts_of[i].encode() for i in kept], brute_hits([texts_of[i] for i in kept], BENCH), strict=True):
+        at, parts = 0, []
+        for a, b in spans:
+            parts.append(raw[at:a])
+            at = b
+        texts.append(b"".join([*parts, raw[at:]]).decode())
+    assert texts != [texts_of[i] for i in kept]
+    cleaned = brute_redacted(texts, [f"src{min(i % 7, 3)}" for i in kept])
+    assert cleaned != texts
+    ids = dict(zip(kept, public_ids(cleaned), strict=True))
+    assert {r["doc_id"] for r in out} == set(kept)
+    seen, places = collections.Counter(), collections.defaultdict(list)
+    for r in out:
+        piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert (np.frombuffer(r["ids"], "<u4").tolist(), crc(piece), len(ids[r["doc_id"]])) == (piece, r["ids_crc32"], r["doc_tokens"])
+        seen[r["doc_id"]] += r["length"]
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert seen == {i: len(x) for i, x in ids.items()}
+    for place in places.values():
+        at = 0
+        for offset, length in sorted(place):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert [s for s, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "benchmark_decontamination", "secret_scans", "packing"]
