@@ -1,6 +1,8 @@
 """A training-data pipeline over ``documents``: each stage takes the table that the one before it kept.
 
-Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents. Each takes null
+and empty texts, null languages and sources, repeated rows, empty tables and more columns of any name; what it then returns is in the
+docstring of the operator that it calls.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets (all but values of several owners' own texts, which are examples) replaced by a mark."""
-    return secret_scan.redact(docs, distinct_texts=True)
+    """All documents, with secrets (all but tokens of many owners' or repositories' own texts, which are examples) replaced by a mark."""
+    return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document in a sequence."""
+    """A row for each piece of a document in a sequence, with its ids (uint32, little-endian): the training data."""
     bound_batches(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("benchmark_decontamination", benchmark_decontamination), ("secret_scans", secret_scans), ("packing", pack)]
