@@ -182,6 +182,7 @@ def analyze(text: str) -> Analysis:
             found.issues.append(f"name {node.value} is not allowed")
         elif node.kind == "member":
             found.issues.append("member access is not allowed")
+            return
         elif node.kind == "binary" and node.value in ("&&", "||", "%"):
             found.issues.append(f"operator {node.value} is not allowed")
         elif node.kind == "call":
@@ -229,9 +230,10 @@ def _value(kind: str | Column, num: Column | None = None, text: Column | None =
     return Value(F.lit(kind) if isinstance(kind, str) else kind, _null("double") if num is None else num, _null("string") if text is None else text, _null("boolean") if flag is None else flag, _null("string") if error is None else error)
 
 
-def input_value(x: Column) -> Value:
-    """The value of a resolved input struct (in_id, kind, num, str, bool); an unresolved one is an error."""
-    return _value(x["kind"], x["num"], x["str"], x["bool"], F.when(x["in_id"].isNull(), "missing input"))
+def input_value(x: Column, key: str) -> Value:
+    """The value of a resolved input struct (in_id, kind, num, str, bool, in_label); an unresolved one is an error."""
+    period = F.coalesce(x["in_label"], F.lit("the requested period"))
+    return _value(x["kind"], x["num"], x["str"], x["bool"], F.when(x["in_id"].isNull(), F.concat(F.lit(f"cannot resolve {key.split('|')[0]} for "), period)))
 
 
 def _number_error(v: Value, label: str) -> Column:
@@ -312,5 +314,5 @@ def _call(name: str, args: tuple[Node, ...], lookup: Callable[[str], Value]) ->
         return _value("number", num=F.abs(nums[0]), error=error)
     if name == "mod":
         return _value("number", num=floor_mod(*nums), error=_errors(error, F.when(nums[1] == 0, "mod() divisor must not be zero")))
-    digits = 0 if len(args) == 1 else args[1].value if args[1].kind == "literal" else -args[1].parts[0].value
-    return _value("number", num=round_half_up(nums[0], int(digits)), error=error)
+    scale = F.lit(1.0) if len(parts) == 1 else F.lit(10.0 ** args[1].value) if args[1].kind == "literal" and isinstance(args[1].value, float) else F.pow(F.lit(10.0), nums[1])
+    return _value("number", num=round_half_up(nums[0], scale), error=error)

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..plans.model_db import ModelDb, period_key
+from ..plans.hold import hold as held
+from ..plans.model_db import ModelDb, period_key, value_matches
 
+Hold = Callable[[DataFrame], DataFrame]
+VALUE = ["kind", "num", "str", "bool"]
+#: Formulas that one projection evaluates.
+FORMULAS = 64
 OUT = ["model_id", "entity_id", "version_id", "out_as_of", "out_scenario"]
 
 
 def transformation_refs(db: ModelDb) -> DataFrame:
-    """(transformation_id, ref, metric_id, offset, period_id): references of each supported transformation.
+    """(transformation_id, ref, metric_id, offset, target_period, dependency): references of each supported transformation that can be parsed.
 
-    Distinct expressions are parsed on the driver; their number is that of formulas, not of cells.
+    dependency: place of the metric among those the formula reads, in order of their ids. Distinct expressions are parsed on the driver;
+    their number is that of formulas, not of cells.
     """
     rows = db.transformations.filter("status = 'supported'").select("id", "expression").collect()
-    refs = [(r["id"], ref.key, ref.metric_id, ref.offset, ref.period_id) for r in rows for ref in X.analyze(r["expression"]).references]
-    return db.transformations.sparkSession.createDataFrame(refs, "transformation_id string, ref string, metric_id string, offset int, target_period string")
+    refs = []
+    for r in rows:
+        found = X.analyze(r["expression"])
+        place = {m: i for i, m in enumerate(found.dependencies)}
+        refs.extend((r["id"], ref.key, ref.metric_id, ref.offset, ref.period_id, place[ref.metric_id]) for ref in found.references)
+    return db.transformations.sparkSession.createDataFrame(refs, "transformation_id string, ref string, metric_id string, offset int, target_period string, dependency int")
 
 
 def outputs(db: ModelDb) -> DataFrame:
@@ -48,12 +60,11 @@ def resolve_inputs(db: ModelDb, refs: DataFrame | None = None) -> DataFrame:
     Candidates share model, metric, entity, version and target period, are known at the output's date and match
     its scenario; the exact scenario, then the latest date, then the first declared wins. All are equi-joins on the key.
     """
-    refs = transformation_refs(db) if refs is None else refs
-    wanted = outputs(db).join(F.broadcast(refs), "transformation_id")  # a row for each reference of a formula: as few as formulas
+    refs = (transformation_refs(db) if refs is None else refs).drop("dependency")
+    wanted = outputs(db).join(refs, "transformation_id")
     axis = period_axis(db, wanted.filter("offset <> 0"))
     here = axis.select(*OUT, "period_type", F.col("period_id").alias("out_period"), "pos")
     there = axis.select(*OUT, "period_type", F.col("period_id").alias("moved_period"), F.col("pos").alias("target_pos"))
-    null_safe = lambda a, b: [a[c].eqNullSafe(b[c]) for c in OUT]
     moved = wanted.filter("offset <> 0")
     m = moved.alias("m").join(here.alias("h"), [F.col(f"m.{c}").eqNullSafe(F.col(f"h.{c}")) for c in OUT] + [F.col("m.out_period") == F.col("h.out_period")]).select("m.*", "h.period_type", (F.col("h.pos") + F.col("m.offset")).alias("target_pos"))
     m = m.alias("m").join(there.alias("t"), [F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}")) for c in OUT] + [F.col("m.period_type") == F.col("t.period_type"), F.col("m.target_pos") == F.col("t.target_pos")], "left").select("m.*", "t.moved_period")
@@ -73,68 +84,129 @@ def direct_dependents(inputs: DataFrame) -> DataFrame:
     return inputs.filter("in_id is not null").select(F.col("in_id").alias("id"), F.col("out_id").alias("dependent_id")).distinct()
 
 
-def closure(dependents: DataFrame, start: DataFrame, materialize=lambda df: df.checkpoint()) -> DataFrame:
-    """(id, level): all observations that the ids of ``start`` reach, with their longest known distance.
+def layers(nodes: DataFrame, edges: DataFrame, hold: Hold = held) -> Iterator[DataFrame]:
+    """Frames of (id) of ``nodes``, each after all from which ``edges`` (id, dependent_id) among the nodes lead to it.
 
-    A frontier loop: the number of rounds is the length of the longest chain of formulas, and each round is one join.
+    As many rounds as the longest chain has links; an edge is looked at until its first end is done. A cycle is an error.
     """
-    frontier = start.select("id").distinct().withColumn("level", F.lit(0))
-    found = frontier
-    level = 0
+    pending = hold(nodes.select("id").distinct())
+    ends = lambda c: pending.select(F.col("id").alias(c))
+    edges = hold(edges.select("id", "dependent_id").distinct().join(ends("id"), "id", "left_semi").join(ends("dependent_id"), "dependent_id", "left_semi"))
     while True:
-        level += 1
-        frontier = materialize(frontier.join(dependents, "id").select(F.col("dependent_id").alias("id")).distinct().withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            return found.groupBy("id").agg(F.max("level").alias("level"))
-        if level > 500:
-            raise ValueError("formulas depend on each other in a cycle")
-        found = found.unionByName(frontier)
+        ready = hold(pending.join(edges.select(F.col("dependent_id").alias("id")).distinct(), "id", "left_anti"))
+        if ready.isEmpty():
+            if not pending.isEmpty():
+                raise ValueError(f"formulas depend on each other in a cycle: {pending.agg(F.min('id')).first()[0]}")
+            return
+        yield ready
+        pending, edges = hold(pending.join(ready, "id", "left_anti")), hold(edges.join(ready, "id", "left_anti"))
+
+
+def reached(dependents: DataFrame, start: DataFrame, hold: Hold = held) -> DataFrame:
+    """(id): ``start`` and all that it reaches. A frontier loop; what was found is not followed again."""
+    found = frontier = hold(start.select("id").distinct())
+    while not frontier.isEmpty():
+        frontier = hold(frontier.join(dependents, "id").select(F.col("dependent_id").alias("id")).distinct().join(found, "id", "left_anti"))
+        found = hold(found.unionByName(frontier))
+    return found
+
+
+def closure(dependents: DataFrame, start: DataFrame, hold: Hold = held) -> DataFrame:
+    """(id, level): all observations that the ids of ``start`` reach, with their longest distance from one."""
+    dependents = hold(dependents)
+    out = None
+    for level, ready in enumerate(layers(reached(dependents, start, hold), dependents, hold)):
+        part = ready.withColumn("level", F.lit(level))
+        out = part if out is None else out.unionByName(part)
+    return start.select("id", F.lit(0).alias("level")).limit(0) if out is None else out
 
 
-def evaluate(db: ModelDb, inputs: DataFrame) -> DataFrame:
+def evaluate(db: ModelDb, inputs: DataFrame, hold: Hold = held) -> DataFrame:
     """(out_id, kind, num, str, bool, error): each output's expression over its resolved inputs.
 
-    Inputs are gathered once by output (one shuffle); each expression is one projection, so values stay in generated code.
+    Inputs are gathered once by output (one shuffle); a projection picks the expression by the output's formula, so values stay in
+    generated code. Only beyond ``FORMULAS`` formulas the gathered rows are held and gone through once for each so many.
     """
-    value = F.struct("in_id", "kind", "num", "str", "bool")
-    gathered = inputs.groupBy("out_id", "transformation_id").agg(F.map_from_entries(F.collect_list(F.struct("ref", value))).alias("in"))
-    rows = db.transformations.filter("status = 'supported'").select("id", "expression").collect()
+    labels = db.periods.select(F.col("id").alias("in_period"), F.col("label").alias("in_label"))
+    value = F.struct("in_id", *VALUE, "in_label")
+    gathered = inputs.join(labels, "in_period", "left").groupBy("out_id", "transformation_id").agg(F.map_from_entries(F.collect_list(F.struct("ref", value))).alias("in"))
+    rows = sorted(db.transformations.filter("status = 'supported'").select("id", "expression").collect(), key=lambda r: r["id"])
+    if len(rows) > FORMULAS:
+        gathered = hold(gathered)
     out = None
-    for r in sorted(rows, key=lambda r: r["id"]):
-        v = X.compile_expression(r["expression"], lambda key: X.input_value(F.col("in")[key]))
-        part = gathered.filter(F.col("transformation_id") == r["id"]).select("out_id", *v.columns())
+    for at in range(0, max(len(rows), 1), FORMULAS):
+        chunk = rows[at : at + FORMULAS]
+        case: Column = F.lit(None).cast("struct<kind:string,num:double,str:string,bool:boolean,error:string>")
+        for r in reversed(chunk):
+            v = X.compile_expression(r["expression"], lambda key: X.input_value(F.col("in")[key], key))
+            case = F.when(F.col("transformation_id") == r["id"], F.struct(*v.columns())).otherwise(case)
+        part = gathered.filter(F.col("transformation_id").isin([r["id"] for r in chunk])).select("out_id", F.inline(F.array(case)))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def recalculate(db: ModelDb, rounds: int, materialize=lambda df: df.checkpoint(), only: DataFrame | None = None) -> ModelDb:
-    """The database with derived observations evaluated, formula level by formula level.
+def recalculate(db: ModelDb, only: DataFrame | None = None, hold: Hold = held, strict: bool = False) -> ModelDb:
+    """The database with derived observations evaluated, each after all that it reads, however long the chains are.
 
-    ``only`` (ids) limits it to the observations that an edit reaches. Failed evaluations keep their value.
+    ``only`` (ids) limits it to the observations that an edit reaches. Failed evaluations keep their value, or are an error
+    if ``strict``. Inputs are resolved once, as no value decides which observation a reference means.
     """
-    obs = db.observations
-    for _ in range(rounds):
-        now = db.replace(observations=obs)
-        done = evaluate(now, resolve_inputs(now)).filter("error is null").select(F.col("out_id").alias("id"), F.struct("kind", "num", "str", "bool").alias("v"))
-        if only is not None:
-            done = done.join(only.select("id"), "id", "left_semi")
-        joined = obs.join(done, "id", "left")
-        obs = materialize(joined.select(*(F.when(F.col("v").isNotNull(), F.col("v")[c]).otherwise(F.col(c)).alias(c) if c in ("kind", "num", "str", "bool") else F.col(c) for c in obs.columns)))
-    return db.replace(observations=obs)
-
-
-def edit_values(db: ModelDb, edits: DataFrame, rounds: int, materialize=lambda df: df.checkpoint()) -> tuple[ModelDb, DataFrame]:
-    """(new database, changes): base values replaced by ``edits`` (id, num), and what follows from them.
-
-    An unknown id, a derived observation or an equal value is an error. changes: (id, before, after, direct).
+    inputs = hold(resolve_inputs(db).select("out_id", "transformation_id", "ref", "in_period", "in_id", *VALUE))
+    targets = inputs.select(F.col("out_id").alias("id")).distinct()
+    if only is not None:
+        targets = targets.join(only.select("id"), "id", "left_semi")
+    new = None
+    for ready in layers(targets, direct_dependents(inputs), hold):
+        mine = inputs.join(ready.select(F.col("id").alias("out_id")), "out_id", "left_semi")
+        if new is not None:
+            fresh = new.select(F.col("id").alias("in_id"), F.struct(*VALUE).alias("_v"))
+            mine = mine.join(fresh, "in_id", "left").select("out_id", "transformation_id", "ref", "in_period", "in_id", *(F.when(F.col("_v").isNotNull(), F.col("_v")[c]).otherwise(F.col(c)).alias(c) for c in VALUE))
+        done = hold(evaluate(db, mine, hold).withColumnRenamed("out_id", "id"))
+        if strict and (failed := done.filter("error is not null").select("id", "error").orderBy("id").first()):
+            raise ValueError(f"{failed['id']} {failed['error']}")
+        done = done.filter("error is null").drop("error")
+        new = done if new is None else new.unionByName(done)
+    if new is None:
+        return db
+    joined = db.observations.join(new.select("id", F.struct(*VALUE).alias("_v")), "id", "left")
+    obs = joined.select(*(F.when(F.col("_v").isNotNull(), F.col("_v")[c]).otherwise(F.col(c)).alias(c) if c in VALUE else F.col(c) for c in db.observations.columns))
+    return db.replace(observations=hold(obs))
+
+
+def same_value(a: str, b: str) -> Column:
+    """Whether two structs hold the same tagged value."""
+    return F.col(f"{a}.kind").eqNullSafe(F.col(f"{b}.kind")) & F.col(f"{a}.num").eqNullSafe(F.col(f"{b}.num")) & F.col(f"{a}.str").eqNullSafe(F.col(f"{b}.str")) & F.col(f"{a}.bool").eqNullSafe(F.col(f"{b}.bool"))
+
+
+def edit_values(db: ModelDb, edits: DataFrame, hold: Hold = held) -> tuple[ModelDb, DataFrame]:
+    """(new database, changes): base values replaced by ``edits`` (id, num, or id and a tagged value), and what follows from them.
+
+    An unknown id, a derived observation, an equal value or one of another type than the metric's is an error, and so is a formula
+    that fails, a cycle, or a result that does not fit its metric. changes: (id, before, after, direct); the provenance
+    of what changed is marked as corrected.
     """
-    checked = edits.withColumnRenamed("num", "_new").join(db.observations, "id", "left")
-    bad = checked.filter(F.col("metric_id").isNull() | F.col("transformation_id").isNotNull() | (F.col("value_type") == "derived") | F.col("num").eqNullSafe(F.col("_new"))).select("id").limit(5).collect()
+    if "kind" not in edits.columns:
+        edits = edits.select("id", F.when(F.col("num").isNull(), "null").otherwise("number").alias("kind"), "num", F.lit(None).cast("string").alias("str"), F.lit(None).cast("boolean").alias("bool"))
+    wanted = hold(edits.select("id", F.struct(*VALUE).alias("_new")))
+    types = db.metrics.select(F.col("id").alias("metric_id"), "data_type")
+    checked = wanted.join(db.observations.withColumn("_old", F.struct(*VALUE)), "id", "left").join(types, "metric_id", "left")
+    fits = F.coalesce(value_matches(F.col("data_type"), F.col("_new.kind"), F.col("_new.num")), F.lit(False))
+    bad = checked.filter(F.col("_old").isNull() | F.col("transformation_id").isNotNull() | (F.col("value_type") == "derived") | same_value("_new", "_old") | ~fits).select("id").orderBy("id").limit(5).collect()
     if bad:
-        raise ValueError(f"cannot edit {', '.join(r['id'] for r in bad)}: unknown, derived or unchanged")
-    reached = closure(direct_dependents(resolve_inputs(db)), edits, materialize)
-    new = F.coalesce("_new", "num")
-    edited = db.observations.join(edits.withColumnRenamed("num", "_new"), "id", "left").withColumn("num", new).withColumn("kind", F.when(F.col("num").isNull(), "null").otherwise("number")).select(*db.observations.columns)
-    after = recalculate(db.replace(observations=materialize(edited)), rounds, materialize, reached)
-    both = db.observations.select("id", F.col("num").alias("before")).join(after.observations.select("id", F.col("num").alias("after")), "id").filter(~F.col("before").eqNullSafe(F.col("after")))
-    return after, both.join(edits.select("id", F.lit(True).alias("direct")), "id", "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+        raise ValueError(f"cannot edit {', '.join(r['id'] for r in bad)}: unknown, derived, unchanged or of another type")
+    joined = db.observations.join(wanted, "id", "left")
+    edited = joined.select(*(F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in VALUE else F.col(c) for c in db.observations.columns))
+    now = db.replace(observations=hold(edited))
+    affected = reached(hold(direct_dependents(resolve_inputs(now))), wanted, hold)
+    after = recalculate(now, affected.join(wanted, "id", "left_anti"), hold, strict=True)
+    value = F.struct(*VALUE)
+    both = db.observations.select("id", value.alias("_before")).join(after.observations.select("id", "metric_id", value.alias("_after")), "id").filter(~same_value("_before", "_after"))
+    changes = hold(both.join(wanted.select("id", F.lit(True).alias("direct")), "id", "left").withColumn("direct", F.coalesce("direct", F.lit(False))))
+    wrong = changes.join(types, "metric_id", "left").filter(~F.coalesce(value_matches(F.col("data_type"), F.col("_after.kind"), F.col("_after.num")), F.lit(False))).select("id").first()
+    if wrong:
+        raise ValueError(f"{wrong['id']}: the new value does not fit its metric")
+    if "provenance_records" in db.frames:
+        mark = changes.select(F.col("id").alias("target_id"), F.lit("corrected").alias("_status"))
+        marked = db.provenance_records.join(mark, "target_id", "left").withColumn("review_status", F.coalesce("_status", "review_status"))
+        after = after.replace(provenance_records=marked.select(*db.provenance_records.columns))
+    return after, changes.select("id", F.col("_before.num").alias("before"), F.col("_after.num").alias("after"), "direct")
