@@ -6,13 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def round_half_up(x: Column, digits: int = 0) -> Column:
-    """``floor(x * 10^n + 0.5) / 10^n``: halves go toward plus infinity. Large numbers stay as they are."""
-    scale = float(10**digits)
+def round_half_up(x: Column, scale: Column) -> Column:
+    """``floor(x * scale + 0.5) / scale``: halves go toward plus infinity. Large numbers stay as they are."""
     y = x * scale
     low = F.floor(y).cast("double")
     rounded = F.when(F.abs(y) >= 2.0**52, y).otherwise(low + F.when(y - low >= 0.5, 1.0).otherwise(0.0))
-    return rounded / scale
+    return divide(rounded, scale)
 
 
 def floor_mod(value: Column, divisor: Column) -> Column:
@@ -55,9 +54,25 @@ def formula_kind(status: Column, has_dependencies: Column, source_formula: Colum
     return F.when((status != "supported") | has_dependencies, "expression").when(plain, "constant").otherwise("expression")
 
 
-def format_value(num: Column, data_type: Column) -> Column:
-    """Table text: a dash for null, percents with one digit, counts with none, others with one; negatives in parentheses."""
-    size = F.abs(F.when(data_type == "percentage", num * 100).otherwise(num))
-    text = F.when(data_type == "count", F.format_number(size, 0)).otherwise(F.format_number(size, 1))
-    text = F.when(data_type == "percentage", F.concat(text, F.lit("%"))).otherwise(text)
-    return F.when(num.isNull(), "—").when(num < 0, F.concat(F.lit("("), text, F.lit(")"))).otherwise(text)
+def _digits(x: Column, least: int, most: int, percent: bool = False) -> Column:
+    """``x`` (not negative; a hundredfold if ``percent``) with thousands separators and ``least`` to ``most`` decimals.
+
+    Halves of its shortest decimal form go up. Numbers of 10^23 or more, and infinities, are formatted as doubles.
+    """
+    exact = x.cast("string").try_cast("decimal(38,15)")
+    text = F.coalesce(F.format_number(F.round(exact * 100 if percent else exact, most), most), F.format_number(x * 100 if percent else x, most))
+    return F.regexp_replace(text, f"0{{0,{most - least}}}$", "") if most > least else text
+
+
+def format_value(kind: Column, num: Column, text: Column, flag: Column, data_type: Column, inspector: bool = False) -> Column:
+    """Display text of a tagged value: a dash for null, Yes or No, text as it is, percents, counts without decimals, others with one.
+
+    In tables negative numbers but percents stand in parentheses; the inspector shows a minus sign and up to two decimals.
+    """
+    most = 2 if inspector else 1
+    size = F.abs(num)
+    percent = F.concat(F.when(num < 0, "-").otherwise(""), _digits(size, 1, most, percent=True), F.lit("%"))
+    plain = F.when(data_type == "count", _digits(size, 0, 0)).otherwise(_digits(size, 1, most))
+    signed = F.when(num < 0, F.concat(F.lit("-"), plain) if inspector else F.concat(F.lit("("), plain, F.lit(")"))).otherwise(plain)
+    number = F.when(data_type == "percentage", percent).otherwise(signed)
+    return F.when(kind == "null", "—").when(kind == "boolean", F.when(flag, "Yes").otherwise("No")).when(kind == "string", text).otherwise(number)
