@@ -11,32 +11,91 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions
+from ..plans.hold import hold as held
 from ..plans.model_db import CONTEXT, ModelDb, period_key, value_matches
 from .hierarchy import parent_cycles, parent_issues
+from .lineage import transformation_refs
 
 
 def _found(df: DataFrame, code: str, field: str, object_id: str | Column = "id") -> DataFrame:
     return df.select(F.lit(code).alias("code"), (F.col(object_id) if isinstance(object_id, str) else object_id).alias("object_id"), F.lit(field).alias("field"))
 
 
-def _missing(df: DataFrame, column: str, ids: DataFrame, field: str) -> DataFrame:
-    """Rows whose reference is set but not among ``ids.id``."""
-    bad = df.filter(F.col(column).isNotNull()).join(ids.select(F.col("id").alias("_id")), F.col(column) == F.col("_id"), "left_anti")
-    return _found(bad, "reference.missing", field)
-
-
 def _repeated(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn("_n", F.row_number().over(w)).filter("_n > 1")
 
 
+#: Collections whose ids are canonical objects, in the order in which ids are declared.
+CANONICAL = ["models", "entities", "metrics", "periods", "scenarios", "observations", "transformations", "relationships", "source_artifacts", "provenance_contexts", "evidence", "assumptions", "decisions", "decision_changes", "extraction_runs", "unresolved_items"]
+#: Collections whose objects need provenance.
+TRACED = ["observations", "models", "entities", "metrics", "periods", "scenarios", "transformations", "relationships", "evidence", "assumptions", "decisions", "decision_changes", "unresolved_items"]
+#: References: collection, the column that names the object, and (column, where it must be found, field) of each.
+REFERENCES = [
+    ("dataset", "id", [("default_model_id", ["models"], "defaultModelId")]),
+    ("models", "id", [("primary_entity_id", ["entities"], "primaryEntityId"), ("default_scenario_id", ["scenarios"], "defaultScenarioId")]),
+    ("entities", "id", [("parent_entity_id", ["entities"], "parentEntityId")]),
+    ("periods", "id", [("parent_period_id", ["periods"], "parentPeriodId")]),
+    ("observations", "id", [("model_id", ["models"], "modelId"), ("metric_id", ["metrics"], "metricId"), ("entity_id", ["entities"], "entityId"), ("period_id", ["periods"], "periodId"), ("scenario_id", ["scenarios"], "scenarioId"), ("transformation_id", ["transformations"], "transformationId")]),
+    ("transformations", "id", [("output_metric_id", ["metrics"], "outputMetricId")]),
+    ("transformation_sources", "transformation_id", [("period_id", ["periods"], "sourceExpressions.*")]),
+    ("presentations", "model_id", [("model_id", ["models"], "modelId"), ("source_artifact_id", ["source_artifacts"], "sourceArtifactId")]),
+    ("presentation_metrics", "section_id", [("metric_id", ["metrics"], "metricIds")]),
+    ("relationships", "id", [("from_id", CANONICAL, "fromId"), ("to_id", CANONICAL, "toId")]),
+    ("extraction_runs", "id", [("source_artifact_ids", ["source_artifacts"], "sourceArtifactIds"), ("model_version_id", ["model_versions"], "modelVersionId")]),
+    ("provenance_contexts", "id", [("source_artifact_id", ["source_artifacts"], "sourceArtifactId"), ("extraction_run_id", ["extraction_runs"], "extractionRunId")]),
+    ("provenance_records", "target_id", [("target_id", TRACED, "targetId"), ("context_id", ["provenance_contexts"], "contextId")]),
+    ("evidence", "id", [("source_artifact_id", ["source_artifacts"], "sourceArtifactId")]),
+    ("assumptions", "id", [("model_id", ["models"], "modelId"), ("entity_id", ["entities"], "entityId"), ("scenario_id", ["scenarios"], "scenarioId"), ("effective_period_ids", ["periods"], "effectivePeriodIds")]),
+    ("decisions", "id", [("model_id", ["models"], "modelId"), ("rationale_artifact_id", ["source_artifacts"], "rationaleArtifactId")]),
+    ("decision_changes", "id", [("decision_id", ["decisions"], "decisionId"), ("observation_id", ["observations"], "observationId"), ("metric_id", ["metrics"], "metricId"), ("period_id", ["periods"], "periodId"), ("scenario_id", ["scenarios"], "scenarioId")]),
+    ("unresolved_items", "id", [("model_id", ["models"], "modelId"), ("target_id", CANONICAL, "targetId"), ("affected_target_ids", CANONICAL, "affectedTargetIds"), ("source_artifact_id", ["source_artifacts"], "sourceArtifactId")]),
+]
+
+
+def _ids(db: ModelDb, collections: list[str]) -> DataFrame | None:
+    parts = [db.frames[c].select(F.col("version_id" if c == "model_versions" else "id").alias("_id")) for c in collections if c in db.frames]
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return None if out is None else out.distinct()
+
+
 def references(db: ModelDb) -> DataFrame:
-    obs = db.observations
-    out = _missing(obs, "metric_id", db.metrics, "metricId")
-    for column, frame, field in (("model_id", db.models, "modelId"), ("entity_id", db.entities, "entityId"), ("period_id", db.periods, "periodId")):
-        out = out.unionByName(_missing(obs, column, frame, field))
-    out = out.unionByName(_missing(obs, "transformation_id", db.transformations, "transformationId"))
-    return out.unionByName(_missing(db.transformations, "output_metric_id", db.metrics, "outputMetricId"))
+    """References to what does not exist, and formulas' references to metrics and periods.
+
+    A collection is gone through once: its references are joined with the ids of their targets, and the failures of a row
+    are exploded. Elements of a list are checked by position; a field that ends with ``*`` names the value itself. A site is
+    skipped where a database lacks either collection.
+    """
+    out = None
+    for name, key, sites in REFERENCES:
+        df = db.frames.get(name)
+        if df is None:
+            continue
+        failures, lists = [], []
+        base = df
+        for i, (column, targets, field) in enumerate(sites):
+            ids = _ids(db, targets)
+            if column not in df.columns or ids is None:
+                continue
+            if df.schema[column].dataType.typeName() == "array":
+                items = df.select(F.col(key).alias("object_id"), F.posexplode(column).alias("_pos", "_id"))
+                lists.append(items.join(ids, "_id", "left_anti").select("object_id", F.concat(F.lit(f"{field}."), "_pos").alias("field")))
+            else:
+                base = base.join(ids.withColumnRenamed("_id", f"_id{i}"), F.col(column) == F.col(f"_id{i}"), "left")
+                named = F.concat(F.lit(field[:-1]), column) if field.endswith("*") else F.lit(field)
+                failures.append(F.when(F.col(column).isNotNull() & F.col(f"_id{i}").isNull(), named))
+        parts = lists + ([base.select(F.col(key).alias("object_id"), F.explode(F.array_compact(F.array(*failures))).alias("field"))] if failures else [])
+        for part in parts:
+            out = part if out is None else out.unionByName(part)
+    if {"transformations", "metrics", "periods"} <= db.frames.keys():
+        refs = transformation_refs(db)
+        metrics, periods = _ids(db, ["metrics"]), _ids(db, ["periods"])
+        gone = refs.join(metrics, F.col("metric_id") == F.col("_id"), "left_anti").select(F.col("transformation_id").alias("object_id"), F.concat(F.lit("expression.dependencies."), "dependency").alias("field")).distinct()
+        late = refs.filter("target_period is not null").join(periods, F.col("target_period") == F.col("_id"), "left_anti").select(F.col("transformation_id").alias("object_id"), F.lit("expression.periodId").alias("field"))
+        out = gone.unionByName(late) if out is None else out.unionByName(gone).unionByName(late)
+    return out.select(F.lit("reference.missing").alias("code"), "object_id", "field")
 
 
 def observation_version(db: ModelDb) -> DataFrame:
@@ -64,10 +123,13 @@ def duplicate_point(db: ModelDb) -> DataFrame:
 
 
 def id_duplicate(db: ModelDb) -> DataFrame:
-    parts = [db.frames[n].select("id", F.lit(k).alias("rank"), F.col("ord").cast("long").alias("ord")) for k, n in enumerate(("models", "entities", "metrics", "transformations", "relationships", "observations")) if n in db.frames]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+    """Ids that an object declared earlier has, in any canonical collection."""
+    union = None
+    for k, name in enumerate(CANONICAL):
+        df = db.frames.get(name)
+        if df is not None and "id" in df.columns:
+            part = df.select("id", F.lit(k).alias("rank"), (F.col("ord") if "ord" in df.columns else F.lit(0)).cast("long").alias("ord"))
+            union = part if union is None else union.unionByName(part)
     w = Window.partitionBy("id").orderBy("rank", "ord")
     return _found(union.withColumn("_n", F.row_number().over(w)).filter("_n > 1"), "id.duplicate", "id")
 
@@ -114,19 +176,21 @@ def component_metric(db: ModelDb) -> DataFrame:
 
 
 def component_multiple_parents(db: ModelDb) -> DataFrame:
-    """Later edges of a metric to another parent than its first."""
+    """Later edges of a metric to another parent than its first; edges between other things than metrics do not count."""
     w = Window.partitionBy("from_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first("to_id").over(w)
-    return _found(db.relationships.filter("type = 'component_of'").withColumn("_first", first).filter("to_id <> _first"), "relationship.component_multiple_parents", "toId")
+    metrics = lambda c: db.metrics.select(F.col("id").alias(c)).distinct()
+    edges = db.relationships.filter("type = 'component_of'").join(metrics("from_id"), "from_id", "left_semi").join(metrics("to_id"), "to_id", "left_semi")
+    return _found(edges.withColumn("_first", F.first("to_id").over(w)).filter("to_id <> _first"), "relationship.component_multiple_parents", "fromId")
 
 
 def artifact_content_hash(db: ModelDb) -> DataFrame:
-    return _found(db.source_artifacts.filter(F.col("content_hash").isNotNull() & ~F.col("content_hash").rlike("^[A-Za-z0-9_-]+:[0-9a-fA-F]+$")), "artifact.content_hash", "contentHash")
+    return _found(db.source_artifacts.filter(F.col("content_hash").isNotNull() & ~F.col("content_hash").rlike("^[A-Za-z0-9]+:[0-9a-fA-F]+$")), "artifact.content_hash", "contentHash")
 
 
 def provenance_missing(db: ModelDb) -> DataFrame:
-    have = db.provenance_records.select(F.col("target_id").alias("id")).distinct()
-    return _found(db.observations.join(have, "id", "left_anti"), "provenance.missing", "provenanceRecords")
+    """Objects of the traced collections without a provenance record."""
+    have = db.provenance_records.select(F.col("target_id").alias("_id")).distinct()
+    return _found(_ids(db, TRACED).join(have, "_id", "left_anti"), "provenance.missing", "provenanceRecords", "_id")
 
 
 def provenance_context_duplicate(db: ModelDb) -> DataFrame:
@@ -215,7 +279,7 @@ def formula_edges(db: ModelDb) -> DataFrame:
     table = db.observations.sparkSession.createDataFrame(refs, "transformation_id string, from_metric string, to_metric string, offset int, named string")
     seen = db.observations.select("model_id", "period_id").distinct().join(db.periods.select(F.col("id").alias("period_id"), "type", period_key().alias("key")), "period_id")
     axis = seen.withColumn("pos", F.row_number().over(Window.partitionBy("model_id", "type").orderBy("key", "period_id")))
-    cells = db.observations.filter("transformation_id is not null").select("model_id", "transformation_id", F.col("period_id").alias("from_period")).distinct().join(F.broadcast(table), "transformation_id")
+    cells = db.observations.filter("transformation_id is not null").select("model_id", "transformation_id", F.col("period_id").alias("from_period")).distinct().join(table, "transformation_id")
     here = axis.select("model_id", "type", F.col("period_id").alias("from_period"), "pos")
     there = axis.select("model_id", "type", F.col("period_id").alias("moved"), F.col("pos").alias("target"))
     placed = cells.join(here, ["model_id", "from_period"], "left").withColumn("target", F.col("pos") + F.col("offset")).join(there, ["model_id", "type", "target"], "left")
@@ -223,11 +287,12 @@ def formula_edges(db: ModelDb) -> DataFrame:
 
 
 def transformation_cycle(db: ModelDb) -> DataFrame:
-    """Cells on or above a cycle of formulas: cells that read none of the rest are trimmed until nothing changes."""
-    edges = formula_edges(db).select(F.concat_ws("/", "model_id", "from_metric", "from_period").alias("a"), F.concat_ws("/", "model_id", "to_metric", "to_period").alias("b")).checkpoint()
+    """Cells on a cycle of formulas, or between two: cells that read none of the rest, or that none of the rest reads, are trimmed until nothing changes."""
+    edges = held(formula_edges(db).select(F.concat_ws("/", "model_id", "from_metric", "from_period").alias("a"), F.concat_ws("/", "model_id", "to_metric", "to_period").alias("b")))
     n = edges.count()
     while n:
-        edges = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b").checkpoint()
+        reads, read = edges.select(F.col("a").alias("b")).distinct(), edges.select(F.col("b").alias("a")).distinct()
+        edges = held(edges.join(reads, "b", "left_semi").join(read, "a", "left_semi").select("a", "b"))
         left = edges.count()
         if left == n:
             break
@@ -241,7 +306,7 @@ def component_cycle(db: ModelDb) -> DataFrame:
 
 
 def decision_change_value_type(db: ModelDb) -> DataFrame:
-    return _found(db.decision_changes.filter("before_kind <> after_kind"), "decision_change.value_type", "after")
+    return _found(db.decision_changes.filter("before_kind <> after_kind"), "decision_change.value_type", "before/after")
 
 
 def extraction_run_open_attention(db: ModelDb) -> DataFrame:
