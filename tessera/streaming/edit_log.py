@@ -8,25 +8,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.records import history_step
+
 
 def history_stream(log: DataFrame, cap: int = 20) -> DataFrame:
-    """(user_id, present, n_past, n_future) after each micro-batch, for a streaming log of (user_id, ts, event_id, action).
+    """(user_id, present, n_past, n_future) after each micro-batch, for a streaming log of (user_id, ts, event_id, action, value).
 
     Events of a batch are folded in (ts, event_id) order; state is a user's stacks, at most ``cap`` past values.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past, future, present = (list(x) if i < 2 else x for i, x in enumerate(state.get)) if state.exists else ([], [], 0)
+        past, future, present = state.get if state.exists else ([], [], 0)
+        now = (list(past), present, list(future))
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for action, value in rows[["action", "event_id"]].itertuples(index=False):
-            if action == "commit" and value != present:
-                past, present, future = [*past, present][-cap:], int(value), []
-            elif action == "undo" and past:
-                future, present = [present, *future], past.pop()
-            elif action == "redo" and future:
-                past, present = [*past, present], future.pop(0)
-            elif action == "reset":
-                past, future, present = [], [], 0
+        for action, value in zip(rows["action"].tolist(), rows["value"].tolist(), strict=True):
+            now = history_step(now, action, value, cap)
+        past, present, future = now
         state.update((past, future, present))
         yield pd.DataFrame({"user_id": [key[0]], "present": [present], "n_past": [len(past)], "n_future": [len(future)]})
 
