@@ -66,6 +66,52 @@ def flatten_series(series: DataFrame) -> DataFrame:
     return point.select("p.ord", *CONTEXT, *(F.col(f"p.{c}").alias(c) for c in POINT))
 
 
+def only(df: DataFrame, object_id: str, kind: str) -> DataFrame:
+    """The row of one object; an unknown id is an error."""
+    found = df.filter(F.col("id") == object_id)
+    if found.isEmpty():
+        raise KeyError(f"unknown {kind} {object_id}")
+    return found
+
+
+def get_models(db: ModelDb) -> DataFrame:
+    return db.models.orderBy("ord")
+
+
+def get_model(db: ModelDb, model_id: str) -> DataFrame:
+    return only(db.models, model_id, "model")
+
+
+def get_metric(db: ModelDb, metric_id: str) -> DataFrame:
+    return only(db.metrics, metric_id, "metric")
+
+
+def get_observation(db: ModelDb, observation_id: str) -> DataFrame:
+    """The observation with its series' context; no row for an unknown id."""
+    return db.observations.filter(F.col("id") == observation_id)
+
+
+def get_object(db: ModelDb, object_id: str, collections: list[str]) -> DataFrame:
+    """(id, collection, label) of any object; no row for an unknown id."""
+    return object_index(db, collections).filter(F.col("id") == object_id)
+
+
+def table_presentations(db: ModelDb, model_id: str) -> DataFrame:
+    return db.presentations.filter(F.col("model_id") == model_id).orderBy("ord")
+
+
+def source_expression(db: ModelDb, transformation_id: str, period_id: str) -> DataFrame:
+    """(formula) of a transformation in a period of its source; no row where there is none."""
+    return db.transformation_sources.filter((F.col("transformation_id") == transformation_id) & (F.col("period_id") == period_id)).select("formula")
+
+
+def editable(db: ModelDb) -> DataFrame:
+    """(id, editable): numbers and nulls of numeric metrics that no formula makes."""
+    numeric = db.metrics.select(F.col("id").alias("metric_id"), F.col("data_type").isin("number", "percentage", "currency", "count").alias("_numeric"))
+    free = (F.col("value_type") != "derived") & F.col("transformation_id").isNull() & F.col("kind").isin("number", "null")
+    return db.observations.join(numeric, "metric_id").select("id", (F.col("_numeric") & free).alias("editable"))
+
+
 def models_entities(db: ModelDb) -> DataFrame:
     """(model_id, entity_id, ord) of entities with an observation, in declaration order."""
     seen = db.observations.select("model_id", F.col("entity_id").alias("id")).distinct()

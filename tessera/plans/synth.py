@@ -102,8 +102,10 @@ def model_db(spark: SparkSession, sf_dir: str, with_derived: bool = False) -> Mo
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     region = spark.read.parquet(f"{sf_dir}/region.parquet")
     entities = nation.select(F.concat(F.lit("entity_nation_"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("ord"))
-    models = region.select(F.concat(F.lit("model_"), F.translate(F.lower("r_name"), " ", "_")).alias("id"), F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("ord"))
+    first = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.min("n_nationkey").alias("_first"))
+    models = region.join(first, "r_regionkey").select(F.concat(F.lit("model_"), F.translate(F.lower("r_name"), " ", "_")).alias("id"), F.col("r_name").alias("name"), F.concat(F.lit("entity_nation_"), "_first").alias("primary_entity_id"), F.lit("2001-12-31").alias("as_of"), F.col("r_regionkey").cast("long").alias("ord"))
+    scenarios = spark.range(3).select(F.element_at(F.array(*(F.lit(f"scenario_{x}") for x in ("base", "bull", "bear"))), (F.col("id") + 1).cast("int")).alias("id"), F.col("id").alias("ord"))
     metrics = spark.sql("select * from values " + ", ".join(f"('{i}', '{n}', '{t}', array({', '.join(repr(x) for x in tags)}), {k}L)" for k, (i, n, t, tags, _) in enumerate(METRICS)) + " as t(id, name, data_type, tags, ord)")
     relationships = spark.sql("select * from values " + ", ".join(f"('relationship_{k}', '{i}', 'component_of', '{p}', {k}L)" for k, (i, _, _, _, p) in enumerate(METRICS) if p) + " as t(id, from_id, type, to_id, ord)")
     transformations = spark.sql("select * from values " + ", ".join(f"('{i}', '{m}', 'supported', \"{e}\", {k}L)" for k, (i, m, e) in enumerate(EXPRESSIONS)) + " as t(id, output_metric_id, status, expression, ord)")
-    return ModelDb({"observations": obs, "periods": periods, "entities": entities, "models": models, "metrics": metrics, "relationships": relationships, "transformations": transformations})
+    return ModelDb({"observations": obs, "periods": periods, "entities": entities, "models": models, "scenarios": scenarios, "metrics": metrics, "relationships": relationships, "transformations": transformations})

@@ -33,7 +33,10 @@ COLLECTIONS: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
     "provenance_contexts": ("provenanceContexts", [("id", "id", "string"), ("source_artifact_id", "sourceArtifactId", "string"), ("extraction_run_id", "extractionRunId", "string"), ("confidence", "confidence", "double"), ("review_status", "reviewStatus", "string")]),
     "provenance_records": ("provenanceRecords", [("target_id", "targetId", "string"), ("context_id", "contextId", "string"), ("locator", "locator", LOCATOR), ("confidence", "confidence", "double"), ("review_status", "reviewStatus", "string")]),
     "extraction_runs": ("extractionRuns", [("id", "id", "string"), ("source_artifact_ids", "sourceArtifactIds", "array<string>"), ("status", "status", "string"), ("extractor", "extractor", "string"), ("model_version_id", "modelVersionId", "string")]),
-    "unresolved_items": ("unresolvedItems", [("id", "id", "string"), ("model_id", "modelId", "string"), ("category", "category", "string"), ("description", "description", "string"), ("current_treatment", "currentTreatment", "string"), ("impact", "impact", "string"), ("next_action", "nextAction", "string"), ("target_id", "targetId", "string"), ("locator", "locator", LOCATOR), ("attention_level", "attentionLevel", "string"), ("action_owner", "actionOwner", "string"), ("status", "status", "string")]),
+    "evidence": ("evidence", [("id", "id", "string"), ("source_artifact_id", "sourceArtifactId", "string"), ("excerpt", "excerpt", "string"), ("observed_at", "observedAt", "string")]),
+    "assumptions": ("assumptions", [("id", "id", "string"), ("model_id", "modelId", "string"), ("statement", "statement", "string"), ("entity_id", "entityId", "string"), ("effective_period_ids", "effectivePeriodIds", "array<string>"), ("scenario_id", "scenarioId", "string"), ("confidence", "confidence", "double"), ("status", "status", "string")]),
+    "decisions": ("decisions", [("id", "id", "string"), ("model_id", "modelId", "string"), ("created_at", "createdAt", "string"), ("rationale_text", "rationaleText", "string"), ("rationale_artifact_id", "rationaleArtifactId", "string")]),
+    "unresolved_items": ("unresolvedItems", [("id", "id", "string"), ("model_id", "modelId", "string"), ("category", "category", "string"), ("description", "description", "string"), ("current_treatment", "currentTreatment", "string"), ("impact", "impact", "string"), ("next_action", "nextAction", "string"), ("target_id", "targetId", "string"), ("affected_target_ids", "affectedTargetIds", "array<string>"), ("source_artifact_id", "sourceArtifactId", "string"), ("locator", "locator", LOCATOR), ("attention_level", "attentionLevel", "string"), ("action_owner", "actionOwner", "string"), ("status", "status", "string")]),
 }
 
 
@@ -48,8 +51,19 @@ class InvalidDocument(ValueError):
 def decode(content: bytes, cap: int = MAX_BYTES) -> str:
     """Text of a file's bytes; gzip is known by its first two bytes, not by the name."""
     if content[:2] == b"\x1f\x8b":
-        reader = zlib.decompressobj(31)
-        content = reader.decompress(content, cap + 1)
+        rest, out = content, b""
+        while rest:  # a file may have several members
+            reader = zlib.decompressobj(31)
+            try:
+                out += reader.decompress(rest, cap + 1 - len(out))
+            except zlib.error as error:
+                raise MalformedJson(str(error)) from error
+            if len(out) > cap:
+                raise InvalidDocument(f"more than {cap} bytes")
+            if not reader.eof:
+                raise MalformedJson("the gzip data is cut off")
+            rest = reader.unused_data
+        content = out
     if len(content) > cap:
         raise InvalidDocument(f"more than {cap} bytes")
     return content.decode()
@@ -101,19 +115,22 @@ def from_document(spark: SparkSession, document: dict) -> ModelDb:
         for section in item.get("sections", []):
             metrics.extend((len(metrics) + i, name, section.get("id"), m, (section.get("metricParentIds") or {}).get(m)) for i, m in enumerate(section.get("metricIds", [])))
     frames["presentations"] = spark.createDataFrame(shown, "ord long, id string, title string, model_id string, sheet string")
-    frames["sections"] = spark.createDataFrame([(p.get("modelId"), x.get("id"), x.get("title")) for p in document.get("tablePresentations", []) for x in p.get("sections", [])], "model_id string, id string, title string")
-    changes = [(c["id"], c.get("decisionId"), c.get("metricId"), c.get("periodId"), _tagged(c.get("before"))["kind"], _tagged(c.get("after"))["kind"]) for c in document.get("decisionChanges", [])]
-    frames["decision_changes"] = spark.createDataFrame(changes, "id string, decision_id string, metric_id string, period_id string, before_kind string, after_kind string")
+    parts = [(p.get("modelId"), x.get("id"), x.get("title"), (x.get("sourceLocator") or {}).get("sheet")) for p in document.get("tablePresentations", []) for x in p.get("sections", [])]
+    frames["sections"] = spark.createDataFrame([(i, *x) for i, x in enumerate(parts)], "ord long, model_id string, id string, title string, sheet string")
+    named = document.get("dataset") or {}
+    frames["dataset"] = spark.createDataFrame([(named.get("id"), named.get("name"), named.get("createdAt"), named.get("updatedAt"), named.get("defaultModelId"))], "id string, name string, created_at string, updated_at string, default_model_id string")
+    changes = [(i, c["id"], c.get("decisionId"), c.get("observationId"), c.get("metricId"), c.get("periodId"), c.get("scenarioId"), _tagged(c.get("before"))["kind"], _tagged(c.get("after"))["kind"]) for i, c in enumerate(document.get("decisionChanges", []))]
+    frames["decision_changes"] = spark.createDataFrame(changes, "ord long, id string, decision_id string, observation_id string, metric_id string, period_id string, scenario_id string, before_kind string, after_kind string")
     frames["presentation_metrics"] = spark.createDataFrame(metrics, "ord long, presentation_id string, section_id string, metric_id string, parent_id string")
     return ModelDb(frames)
 
 
 def read_model(spark: SparkSession, path: str, cap: int = MAX_BYTES) -> ModelDb:
-    """The database of one JSON or gzip file."""
-    row = spark.read.format("binaryFile").load(path).select("content").head()
-    if row is None:
-        raise InvalidDocument("no file")
-    return from_document(spark, parse_document(decode(bytes(row["content"]), cap)))
+    """The database of one JSON or gzip file, at most ``cap`` bytes decoded; several matching files are an error."""
+    rows = spark.read.format("binaryFile").load(path).filter(F.col("length") <= cap).select("content").take(2)
+    if len(rows) != 1:
+        raise InvalidDocument("no file of at most that size" if not rows else "several files; name one")
+    return from_document(spark, parse_document(decode(bytes(rows[0]["content"]), cap)))
 
 
 def encode_gzip(document: dict) -> bytes:
@@ -125,4 +142,19 @@ def write_observations(observations: DataFrame, path: str) -> None:
     """Observation series as JSON lines, gzip, one series a line: a sink for databases of any size."""
     from ..plans.model_db import group_series
 
-    group_series(observations).withColumn("points", F.expr("transform(points, p -> named_struct('id', p.id, 'periodId', p.period_id, 'scenarioId', p.scenario_id, 'actuality', p.actuality, 'value', coalesce(to_json(p.num), p.str, to_json(p.bool)), 'valueType', p.value_type, 'transformationId', p.transformation_id))")).select(F.to_json(F.struct(F.col("model_id").alias("modelId"), F.col("metric_id").alias("metricId"), F.col("entity_id").alias("entityId"), F.col("as_of").alias("asOf"), F.col("version_id").alias("versionId"), "points")).alias("value")).write.text(path, compression="gzip")
+    value = "case p.kind when 'number' then cast(p.num as variant) when 'string' then cast(p.str as variant) when 'boolean' then cast(p.bool as variant) else parse_json('null') end"
+    point = f"named_struct('id', p.id, 'periodId', p.period_id, 'scenarioId', p.scenario_id, 'actuality', p.actuality, 'value', {value}, 'valueType', p.value_type, 'transformationId', p.transformation_id)"
+    names = {"modelId": "model_id", "metricId": "metric_id", "entityId": "entity_id", "asOf": "as_of", "versionId": "version_id"}
+    rows = group_series(observations).withColumn("points", F.expr(f"transform(points, p -> {point})")).select(F.to_json(F.struct(*(F.col(c).alias(k) for k, c in names.items()), "points")).alias("value"))
+    rows.write.text(path, compression="gzip")
+
+
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    """Flat observations of the series lines that ``write_observations`` made, without ``ord``; values keep their kinds."""
+    point = "struct<id:string,periodId:string,scenarioId:string,actuality:string,value:variant,valueType:string,transformationId:string>"
+    schema = f"modelId string, metricId string, entityId string, asOf string, versionId string, points array<{point}>"
+    p = spark.read.text(path).select(F.from_json("value", schema).alias("s")).select("s.*", F.explode("s.points").alias("p"))
+    kind = F.expr("case when p.value is null or is_variant_null(p.value) then 'null' when schema_of_variant(p.value) = 'STRING' then 'string' when schema_of_variant(p.value) = 'BOOLEAN' then 'boolean' else 'number' end")
+    pick = lambda k, t: F.when(F.col("kind") == k, F.expr(f"try_variant_get(p.value, '$', '{t}')"))
+    context = [F.col(a).alias(b) for a, b in zip(("modelId", "metricId", "entityId", "asOf", "versionId"), CONTEXT, strict=True)]
+    return p.withColumn("kind", kind).select(*context, "p.id", F.col("p.periodId").alias("period_id"), F.col("p.scenarioId").alias("scenario_id"), "p.actuality", "kind", pick("number", "double").alias("num"), pick("string", "string").alias("str"), pick("boolean", "boolean").alias("bool"), F.col("p.valueType").alias("value_type"), F.col("p.transformationId").alias("transformation_id"))
