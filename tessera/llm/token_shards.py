@@ -31,9 +31,13 @@ from .sharding import PRIME, ROUNDS, radices, round_keys
 from .tokens import encoder, with_end
 
 LENGTH, SLOTS = 1024, 8192
-FLUSH = 4096
+FLUSH = 1024
+#: Bytes of text that a task encodes at once.
+ENCODE_BYTES = 1 << 20
 #: Most range partitions that write; beyond as many shards, each writes a run of shards.
 MOST_RANGES = 20_000
+#: Compression of what goes through the shared folder and the shuffle, which with the shards make up the disk.
+LEVEL = 6
 
 
 def permute_array(x: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -75,7 +79,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], length: int, end_id: int) -> I
 
     for batch in batches:
         doc_ids = batch.column(0).fill_null(-1).to_numpy()
-        for begin, _, buf, offs in vec.text_blocks(batch.column(1)):
+        for begin, _, buf, offs in vec.text_blocks(batch.column(1), ENCODE_BYTES):
             new, first = with_end(*encode(buf, offs), end_id)
             size = np.diff(first)
             ids = np.concatenate((ids, new))
@@ -101,7 +105,7 @@ def encoded_sequences(narrow: DataFrame, length: int, end_id: int) -> DataFrame:
     """(part, at, n, pack): packs of records of each partition's stream, and the number of records before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(1)
+        part, at, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(LEVEL)
         for rows in _flushed(_sequences(batches, length, end_id)):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(rows)], pa.int64()), pa.array([_packed(press, rows)], pa.binary())], ["part", "at", "n", "pack"])
             at += len(rows)
@@ -128,7 +132,7 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, slots: int =
     empty table gives no shard; other columns are ignored. An id of 65536 or more, or a text of 2**32 ids, raises an error.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = materialize(encoded_sequences(narrow, length, end_id), "sequences")
+    encoded = materialize(encoded_sequences(narrow, length, end_id), "sequences", row_group=8 << 20)
     counts = encoded.groupBy("part").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     # one row for each input partition: as few as there are tasks
@@ -138,7 +142,7 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, slots: int =
     per_range = -(-shards // MOST_RANGES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(1)
+        press = zstandard.ZstdCompressor(LEVEL)
         for batch in batches:
             for number, pack in zip(batch.column("number").to_pylist(), batch.column("pack"), strict=True):
                 rows = _unpacked(pack.as_py(), length)
@@ -180,10 +184,12 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, slots: int
                 raw = content.as_py()
                 if len(raw) % size or len(raw) > slots * size:
                     raise ValueError(f"shard {shard} has {len(raw)} bytes, no multiple of {size} up to {slots} times")
-                rows = np.frombuffer(raw, kind)["r"]
-                ids = [r["ids"][: r["n"]].astype("<u4").tobytes() for r in rows]
-                arrays = [pa.array(shard * slots + np.arange(len(rows))), pa.array(np.full(len(rows), shard)), pa.array(rows["doc_id"].astype(np.int64)), pa.array(rows["start"].astype(np.int64)), pa.array(rows["n"].astype(np.int64)), pa.array(map(zlib.crc32, ids), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(ids, pa.binary())] if with_ids else [])], ["slot", "shard", "doc_id", "start", "n_ids", "ids_crc32"] + ["ids"] * with_ids)
+                whole = np.frombuffer(raw, kind)["r"]
+                for at in range(0, len(whole), FLUSH):
+                    rows = whole[at : at + FLUSH]
+                    ids = [r["ids"][: r["n"]].astype("<u4").tobytes() for r in rows]
+                    arrays = [pa.array(shard * slots + at + np.arange(len(rows))), pa.array(np.full(len(rows), shard)), pa.array(rows["doc_id"].astype(np.int64)), pa.array(rows["start"].astype(np.int64)), pa.array(rows["n"].astype(np.int64)), pa.array(map(zlib.crc32, ids), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(ids, pa.binary())] if with_ids else [])], ["slot", "shard", "doc_id", "start", "n_ids", "ids_crc32"] + ["ids"] * with_ids)
 
     schema = "slot long, shard long, doc_id long, start long, n_ids long, ids_crc32 long" + ", ids binary" * with_ids
     files = spark.read.format("binaryFile").load(path).withColumn("shard", F.regexp_extract("path", r"shard=(\d+)/", 1).cast("long"))
