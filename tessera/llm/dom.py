@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 
@@ -21,27 +23,55 @@ SKIPPED = RAW | {"select", "button", "option", "object", "canvas", "audio", "vid
 VOID = frozenset(["br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"])
 BLOCK = frozenset(["html", "body", "article", "section", "main", "nav", "header", "footer", "aside", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "form", "fieldset", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "dialog", "center", "hgroup", "menu", "search"])
 CLOSES_P = BLOCK - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption"}
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-GOOD = frozenset(["article", "content", "post", "entry", "main", "story", "body", "text", "page", "blog", "prose", "column", "detail", "news", "paragraph", "headline"])
-BAD = frozenset(["nav", "menu", "navbar", "navigation", "sidebar", "side", "footer", "foot", "header", "masthead", "ad", "ads", "advert", "advertisement", "banner", "promo", "sponsor", "sponsored", "cookie", "consent", "notice", "popup", "modal", "overlay", "alert", "share", "social", "related", "recommended", "widget", "form", "login", "signup", "subscribe", "newsletter", "breadcrumb", "breadcrumbs", "copyright", "legal", "tags", "meta", "pagination", "pager", "toolbar", "search", "skip", "more", "links", "outbrain", "gdpr", "trending", "popular", "archive"])
-TALK = frozenset(["comment", "comments", "reply", "replies", "discussion", "discuss", "respond", "response", "responses", "disqus", "thread", "reader", "feedback"])
+#: Elements that a start tag closes, and those beyond which it does not look.
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"})}
+CLOSED_BY = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3}
+#: Attribute tokens are told apart by so many hash values.
+BUCKETS = 4096
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 KINDS = ["article", "main", "section", "div", "p", "h", "li", "nav", "header", "footer", "aside", "form", "table", "blockquote", "#text"]
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "tokens", "depth", "text", "links", "inline", "inputs", "order")
+    """mates: for each rule of ``CLOSES`` the outermost element that its start tags would close; paragraph: the paragraph that a block would close."""
 
-    def __init__(self, tag: str, parent: Node | None, tokens: list[str]):
+    __slots__ = ("tag", "parent", "children", "tokens", "depth", "text", "links", "inline", "inputs", "order", "mates", "paragraph")
+
+    def __init__(self, tag: str, parent: Node | None, tokens: list[int]):
         self.tag, self.parent, self.tokens, self.children = tag, parent, tokens, []
         self.depth = parent.depth + 1 if parent else 0
         self.text, self.links, self.inline, self.inputs = "", 0, 0, 0
+        self.mates, self.paragraph = _NO_MATES, None
         if parent:
             parent.children.append(self)
+            if tag == "p":
+                self.paragraph = self
+            elif tag in HEADINGS:
+                self.paragraph = parent.paragraph
+            if tag in _RULED or parent.mates is not _NO_MATES:
+                self.mates = tuple(None if tag in stop else parent.mates[k] or (self if tag in mates else None) for k, (mates, stop) in enumerate(CLOSES.values()))
+
+
+_NO_MATES = (None,) * len(CLOSES)
+_RULED = frozenset().union(*(mates for mates, _ in CLOSES.values()))
+_hashes: dict[str, int] = {}
+
+
+def bucket(token: str) -> int:
+    if len(_hashes) > 100_000:
+        _hashes.clear()
+    if token not in _hashes:
+        _hashes[token] = zlib.crc32(token.encode()) % BUCKETS
+    return _hashes[token]
 
 
 def parse(page: str) -> Node:
-    """The block tree; unclosed, misnested and cut-off markup is tolerated, elements of no text are left out."""
+    """The block tree; unclosed, misnested and cut-off markup is tolerated, elements of no text are left out.
+
+    Time is linear in the page: an element is left once, and what a tag closes is known at each element.
+    """
     root = node = Node("#root", None, [])
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     links = inline = skipped = link_depth = 0
     skip_tag = ""
@@ -56,10 +86,15 @@ def parse(page: str) -> Node:
         pieces.clear()
         links = inline = 0
 
-    def close_to(target: Node) -> None:
+    def leave(until: Callable[[Node], bool]) -> None:
+        """Close elements from the innermost out, up to the first one that ``until`` names."""
         nonlocal node
         flush()
-        node = target.parent or root
+        while node is not root:
+            left, node = node, node.parent
+            opened[left.tag] -= 1
+            if until(left):
+                break
 
     while at < end:
         m = _TAG.search(page, at)
@@ -83,11 +118,8 @@ def parse(page: str) -> Node:
             elif tag == "a":
                 link_depth = 0
             elif tag in BLOCK:
-                up = node
-                while up is not root and up.tag != tag:
-                    up = up.parent
-                if up is not root:
-                    close_to(up)
+                if opened[tag]:
+                    leave(lambda x: x.tag == tag)
                 else:
                     flush()
                 link_depth = 0
@@ -117,23 +149,13 @@ def parse(page: str) -> Node:
         elif tag in BLOCK:
             flush()
             link_depth = 0
-            if tag in CLOSES_P:
-                up = node
-                while up is not root and up.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and up.tag != "p":
-                    up = up.parent
-                if up.tag == "p":
-                    close_to(up)
-            if tag in CLOSES:
-                mates, stop = CLOSES[tag]
-                up, last = node, None
-                while up is not root and up.tag not in stop:
-                    if up.tag in mates:
-                        last = up
-                    up = up.parent
-                if last is not None:
-                    close_to(last)
-            tokens = [t.lower() for a in _ATTR.finditer(m[3]) for t in _TOKEN.findall(a[2] or a[3] or a[4] or "")] if "=" in m[3] else []
+            if tag in CLOSES_P and (target := node.paragraph):
+                leave(lambda x: x is target)
+            if tag in CLOSED_BY and (target := node.mates[CLOSED_BY[tag]]):
+                leave(lambda x: x is target)
+            tokens = [bucket(t.lower()) for a in _ATTR.finditer(m[3]) for t in _TOKEN.findall(a[2] or a[3] or a[4] or "")] if "=" in m[3] else []
             node = Node(tag, node, tokens)
+            opened[tag] += 1
         else:
             inline += 1
     flush()
@@ -151,29 +173,39 @@ def walk(root: Node) -> list[Node]:
     return out
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """A row for each node: own and inherited attribute tokens, subtree counts and densities, depth, siblings."""
+def token_weights(pages: list[list[Node]], labels: list[np.ndarray], least: int = 4) -> np.ndarray:
+    """Log-odds of each attribute token's hash that its element holds main text; 0 for hashes of fewer than ``least`` elements."""
+    main, other = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for nodes, y in zip(pages, labels, strict=True):
+        for x in nodes:
+            for t in set(x.tokens):
+                (main if y[x.order] else other)[t] += 1
+    return np.where(main + other >= least, np.log((main + 0.5) / (other + 0.5)), 0.0)
+
+
+def features(nodes: list[Node], weights: np.ndarray) -> np.ndarray:
+    """A row for each node: own, inherited and inner attribute tokens, subtree counts and densities, depth, siblings."""
     n = len(nodes)
     chars, links, marks, tags, leaves, heads, items, paras, inputs = (np.zeros(n) for _ in range(9))
-    own_good, own_bad, own_talk, up_good, up_bad, up_talk = (np.zeros(n) for _ in range(6))
+    best, worst, up_best, up_worst = (np.zeros(n) for _ in range(4))
     for i, x in enumerate(nodes):
         if x.tag == "#text":
             chars[i], links[i], leaves[i], tags[i] = len(x.text), x.links, 1, x.inline
             marks[i] = sum(map(x.text.count, ".,;!?"))
         else:
-            tags[i], heads[i], items[i], paras[i], inputs[i] = 1, x.tag[0] == "h" and len(x.tag) == 2, x.tag == "li", x.tag == "p", x.inputs
-        own_good[i] = len(GOOD.intersection(x.tokens)) + (x.tag in ("article", "main"))
-        own_bad[i] = len(BAD.intersection(x.tokens)) + (x.tag in ("nav", "aside", "footer", "form", "header"))
-        own_talk[i] = len(TALK.intersection(x.tokens))
+            tags[i], heads[i], items[i], paras[i], inputs[i] = 1, x.tag in HEADINGS, x.tag == "li", x.tag == "p", x.inputs
+        if x.tokens:
+            w = weights[x.tokens]
+            best[i], worst[i] = max(w.max(), 0), min(w.min(), 0)
         if x.parent is not None:
             p = x.parent.order
-            up_good[i], up_bad[i], up_talk[i] = up_good[p] + own_good[p], up_bad[p] + own_bad[p], up_talk[p] + own_talk[p]
+            up_best[i], up_worst[i] = max(up_best[p], best[p]), min(up_worst[p], worst[p])
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent.order
         for a in (chars, links, marks, tags, leaves, heads, items, paras, inputs):
             a[p] += a[i]
     total = max(chars[0], 1)
-    index, mates, same, mean, before, good_below = (np.zeros(n) for _ in range(6))
+    index, mates, same, mean, before, in_best, in_worst = (np.zeros(n) for _ in range(7))
     for x in nodes:
         k = len(x.children)
         if k:
@@ -188,11 +220,11 @@ def features(nodes: list[Node]) -> np.ndarray:
                 same[c.order] = counts[c.tag] / k
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent.order
-        good_below[p] = max(good_below[p], good_below[i], own_good[i])
+        in_best[p], in_worst[p] = max(in_best[p], in_best[i], best[i]), min(in_worst[p], in_worst[i], worst[i])
     kind = np.zeros((n, len(KINDS)))
     place = {k: j for j, k in enumerate(KINDS)}
     for i, x in enumerate(nodes):
-        t = "h" if x.tag[0] == "h" and len(x.tag) == 2 else "li" if x.tag in ("dt", "dd") else "table" if x.tag in ("td", "th", "tr") else x.tag
+        t = "h" if x.tag in HEADINGS else "li" if x.tag in ("dt", "dd") else "table" if x.tag in ("td", "th", "tr") else x.tag
         if t in place:
             kind[i, place[t]] = 1
     parent = kind[[x.parent.order if x.parent else 0 for x in nodes]]
@@ -202,4 +234,4 @@ def features(nodes: list[Node]) -> np.ndarray:
     depth = np.array([x.depth for x in nodes])
     at = np.concatenate(([0], np.cumsum([len(x.text) for x in nodes])))[:-1] / total
     per = np.maximum(chars, 1)
-    return np.column_stack([chars, chars / total, links / per, marks / per * 100, chars / np.maximum(tags, 1), leaves, heads, items, paras, inputs, own_good, own_bad, own_talk, up_good, up_bad, up_talk, good_below, depth, index, mates, same, mean, before, at, kind, parent, in_kinds])
+    return np.column_stack([chars, chars / total, links / per, marks / per * 100, chars / np.maximum(tags, 1), leaves, heads, items, paras, inputs, best, worst, up_best, up_worst, in_best, in_worst, depth, index, mates, same, mean, before, at, kind, parent, in_kinds])

@@ -1,10 +1,11 @@
 """Main-text extraction: boosted trees over block-tree nodes and a hierarchical decoding.
 
-The trees give each node the log-odds that its subtree holds main text. Decoding picks the most likely set
-of kept nodes in which every kept node has a kept parent, by one pass up and one pass down the tree, so
-an ancestor and its descendants never contradict each other. The model is fitted on ``TRAIN_PAGES`` pages made by
-``page_samples`` (their labels are known as they are built); the bound is that parameter, and every
-page of the input is read whole.
+The trees give each node the log-odds that its subtree holds main text. Their features are densities, depth and
+siblings of the subtree, and what the attribute tokens (words of class, id and role, hashed) of the element, of those around and of
+those in it have meant on the training pages. Decoding picks the most likely set of kept nodes in which every kept node has a
+kept parent, by one pass up and one pass down the tree, so an ancestor and its descendants never contradict each other. The
+model is fitted on ``TRAIN_PAGES`` pages of several layout families made by ``page_samples`` (their labels are known as they are built);
+the bound is that parameter, and every page of the input is read whole.
 """
 
 from __future__ import annotations
@@ -19,22 +20,34 @@ from pyspark.sql import functions as F
 
 from . import dom
 from .boosting import BoostedTrees
-from .page_samples import labelled_page
+from .page_samples import FAMILIES, labelled_page
 
 TRAIN_PAGES = 500
-BATCH_NODES = 4000
+#: Pages whose nodes are scored together.
+BATCH_PAGES = 64
 
 
-@lru_cache(maxsize=2)
-def model(pages: int = TRAIN_PAGES, seed: int = 5) -> BoostedTrees:
+class Model:
+    """Weights of attribute tokens and boosted trees, fitted on the same labelled pages."""
+
+    def __init__(self, samples: list[tuple[str, set[str]]]):
+        pages = [dom.walk(dom.parse(html)) for html, _ in samples]
+        labels = [label_nodes(nodes, main) for nodes, (_, main) in zip(pages, samples, strict=True)]
+        self.weights = dom.token_weights(pages, labels)
+        self.trees = BoostedTrees(trees=60, depth=5).fit(np.concatenate([dom.features(nodes, self.weights) for nodes in pages]), np.concatenate(labels))
+
+    def scores(self, pages: list[list[dom.Node]]) -> list[np.ndarray]:
+        """Log-odds of each node of each page that it holds main text."""
+        score = self.trees.predict(np.concatenate([dom.features(n, self.weights) for n in pages]))
+        return np.split(score, np.cumsum([len(n) for n in pages])[:-1])
+
+
+@lru_cache(maxsize=8)
+def model(pages: int = TRAIN_PAGES, seed: int = 5, without: str | None = None) -> Model:
+    """The model of ``pages`` made pages, of all layouts but ``without``."""
     rng = np.random.default_rng(seed)
-    rows, labels = [], []
-    for _ in range(pages):
-        html, main = labelled_page(rng)
-        nodes = dom.walk(dom.parse(html))
-        rows.append(dom.features(nodes))
-        labels.append(label_nodes(nodes, main))
-    return BoostedTrees().fit(np.concatenate(rows), np.concatenate(labels))
+    families = [f for f in FAMILIES if f != without]
+    return Model([labelled_page(rng, families[i % len(families)]) for i in range(pages)])
 
 
 def label_nodes(nodes: list[dom.Node], main: set[str]) -> np.ndarray:
@@ -68,13 +81,9 @@ def decode(nodes: list[dom.Node], score: np.ndarray) -> list[str]:
     return out
 
 
-def extract_texts(pages: list[str | None], trees: BoostedTrees) -> list[str]:
+def extract_texts(pages: list[str | None], fitted: Model) -> list[str]:
     parsed = [dom.walk(dom.parse(p or "")) for p in pages]
-    if not parsed:
-        return []
-    score = trees.predict(np.concatenate([dom.features(n) for n in parsed]))
-    ends = np.cumsum([len(n) for n in parsed])
-    return ["\n".join(decode(n, score[e - len(n) : e])) for n, e in zip(parsed, ends, strict=True)]
+    return ["\n".join(decode(n, s)) for n, s in zip(parsed, fitted.scores(parsed), strict=True)] if parsed else []
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -83,16 +92,15 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     A null or empty page has an empty text; null ids and urls stay; repeated rows give repeated rows; an empty
     table gives an empty result; other columns are ignored. Row-local: no shuffle.
     """
-    trees = model()
+    fitted = model()
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             html = batch.column("html")
-            step = max(1, min(64, BATCH_NODES // 60))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                texts = extract_texts(html.slice(at, step).to_pylist(), trees)
+            for at in range(0, batch.num_rows, BATCH_PAGES):
+                part = batch.slice(at, BATCH_PAGES)
+                texts = extract_texts(html.slice(at, BATCH_PAGES).to_pylist(), fitted)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return narrow.mapInArrow(run, f"page_id {narrow.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

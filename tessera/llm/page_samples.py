@@ -1,28 +1,37 @@
-"""Labelled pages for fitting the main-text model: varied layouts whose main blocks are known as they are built."""
+"""Labelled pages for fitting the main-text model: layout families whose main blocks are known as they are built.
+
+``named`` pages have telling class names, ``opaque`` ones names without a meaning, so that only structure tells; ``divs`` use no semantic
+elements, ``table`` pages are laid out by table cells, and ``portal`` pages put teasers and link lists around a short article.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+FAMILIES = ["named", "opaque", "divs", "table", "portal"]
 _VOWELS, _CONSONANTS = "aeiouéäó", "bcdfghlmnprstvz"
-_MAIN = ["content", "post", "entry-content", "article-body", "story", "main-content", "post-text", "c-article", "page-body", "blog-post", "prose"]
+#: Class names that pages give to their parts.
+_MAIN = ["content", "post", "entry-content", "article-body", "story", "main-content", "post-text", "c-article", "page-body", "blog-post", "prose", "article", "main", "entry", "text", "detail", "news-body", "body-copy", "column-main", "paragraphs", "headline-block"]
 _WRAP = ["wrapper", "container", "row", "col", "page", "site", "layout", "inner", "l-grid", "outer"]
 _BOILER = {
-    "ad": ["ad", "ads", "advert", "ad-banner", "sponsored", "promo-box", "advertisement"],
-    "side": ["sidebar", "side", "widget", "related", "popular-posts", "trending", "recommended"],
-    "note": ["cookie-notice", "notice", "consent", "gdpr-banner", "popup", "alert", "modal"],
-    "talk": ["comments", "comment-list", "reader-comments", "discussion", "replies", "responses"],
-    "form": ["newsletter", "login-form", "search-form", "subscribe", "signup"],
-    "share": ["share", "social-links", "tags", "breadcrumbs", "meta-links", "pagination"],
+    "ad": ["ad", "ads", "advert", "ad-banner", "sponsored", "promo-box", "advertisement", "sponsor", "promo", "banner", "outbrain"],
+    "side": ["sidebar", "side", "widget", "related", "popular-posts", "trending", "recommended", "more-links", "archive", "side-links"],
+    "note": ["cookie-notice", "notice", "consent", "gdpr-banner", "popup", "alert", "modal", "overlay", "legal-notice"],
+    "talk": ["comments", "comment-list", "reader-comments", "discussion", "replies", "responses", "disqus", "thread", "feedback"],
+    "form": ["newsletter", "login-form", "search-form", "subscribe", "signup", "contact-form", "search-box", "toolbar"],
+    "share": ["share", "social-links", "tags", "breadcrumbs", "meta-links", "pagination", "pager", "social", "breadcrumb", "skip-links"],
 }
+_MENU = ["menu", "nav", "navbar", "top-menu", "navigation", "main-menu"]
+_HEAD = ["site-header", "masthead", "header", "top-bar"]
+_FOOT = ["footer", "site-footer", "copyright", "foot", "bottom"]
 
 #: Share of lists of siblings that are long (65 to 184).
 LONG = 0.03
 
 
 class _Page:
-    def __init__(self, rng: np.random.Generator):
-        self.rng, self.main = rng, set()
+    def __init__(self, rng: np.random.Generator, family: str):
+        self.rng, self.family, self.main = rng, family, set()
 
     def pick(self, values: list[str]) -> str:
         return values[self.rng.integers(len(values))]
@@ -45,6 +54,9 @@ class _Page:
         return " ".join(self.sentence() for _ in range(self.rng.integers(low, high)))
 
     def attrs(self, names: list[str]) -> str:
+        if self.family == "opaque":
+            name = self.pick(["c", "x", "css-", "b_", "u"]) + str(self.rng.integers(100)) + self.pick([*_CONSONANTS])
+            return self.pick([f' class="{name}"', f' id="{name}"', ""])
         name = self.pick(names)
         return self.pick([f' class="{name}"', f' id="{name}"', f" class='{self.pick(_WRAP)} {name}'"])
 
@@ -58,12 +70,13 @@ class _Page:
 
     def article(self) -> str:
         rng, out = self.rng, []
-        if self.chance(0.85):
-            title = self.keep(self.sentence(3, 12)[: int(rng.integers(20, 80))])
+        count = int(rng.integers(65, 185) if self.chance(LONG) else rng.choice([0, 1, 1, 2, 3, 5, 8, 14]))
+        if not count or self.chance(0.85):
+            title = self.keep(self.sentence(1, 12)[: int(rng.integers(2, 80))])
             out.append(f"<h1>{title}</h1>")
             if self.chance(0.4):
                 out.append(f"<p><b>{self.keep(title + self.word())}<br>")
-        for _ in range(int(rng.integers(65, 185) if self.chance(LONG) else rng.choice([1, 2, 3, 5, 8, 14]))):
+        for _ in range(count):
             kind = rng.random()
             if kind < 0.72:
                 text = self.keep(self.prose() if self.chance(0.85) else self.sentence(1, 6))
@@ -86,7 +99,9 @@ class _Page:
         return "".join(out)
 
     def boiler(self, kind: str) -> str:
-        rng, tag = self.rng, self.pick(["div", "div", "section", "aside"])
+        rng, tag = self.rng, "div" if self.family == "divs" else self.pick(["div", "div", "section", "aside"])
+        if self.family == "opaque" and kind in ("ad", "note", "side"):
+            tag = "aside"  # prose in nameless blocks beside a nameless article could not be told from it
         if kind == "form":
             inner = f'<form action="/x"><p>{self.sentence()}</p><label>{self.word()}</label><input name="a"><button>{self.word()}</button></form>'
         elif kind == "share":
@@ -99,37 +114,69 @@ class _Page:
             inner = self.prose(1, 3) if self.chance(0.6) else f"<p>{self.prose(1, 2)}</p>" + (f'<a href="/x">{self.word()}</a>' if self.chance(0.5) else "")
         return f"<{tag}{self.attrs(_BOILER[kind])}>{inner}</{tag}>"
 
+    def element(self, tag: str, names: list[str], inner: str) -> str:
+        """A semantic element, or a named one where the family has none."""
+        plain = self.family == "divs" or (self.family == "named" and self.chance(0.4))
+        return f"<div{self.attrs(names)}>{inner}</div>" if plain else f"<{tag}{self.attrs(names) if self.chance(0.4) else ''}>{inner}</{tag}>"
+
+    def menu(self) -> str:
+        return self.element("nav", _MENU, self.links(self.many(2, 9), "li" if self.chance(0.7) else "span"))
+
+    def footer(self) -> str:
+        foot = f"&copy; {self.word()} &middot; {self.prose(1, 2)}" if self.chance(0.6) else f"<p>&copy; {self.sentence()}</p>{self.links(int(self.rng.integers(1, 5)))}"
+        return self.element("footer", _FOOT, foot)
+
+    def teasers(self) -> str:
+        """Cards that lead elsewhere: a linked title, with or without a line of text."""
+        cards = "".join(f'<div{self.attrs(["card", "teaser", "item", "tile"])}><h3><a href="/{self.word()}">{self.sentence(2, 7)}</a></h3>{f"<p>{self.sentence()}</p>" if self.chance(0.5) else ""}</div>' for _ in range(self.many(2, 7)))
+        return f"<div{self.attrs(['teasers', 'cards', 'grid', 'latest', 'more-news'])}>{cards}</div>"
+
+    def around(self, share: float) -> tuple[list[str], list[str]]:
+        """Boilerplate before and after the main text."""
+        top = [self.boiler(k) for k in ["note", "ad", "share", "form"] if self.chance(share)]
+        bottom = [self.boiler(k) for k in ["talk", "side", "share", "form", "ad", "note", "talk"] if self.chance(share)]
+        return top, bottom
+
+    def wrapped(self) -> str:
+        """The article in the element that a page of the family gives it."""
+        body = self.article()
+        if self.family == "divs":
+            return f"<div{self.attrs(_MAIN)}>{body}</div>"
+        if self.family == "opaque":
+            return self.pick([f"<article>{body}</article>", f"<main>{body}</main>", f"<div{self.attrs(_MAIN)}>{body}</div>"])
+        style = self.rng.random()
+        if style < 0.5:
+            return f"<article{self.attrs(_MAIN) if self.chance(0.4) else ''}>{body}</article>"
+        if style < 0.7:
+            return f"<main>{body}</main>" if self.chance(0.5) else f'<div role="main">{body}</div>'
+        return f"<div{self.attrs(_MAIN)}>{body}</div>" if style < 0.95 else body
+
     def build(self) -> str:
-        rng, plain = self.rng, self.chance(0.35)
-        head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{self.sentence()}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
-        top, bottom = [], []
+        style = "<style>a{color:red}</style>" if self.chance(0.5) else ""
+        script = f'<script>if (1 < 2) {{ show("<p>{self.word()}</p>"); }}</script>' if self.chance(0.5) else ""
+        head = f"<!DOCTYPE html><html><head><title>{self.sentence()}</title>{style}{script}</head><body>"
+        top, bottom = self.around({"named": 0.35, "opaque": 0.25, "divs": 0.35, "table": 0.2, "portal": 0.3}[self.family])
         if self.chance(0.8):
-            menu = f"<nav>{self.links(self.many(2, 9))}</nav>" if self.chance(0.6) else f"<div{self.attrs(['menu', 'nav', 'navbar', 'top-menu'])}>{self.links(self.many(2, 9), self.pick(['li', 'span']))}</div>"
-            top.append(menu if plain or self.chance(0.5) else f"<header{self.attrs(['site-header', 'masthead', 'header'])}><p>{self.sentence(1, 4)}</p>{menu}</header>")
-        if plain:
-            if self.chance(0.8):
-                top.append(f"<!-- ad {rng.integers(999)} --><div{self.attrs(_BOILER['ad'])}>{self.prose(1, 3)}</div>")
-        else:
-            top.extend(self.boiler(k) for k in ["note", "ad", "share", "form"] if self.chance(0.3))
-            bottom.extend(self.boiler(k) for k in ["talk", "side", "share", "form", "ad", "note", "talk"] if self.chance(0.35))
+            menu = self.menu()
+            top.insert(0, menu if self.chance(0.5) else self.element("header", _HEAD, f"<p>{self.sentence(1, 4)}</p>{menu}"))
         if self.chance(0.85):
-            foot = f"&copy; {self.word()} &middot; {self.prose(1, 2)}" if self.chance(0.6) else f"<p>&copy; {self.sentence()}</p>{self.links(int(rng.integers(1, 5)))}"
-            bottom.append(f"<footer>{foot}</footer>" if plain or self.chance(0.6) else f"<div{self.attrs(['footer', 'site-footer', 'copyright'])}>{foot}</div>")
-        body = self.article()
-        style = rng.random()
-        if style < 0.5:
-            body = f"<article{self.attrs(_MAIN) if self.chance(0.4) else ''}>{body}</article>"
-        elif style < 0.7:
-            body = f"<main>{body}</main>" if self.chance(0.5) else f'<div role="main">{body}</div>'
-        elif style < 0.95:
-            body = f"<div{self.attrs(_MAIN)}>{body}</div>"
-        if self.chance(0.3) and not plain:
+            bottom.append(self.footer())
+        if self.chance(0.3):
+            top.append(f"<!-- {self.word()} -->")
+        body = self.wrapped()
+        if self.family == "portal":
+            top, bottom = [*top, self.teasers()], [self.teasers(), *bottom]
+        elif self.family == "table":
+            side = f"<td{self.attrs(_MENU)}>{self.links(self.many(2, 9))}</td>"
+            right = f"<td{self.attrs(_BOILER['side'])}>{self.boiler('side')}</td>" if self.chance(0.5) else ""
+            body = f"<table><tr>{side}<td{self.attrs(_MAIN)}>{body}</td>{right}</tr></table>"
+        elif self.chance(0.3):
             body = f"<div{self.attrs(_WRAP)}>{body}{self.boiler('side') if self.chance(0.5) else ''}</div>"
         return head + "".join(top) + body + "".join(bottom) + "</body></html>" * self.chance(0.95)
 
 
-def labelled_page(rng: np.random.Generator) -> tuple[str, set[str]]:
-    """(html, texts of the main blocks)."""
-    page = _Page(rng)
+def labelled_page(rng: np.random.Generator, family: str = "named") -> tuple[str, set[str]]:
+    """(html, texts of the main blocks) of a page of a layout family."""
+    page = _Page(rng, family)
     html = page.build()
     return html, page.main
