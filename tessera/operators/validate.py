@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions
 from ..plans.hold import hold as held
 from ..plans.model_db import CONTEXT, ModelDb, period_key, value_matches
+from .contract import contract
 from .hierarchy import parent_cycles, parent_issues
 from .lineage import transformation_refs
 
@@ -240,10 +241,11 @@ def presentation_duplicate_section(db: ModelDb) -> DataFrame:
 
 
 def presentation_parents(db: ModelDb) -> DataFrame:
-    """Display parents that are not in the section, or do not stand before their child."""
+    """Display parents that are not in the section, or do not stand before their child, and parents of metrics that the section does not have."""
     items = db.presentation_metrics.select(F.concat_ws("/", "presentation_id", "section_id").alias("group"), F.col("ord").alias("pos"), F.col("metric_id").alias("id"), "parent_id")
-    issues = parent_issues(items)
-    code = F.when(F.col("issue") == "unknown_parent", "presentation.parent_unknown").otherwise("presentation.parent_order")
+    named = db.presentation_parents.select(F.concat_ws("/", "presentation_id", "section_id").alias("group"), F.col("metric_id").alias("id"), "parent_id") if "presentation_parents" in db.frames else None
+    issues = parent_issues(items, named)
+    code = F.when(F.col("issue") == "unknown_parent", "presentation.parent_unknown").when(F.col("issue") == "unknown_child", "presentation.parent_metric_unknown").otherwise("presentation.parent_order")
     return issues.select(code.alias("code"), F.concat_ws("/", "group", "id").alias("object_id"), F.lit("metricParentIds").alias("field"))
 
 
@@ -326,6 +328,7 @@ def open_items(db: ModelDb) -> DataFrame:
 
 #: Each rule with the collections it needs.
 RULES: list[tuple[Callable[[ModelDb], DataFrame], set[str]]] = [
+    (contract, {"observations"}),
     (references, {"observations", "metrics", "models", "entities", "periods", "transformations"}),
     (observation_version, {"observations", "model_versions"}),
     (observation_value_type, {"observations", "metrics"}),

@@ -133,7 +133,7 @@ items as (select 'item_' || id as id, case when ord % 4 = 0 then id when ord % 4
           case when ord % 8 = 0 then 'source_error' else 'formula' end as category,
           case when ord % 6 < 2 then 'action_required' else 'needs_review' end as attention_level,
           case ord % 12 when 0 then 'model_owner' when 1 then 'source_owner' end as action_owner,
-          case when ord % 17 = 0 then 'resolved' else 'open' end as status from placed where ord % 13 = 0),
+          case when ord % 17 = 0 then 'resolved' else 'open' end as status, ord from placed where ord % 13 = 0),
 presentations as (select 'presentation_' || m.id || '_' || n as id, m.id as model_id, case when n = 2 then m.id end as sheet, m.ord * 2 + n as ord, n, 'Table' as title
                   from mo m, range(1, 3) t(n) where m.ord < 4),
 shown as (select p.id as presentation_id, p.id || '_section_' || m.ord % 2 as section_id, m.id as metric_id, r.to_id as parent_id, m.ord
@@ -247,6 +247,7 @@ def _cyclic(code: str, field: str, select: str) -> str:
 
 RULES = {
     "references": _q(" union all ".join(_miss(*x) for x in _SITES), _BROKEN),
+    "contract": _q("select 'schema.invalid' as code, object_id, field from (select id as object_id, 'currentTreatment' as field from items where ord % 7 = 0 union all select id, 'nextAction' from items where ord % 3 = 0 union all select id, 'actionOwner' from items where attention_level = 'action_required' and action_owner is null)", _BROKEN),
     "observation_version": _rule("observation.version", "versionId", "select id as object_id from b where version_id <> 'version_1'"),
     "observation_value_type": _rule("observation.value_type", "value", "select b.id as object_id from b join metrics m on m.id = metric_id where kind <> 'null' and (kind <> 'number' or (data_type = 'count' and num <> floor(num)))"),
     "observation_transformation": _rule("observation.transformation", "transformationId", "select id as object_id from b where value_type = 'derived' and transformation_id is null"),
@@ -381,7 +382,7 @@ def oracle_sql() -> dict[str, str]:
         "style_roles": "select l_returnflag as role, case when l_linenumber % 2 = 0 then 'input' else 'none' end as kind, count(*) as n from lineitem group by all union all select l_returnflag, null, count(*) from lineitem group by 1",
         "blockers_by_metric": "with c as (select 'metric_' || l_orderkey % 20 as output_metric_id, case when l_linenumber < 4 then 'unmapped_cells' else 'unsupported_range' end as reason, case when l_linenumber <> 3 then 'Model!B' || l_quantity::INT end as input from lineitem), d as (select *, count(*) as k from c group by all), r as (select *, row_number() over (partition by output_metric_id, reason order by input nulls last) as i from d) select output_metric_id, reason, sum(k)::BIGINT as n, count(input) as n_inputs, coalesce(string_agg(input, ',' order by input) filter (i <= 12), '') as first_inputs from r group by 1, 2",
         "sections_in_several": "select o_custkey, count(distinct o_orderpriority) as n from orders group by 1 having count(distinct o_orderpriority) > 1",
-        "sections_not_covered": "select distinct c_custkey as custkey from customer where c_custkey not in (select o_custkey from orders)",
+        "sections_not_covered": "select distinct c_custkey as custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')",
         "task_matches": "with l as (select 'transformation_' || l_orderkey % 50 as t, 'period_' || l_quantity::INT as p, * from lineitem), a as (select t, p, count(*) as n from l where l_linenumber = 3 and l_orderkey % 3 = 0 group by 1, 2), b as (select distinct t, p from l where l_linenumber = 2 and l_orderkey % 5 = 0) select coalesce(a.t, b.t) as transformation_id, coalesce(a.p, b.p) as period_id, case when a.t is null then 'missing_task' when b.t is null then 'unknown_task' else 'repeated_task' end as issue from a full join b on a.t = b.t and a.p = b.p where a.t is null or b.t is null or n > 1",
         "entities_with_data": _q("select distinct model_id, entity_id, n_name as name, n_nationkey::BIGINT as ord from obs join nation on entity_id = 'entity_nation_' || n_nationkey"),
         "period_modes": _q("select model_id, entity_id, period_id, mode, coalesce(lag(mode) over (partition by model_id, entity_id order by period_key) <> mode, false) as boundary from (select model_id, entity_id, period_id, period_key, arg_min(actuality, metric_ord) as mode from fin group by 1, 2, 3, 4)", _TABLE),

@@ -395,7 +395,7 @@ def sections_in_several(spark, sf_dir):
 
 def sections_not_covered(spark, sf_dir):
     customers = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
-    return records.not_covered(customers, _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey")), "custkey")
+    return records.not_covered(customers, _read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("custkey")), "custkey")
 
 
 def task_matches(spark, sf_dir):
@@ -506,7 +506,9 @@ def broken_db(spark: SparkSession, sf_dir: str) -> ModelDb:
     series_ = series_.unionByName(series_.filter("series_ord % 5 = 0").withColumn("series_ord", F.col("series_ord") + 10**9))
     changes = spark.range(40).select(F.concat(F.lit("change_"), "id").alias("id"), F.col("id").alias("ord"), F.lit("number").alias("before_kind"), F.when(F.col("id") % 7 == 0, "text").otherwise("number").alias("after_kind"), F.when(F.col("id") % 3 == 0, "metric_gone").otherwise("metric_growth").alias("metric_id"))
     metrics = db.metrics.unionByName(spark.sql("select 'metric_idle' as id, 'Idle' as name, 'number' as data_type, array('x') as tags, 7L as ord"))
-    frames = dict(observations=obs.unionByName(twice), metrics=metrics, series=series_, decision_changes=changes, extraction_runs=runs, presentations=presentations, transformations=transformations, relationships=relationships, transformation_sources=sources, model_versions=versions, models=models, provenance_contexts=contexts, provenance_records=records_, source_artifacts=artifacts, presentation_metrics=shown.unionByName(more))
+    again = obs.unionByName(twice)
+    items = db.unresolved_items.withColumns({"description": F.lit("d"), "current_treatment": F.when(F.col("ord") % 7 > 0, "t"), "impact": F.lit("i"), "next_action": F.when(F.col("ord") % 3 == 0, "").otherwise("n")})
+    frames = dict(unresolved_items=items, observations=again, metrics=metrics, series=series_, decision_changes=changes, extraction_runs=runs, presentations=presentations, transformations=transformations, relationships=relationships, transformation_sources=sources, model_versions=versions, models=models, provenance_contexts=contexts, provenance_records=records_, source_artifacts=artifacts, presentation_metrics=shown.unionByName(more))
     return db.replace(**frames)
 
 

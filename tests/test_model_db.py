@@ -260,6 +260,38 @@ def test_later_rules(spark):
     assert cyclic == {"metric_turnover", "metric_surplus"}
 
 
+def test_contract(spark, db):
+    codes = lambda d: sorted((r["object_id"], r["field"]) for r in validate.contract(model_json.from_document(spark, d)).collect())
+    assert codes(document()) == []
+    d = document()
+    d["models"][0]["baseCurrency"] = "US"
+    d["models"][1]["versionIds"] = []
+    d["entities"][0]["type"] = "planet"
+    d["metrics"][0] |= {"name": "", "aggregation": "mode"}
+    d["periods"][0]["startDate"] = "2021-02-30"
+    d["observationSeries"][0]["points"][0] |= {"id": "Obs-1", "actuality": "guess"}
+    d["observationSeries"][0]["points"][1]["value"] = float("inf")
+    d["transformations"][0]["expression"] = ""
+    d["provenanceContexts"][0]["confidence"] = 1.5
+    d["unresolvedItems"][0] |= {"attentionLevel": "action_required", "impact": None}
+    d["dataset"]["createdAt"] = "yesterday"
+    d["relationships"][0]["type"] = None
+    wrong = {("model_alder", "baseCurrency"), ("model_birch", "versionIds"), ("entity_alder", "type"), ("metric_turnover", "name"), ("metric_turnover", "aggregation"), ("period_y21", "startDate"), ("Obs-1", "id"), ("Obs-1", "actuality"), ("obs_turnover_y22", "value"), ("transformation_turnover", "expression"), ("context_1", "confidence"), ("item_1", "actionOwner"), ("item_1", "impact"), ("dataset_one", "createdAt"), ("relationship_1", "type")}
+    assert codes(d) == sorted(wrong)
+
+
+def test_parents_of_metrics_that_are_not_shown(spark):
+    d = document()
+    d["tablePresentations"][0]["sections"][0]["metricParentIds"] = {"metric_gone": "metric_turnover", "metric_support": "metric_turnover"}
+    found = {(r["code"], r["object_id"]) for r in validate.presentation_parents(model_json.from_document(spark, d)).collect()}
+    assert found == {("presentation.parent_metric_unknown", "presentation_1/section_1/metric_gone")}
+
+
+def test_person_keys_are_left_out():
+    value = {"author": "a", "x": [{"Last_Modified_By": "b", "y": 1}], "z": {"creator": "c", "Authors": []}}
+    assert model_json.without_persons(value) == {"x": [{"y": 1}], "z": {}}
+
+
 def test_validator(spark, db):
     assert {r["code"] for r in validate.validate(db).collect()} == {"presentation.missing", "unresolved.needs_review", "provenance.missing"}
     broken = copy.deepcopy(document())
