@@ -407,6 +407,31 @@ def history_fold(spark, sf_dir):
     return records.history(records.edit_actions(_read(spark, sf_dir, "events")))
 
 
+def workbook_cells(spark, sf_dir):
+    """Cells of made workbooks: a sheet for each order, with a row for each of its lines. B holds quantities, C taxes, D to H formulas."""
+    rows = _lines(spark, sf_dir).select(F.format_string("book%d", F.col("l_orderkey") % 100).alias("path"), F.format_string("S%d", "l_orderkey").alias("sheet"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("t"), F.col("l_returnflag").alias("f"))
+    cell = lambda column, kind, value, formula=None: F.struct(F.concat(F.lit(column), "n").alias("cell"), F.lit(kind).alias("type"), F.concat(F.lit(column), F.col("n") % 2).alias("style"), value.cast("string").alias("value"), (F.lit(None).cast("string") if formula is None else F.format_string(formula, *["n"] * formula.count("%d"))).alias("formula"))
+    twice = F.when(F.col("n") == 4, F.col("q")).otherwise(F.col("q") * 2)  # the fourth row was not computed anew
+    cells = [cell("A", "s", F.col("f")), cell("B", "n", F.col("q")), cell("C", "n", F.col("t")), cell("D", "n", twice, "=B%d*2"), cell("E", "n", F.when(F.col("t") == 0, 7.0).otherwise(F.col("q") / F.when(F.col("t") != 0, F.col("t"))), "=IFERROR(B%d/C%d,7)"), cell("F", "n", F.col("q") + F.col("t"), "=SUM(A%d:C%d)"), cell("G", "n", F.col("q"), "=[1]Other!B%d+Z%d"), cell("H", "n", F.when(F.col("q") > 25, F.col("t")).otherwise(0.0), "=IF(B%d>25,C%d,0)")]
+    return rows.select("path", "sheet", F.explode(F.array(*cells)).alias("c")).select("path", "sheet", "c.*")
+
+
+def workbook_inventory(spark, sf_dir):
+    from .sources import xlsx
+
+    return xlsx.inventory(workbook_cells(spark, sf_dir))
+
+
+def formula_translation(spark, sf_dir):
+    from .functions.translation import translate_cells
+
+    cells = workbook_cells(spark, sf_dir)
+    column = F.regexp_extract("cell", "^([A-Z]+)", 1)
+    mapping = cells.filter("cell not like 'A%'").select("path", "sheet", "cell", F.concat(F.lit("metric_"), F.lower(column)).alias("metric_id"), F.concat(F.lit("period_"), F.regexp_extract("cell", "([0-9]+)$", 1)).alias("period_id"))
+    out = translate_cells(cells, mapping)
+    return out.select("path", "sheet", "cell", "metric_id", "period_id", "expression", F.array_join("dependencies", ",").alias("dependencies"), "blocker")
+
+
 def shared_formula_shift(spark, sf_dir):
     base = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.lit("=SUM($A$1:B2)&\"C3\"+C$3").alias("formula"), (F.col("l_orderkey") % 5).cast("int").alias("rows"), F.col("l_linenumber").cast("int").alias("cols"))
     return records.shift_formulas(base, "formula", "rows", "cols", "shifted").select("l_orderkey", "l_linenumber", "shifted")
@@ -533,6 +558,6 @@ def _rule(rule: Callable[[ModelDb], DataFrame]) -> Callable[[SparkSession, str],
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    private = ("derived_db", "reviewed_db", "broken_db", "cyclic_db", "model_db", "queries", "hold")
+    private = ("derived_db", "reviewed_db", "broken_db", "cyclic_db", "model_db", "queries", "hold", "workbook_cells")
     plain = {name: f for name, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_") and name not in private}
     return plain | {f"validate_{rule.__name__}": _rule(rule) for rule, _ in validate.RULES}
