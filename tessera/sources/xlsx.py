@@ -10,7 +10,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -118,6 +118,112 @@ def workbook_comments(content: bytes) -> Iterator[tuple[str, str, str]]:
                     yield name, c.get("ref"), _text(c).removeprefix(f"{author}:").strip()
 
 
+#: Number formats of the file format that are not written out, and the order of theme colours.
+BUILTIN_FORMATS = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@"}
+THEME = ["lt1", "dk1", "lt2", "dk2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6", "hlink", "folHlink"]
+_DRAW = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+
+
+def _is_on(node: ET.Element | None) -> bool:
+    return node is not None and node.get("val", "1") in ("1", "true")
+
+
+def _colour(node: ET.Element | None, theme: list[str | None]) -> str | None:
+    """The colour as six hex digits, or ``theme`` or ``indexed`` with its number where the file does not say more; a tint is added as it stands."""
+    if node is None:
+        return None
+    at = node.get("theme")
+    base = node.get("rgb", "")[-6:] or None
+    if at is not None:
+        base = (theme[int(at)] if int(at) < len(theme) else None) or f"theme{at}"
+    elif base is None and node.get("indexed") is not None:
+        base = f"indexed{node.get('indexed')}"
+    return f"{base} {float(node.get('tint')):g}" if base and node.get("tint") else base
+
+
+def workbook_styles(content: bytes) -> Iterator[tuple]:
+    """(style, number_format_id, number_format, font, bold, italic, font_colour, fill, fill_colour, n_borders) of each cell format."""
+    with zipfile.ZipFile(io.BytesIO(content)) as package:
+        names = set(package.namelist())
+        if "xl/styles.xml" not in names:
+            yield 0, 0, "General", None, False, False, None, "none", None, 0
+            return
+        theme: list[str | None] = []
+        if "xl/theme/theme1.xml" in names:
+            scheme = ET.fromstring(package.read("xl/theme/theme1.xml")).find(f".//{_DRAW}clrScheme")
+            colour = lambda n: None if n is None or not len(n) else n[0].get("lastClr") or n[0].get("val")
+            theme = [colour(scheme.find(f"{_DRAW}{t}")) for t in THEME] if scheme is not None else []
+        root = ET.fromstring(package.read("xl/styles.xml"))
+        own = {int(f.get("numFmtId")): f.get("formatCode") for f in root.iter(f"{_MAIN}numFmt")}
+        part = lambda name: list(root.find(f"{_MAIN}{name}") if root.find(f"{_MAIN}{name}") is not None else [])
+        fonts, fills, borders = part("fonts"), part("fills"), part("borders")
+        empty = ET.Element("none")
+        pick = lambda items, i: items[i] if 0 <= i < len(items) else empty
+        for style, xf in enumerate(part("cellXfs") or [empty]):
+            number = int(xf.get("numFmtId", 0))
+            font, fill, border = (pick(x, int(xf.get(k, 0))) for x, k in ((fonts, "fontId"), (fills, "fillId"), (borders, "borderId")))
+            name, pattern = font.find(f"{_MAIN}name"), fill.find(f"{_MAIN}patternFill")
+            kind = pattern.get("patternType", "none") if pattern is not None else "gradient" if fill.find(f"{_MAIN}gradientFill") is not None else "none"
+            shade = _colour(pattern.find(f"{_MAIN}fgColor"), theme) if pattern is not None else None
+            yield style, number, own.get(number, BUILTIN_FORMATS.get(number)), name.get("val") if name is not None else None, _is_on(font.find(f"{_MAIN}b")), _is_on(font.find(f"{_MAIN}i")), _colour(font.find(f"{_MAIN}color"), theme), kind, shade, sum(b.get("style") is not None for b in border)
+
+
+def workbook_sheets(content: bytes) -> Iterator[tuple]:
+    """(sheet, state, dimension, freeze, merged, hidden_rows, hidden_columns, n_rules, n_links) of each sheet."""
+    on = ("1", "true")
+    with zipfile.ZipFile(io.BytesIO(content)) as package:
+        for name, part, state in _sheets(package):
+            root = ET.fromstring(package.read(part))
+            dimension, pane = root.find(f"{_MAIN}dimension"), root.find(f".//{_MAIN}pane")
+            hidden = [int(r.get("r", 0)) for r in root.iter(f"{_MAIN}row") if r.get("hidden") in on]
+            columns = [k for c in root.iter(f"{_MAIN}col") if c.get("hidden") in on for k in range(int(c.get("min", 0)), int(c.get("max", 0)) + 1)]
+            merged = [m.get("ref", "") for m in root.iter(f"{_MAIN}mergeCell")]
+            yield name, state, dimension.get("ref", "") if dimension is not None else "", pane.get("topLeftCell") if pane is not None else None, merged, hidden, columns, len(list(root.iter(f"{_MAIN}cfRule"))), len(list(root.iter(f"{_MAIN}hyperlink")))
+
+
+def _each_workbook(spark: SparkSession, path: str, rows: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """(path, rows of ``rows``) of all workbooks of a path."""
+    columns = [c.split()[0] for c in f"path string, {schema}".split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                yield pd.DataFrame([(file, *r) for r in rows(content)], columns=columns)
+
+    return _files(spark, path).mapInPandas(run, f"path string, {schema}")
+
+
+def read_styles(spark: SparkSession, path: str) -> DataFrame:
+    """The cell formats of all workbooks: (path, style, number format, font, fill, borders)."""
+    return _each_workbook(spark, path, workbook_styles, "style int, number_format_id int, number_format string, font string, bold boolean, italic boolean, font_colour string, fill string, fill_colour string, n_borders int")
+
+
+def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """What is said of sheets: state, size, frozen pane, merged ranges, hidden rows and columns, numbers of rules and links."""
+    return _each_workbook(spark, path, workbook_sheets, "sheet string, state string, dimension string, freeze string, merged array<string>, hidden_rows array<int>, hidden_columns array<int>, n_rules int, n_links int")
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, part, risk) of the parts of all workbooks; risk: macros, external_links, connections, embeddings, binary, media that few can render, or null."""
+
+    def names(content: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(content)) as package:
+            yield from ((n,) for n in package.namelist())
+
+    part = F.col("part")
+    risk = F.when(part.contains("vbaProject"), "macros").when(part.startswith("xl/externalLinks/"), "external_links").when(part == "xl/connections.xml", "connections").when(part.startswith("xl/embeddings/"), "embeddings").when(part.endswith(".bin"), "binary").when(part.startswith("xl/media/") & F.lower(part).rlike(r"[.](emf|wmf)$"), "media")
+    return _each_workbook(spark, path, names, "part string").withColumn("risk", risk)
+
+
+def with_styles(cells: DataFrame, styles: DataFrame) -> DataFrame:
+    """``cells`` with the columns of their style; a style that the workbook does not have is its first one. Styles are few and are broadcast while small."""
+    named = [c for c in styles.columns if c not in ("path", "style")]
+    own = styles.select("path", "style", F.struct(*named).alias("_own"))
+    first = styles.filter("style = 0").select("path", F.struct(*named).alias("_first"))
+    joined = cells.join(own, ["path", "style"], "left").join(first, "path", "left").withColumn("_s", F.coalesce("_own", "_first"))
+    return joined.select(*cells.columns, *(F.col(f"_s.{c}").alias(c) for c in named))
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
