@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def hold(df: DataFrame, name: str = "held") -> DataFrame:
-    """``df``, computed once: written to ``spark.checkpoint.dir`` and read back, so that lineage is cut and lost executors cost nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or the folder that the context was given. A session of one machine that names none gets a temporary one; on a cluster that is an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
 
-    Where a session names no such folder (tests of one machine), a checkpoint must do.
-    """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.checkpoint()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def hold(df: DataFrame, name: str = "held") -> DataFrame:
+    """``df``, computed once: written to the shared folder and read back, so that lineage is cut and lost executors cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
