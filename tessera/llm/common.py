@@ -19,12 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only where a session on one machine does not name one (unit tests) is a temporary folder set; on a cluster, where
     executors could not see it, that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
