@@ -29,7 +29,9 @@ from . import vec
 from .common import among
 from .lyndon_sort import suffix_array
 
-LENGTH, GRAM, EXTEND = 50, 20, 15
+LENGTH, GRAM = 50, 20
+#: How far contexts agree beyond their anchor is found in steps of so many bytes.
+STEP = 3
 BUCKET_BYTES = 8 << 20
 FLUSH_ANCHORS = 600_000
 #: Bytes of text whose anchors are found at once; the arrays for that take about 100 times as much.
@@ -224,36 +226,44 @@ def smallest_documents(text: np.ndarray, lengths: np.ndarray, place: np.ndarray,
     n_windows = lengths - LENGTH + 1
     window = np.concatenate(([0], np.cumsum(n_windows)))
     out = np.repeat(least, n_windows)
-    anchor = vec.span_hashes(text, starts + place, starts + place + GRAM)
+    hashes = vec.SpanHasher(text)
+    at = starts + place
+    anchor = hashes(at, at + GRAM)
 
-    def met(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def agrees(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Whether another context of the same anchor has the same bytes from begin to end (none where they leave the context)."""
         inside = (begin >= starts) & (end <= ends)
-        h = np.where(inside, vec.span_hashes(text, np.maximum(begin, starts), np.minimum(end, ends)) ^ anchor, np.uint64(0))
+        h = np.where(inside, hashes(np.maximum(begin, starts), np.minimum(end, ends)) ^ anchor, np.uint64(0))
         _, which, count = np.unique(h, return_inverse=True, return_counts=True)
         return inside & (count[which.ravel()] > 1)
 
-    # a shared window reaches 15 bytes beyond the anchor on one side at least, as 20 + 2 * 15 = 50
-    at = starts + place
-    sorted_ones = np.flatnonzero(met(at - EXTEND, at + GRAM) | met(at, at + GRAM + EXTEND))
+    # a shared window reaches from the anchor to the left and to the right by 30 bytes together, and no further than the
+    # contexts agree with another one on each side; what lies beyond that has nothing to be compared with
+    left, right = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for k in range(STEP, LENGTH - GRAM + 1, STEP):
+        left[agrees(at - k, at + GRAM)] = k
+        right[agrees(at, at + GRAM + k)] = k
+    low, high = np.maximum(starts, at - left - STEP + 1), np.minimum(ends, at + GRAM + right + STEP - 1)
+    several = np.unique(anchor, return_inverse=True, return_counts=True)
+    sorted_ones = np.flatnonzero((high - low >= LENGTH) & (several[2][several[1].ravel()] > 1))
     order = sorted_ones[np.argsort(anchor[sorted_ones], kind="stable")]
     first, _ = _runs(anchor[order])
     group_ends = np.append(first[1:], len(order))
     raw = text.tobytes()
     begin = 0
     for k, end in enumerate(group_ends.tolist()):
-        total = int(lengths[order[begin:end]].sum())
+        total = int((high - low)[order[begin:end]].sum())
         if total >= SORT_BYTES or k == len(group_ends) - 1:
-            _merge(raw, starts, lengths, window, order[begin:end], out)
+            _merge(raw, low, high, window + np.append(low - starts, 0), order[begin:end], out)
             begin = end
     return out, window
 
 
-def _merge(raw: bytes, starts: np.ndarray, lengths: np.ndarray, window: np.ndarray, contexts: np.ndarray, out: np.ndarray) -> None:
-    """Give each string of ``LENGTH`` bytes in the contexts the smallest document of all its windows."""
+def _merge(raw: bytes, low: np.ndarray, high: np.ndarray, window: np.ndarray, contexts: np.ndarray, out: np.ndarray) -> None:
+    """Give each string of ``LENGTH`` bytes in the contexts, from low to high, the smallest document of all its windows; window: number of the first."""
     parts, slots = [], []
     for c in contexts.tolist():
-        a, n = int(starts[c]), int(lengths[c])
+        a, n = int(low[c]), int(high[c] - low[c])
         parts.append(raw[a : a + n])
         slots.extend(range(int(window[c]), int(window[c]) + n - LENGTH + 1))
         slots.extend([-1] * LENGTH)

@@ -96,12 +96,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class SpanHasher:
+    """64-bit hashes of byte spans of one buffer, from one prefix sum of a polynomial modulo 2^64."""
+
+    def __init__(self, buf: np.ndarray):
+        n = len(buf)
+        self.prefix = np.zeros(n + 1, U64)
+        np.cumsum(_BYTE[buf] * _powers(_R, n), out=self.prefix[1:])
+        self.inverse = _powers(_R_INV, n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts] + (ends - starts).astype(U64))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, from one prefix sum of a polynomial modulo 2^64."""
-    n = len(buf)
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE[buf] * _powers(_R, n), out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _powers(_R_INV, n + 1)[starts] + (ends - starts).astype(U64))
+    """Hash of each byte span."""
+    return SpanHasher(buf)(starts, ends)
 
 
 def window_hashes(hashes: np.ndarray, first: np.ndarray, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
