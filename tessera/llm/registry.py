@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, near_duplicates, packing, quality, repeats, secret_scan, sharding, token_shards, warc
+from . import conversation_repair, decontamination, html_extraction, near_duplicates, packing, periodic_runs, quality, repeats, secret_scan, sharding, token_shards, url_rules, warc
 from .common import read
 
 
@@ -50,6 +50,18 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.report(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
+def op12_trie_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(read(spark, sf_dir, "conversations"))
+
+
+def op13_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report_runs(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in found}
@@ -61,4 +73,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_fm_index_decontamination": decontamination.oracle(),
         "op6_adaptive_quality": quality.oracle(),
         "op10_ownership_secrets": secret_scan.oracle(),
+        "op11_url_rules": url_rules.oracle(),
+        "op12_trie_repair": conversation_repair.oracle(),
     }
