@@ -1,16 +1,21 @@
 """The formula language of transformations: analysis on the driver, evaluation as Spark columns.
 
-Literals, ``+ - !``, ``+ - * /``, comparisons, ``?:`` and thirteen functions. A formula is compiled to a ``Value``: columns for
-the kind, the payloads and the first error. Functions look at all of their arguments; only ``?:`` skips one.
+Literals, ``+ - !``, ``+ - * /``, comparisons, ``?:`` and thirteen functions. A ``Value`` is a set of columns: the kind, the payloads
+and the first error. Functions look at all of their arguments; only ``?:`` skips one.
+
+A value is used several times where it goes in (in the result, in the check that it is finite, in the error), so it is bound once:
+``with_values`` numbers the distinct nodes of all formulas by their height and computes each height in one projection over the
+columns of the one below, a node of each formula in the same columns. Plans grow in proportion to the formulas, and stay in generated code.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalars import divide, floor_mod, is_finite, round_half_up
@@ -39,10 +44,20 @@ class Reference:
         return f"{self.metric_id}|period:{self.period_id}" if self.period_id is not None else f"{self.metric_id}|{self.offset}"
 
 
+@dataclass(frozen=True)
+class Issue:
+    """Where in the syntax tree a formula breaks a rule (``$`` is the root), why, and what to write instead."""
+
+    path: str
+    reason: str
+    suggestion: str
+
+
 @dataclass
 class Analysis:
     references: list[Reference] = field(default_factory=list)
-    issues: list[str] = field(default_factory=list)
+    issues: list[Issue] = field(default_factory=list)
+    metrics: set[str] = field(default_factory=set)
 
     @property
     def valid(self) -> bool:
@@ -50,7 +65,7 @@ class Analysis:
 
     @property
     def dependencies(self) -> list[str]:
-        return sorted({r.metric_id for r in self.references})
+        return sorted(self.metrics)
 
 
 class _Parser:
@@ -148,86 +163,131 @@ def parse(text: str) -> Node:
     return _Parser(text).all()
 
 
-def _reference(name: str, args: tuple[Node, ...], issues: list[str]) -> Reference | None:
-    literal = lambda i: args[i].kind == "literal" and isinstance(args[i].value, str)
-    if not literal(0):
-        issues.append(f"{name}() needs a literal metric id")
+#: Functions that refer to observations.
+REFERENCES = ("ref", "period_ref", "lag", "lead")
+_OPERANDS = {"unary": ("argument",), "binary": ("left", "right"), "test": ("test", "consequent", "alternate")}
+
+
+def _literal_text(args: tuple[Node, ...], i: int) -> str | None:
+    return args[i].value if i < len(args) and args[i].kind == "literal" and isinstance(args[i].value, str) and args[i].value else None
+
+
+def _reference(name: str, args: tuple[Node, ...], path: str, found: Analysis) -> Reference | None:
+    """The reference of a call; what is wrong with its arguments goes to ``found``."""
+    metric = _literal_text(args, 0)
+    if metric is None:
+        found.issues.append(Issue(f"{path}.arguments[0]", f"{name}() needs a literal metric id", f'write the id as text, as in {name}("metric_revenue")'))
         return None
-    metric = args[0].value
+    found.metrics.add(metric)
     if name == "period_ref":
-        if not literal(1):
-            issues.append("period_ref() needs a literal period id")
+        period = _literal_text(args, 1)
+        if period is None:
+            found.issues.append(Issue(f"{path}.arguments[1]", "period_ref() needs a literal period id", f'write the id as text, as in period_ref("{metric}", "period_fy2025")'))
             return None
-        return Reference(metric, 0, args[1].value)
+        return Reference(metric, 0, period)
     if name == "ref":
         return Reference(metric)
     n = args[1].value if len(args) > 1 and args[1].kind == "literal" else 1.0 if len(args) == 1 else None
     if not isinstance(n, float) or n < 1 or n != int(n):
-        issues.append(f"{name}() needs a positive whole number of periods")
+        found.issues.append(Issue(f"{path}.arguments[1]", f"{name}() needs a positive whole number of periods", f'write it as a number, as in {name}("{metric}", 1)'))
         return None
     return Reference(metric, int(n) if name == "lead" else -int(n))
 
 
 def analyze(text: str) -> Analysis:
-    """References in order of first sight, and the reasons why an expression is not allowed."""
+    """References in order of first sight, and all rules that an expression breaks."""
     found = Analysis()
     try:
         root = parse(text)
     except (SyntaxError, KeyError) as error:
-        found.issues.append(f"cannot be parsed: {error}")
+        found.issues.append(Issue("$", f"cannot be parsed: {error}", "use literals, operators and functions of the formula language alone"))
         return found
 
-    def visit(node: Node) -> None:
+    def visit(node: Node, path: str) -> None:
         if node.kind == "name":
-            found.issues.append(f"name {node.value} is not allowed")
-        elif node.kind == "member":
-            found.issues.append("member access is not allowed")
-            return
-        elif node.kind == "binary" and node.value in ("&&", "||", "%"):
-            found.issues.append(f"operator {node.value} is not allowed")
+            found.issues.append(Issue(path, f"name {node.value} is not allowed", "use literals and calls of functions"))
+        elif node.kind == "member" or node.kind == "binary" and node.value in ("&&", "||"):
+            found.issues.append(Issue(path, "member access is not allowed" if node.kind == "member" else f"operator {node.value} is not allowed", "leave out members, lists, assignments and logical operators"))
         elif node.kind == "call":
-            name = node.value.value if node.value.kind == "name" else None
-            if name is None:
-                found.issues.append("only named functions can be called")
-                return
-            if name not in ARITY:
-                found.issues.append(f"function {name} is not allowed")
-                return
+            call(node, path)
+        else:
+            if node.kind == "binary" and node.value == "%":
+                found.issues.append(Issue(path, "operator % is not allowed", "use + - * / or a comparison"))
+            for part, name in zip(node.parts, _OPERANDS.get(node.kind, ()), strict=False):
+                visit(part, f"{path}.{name}")
+
+    def call(node: Node, path: str) -> None:
+        name = node.value.value if node.value.kind == "name" else None
+        if name is None:
+            found.issues.append(Issue(f"{path}.callee", "only named functions can be called", f"use one of {', '.join(ARITY)}"))
+        elif name not in ARITY:
+            found.issues.append(Issue(f"{path}.callee", f"function {name} is not allowed", f"use one of {', '.join(ARITY)}"))
+        else:
             low, high = ARITY[name]
             if len(node.parts) < low or (high is not None and len(node.parts) > high):
-                found.issues.append(f"{name}() takes another number of arguments")
-                return
-            if name in ("ref", "period_ref", "lag", "lead"):
-                ref = _reference(name, node.parts, found.issues)
+                wanted = f"{low} or more" if high is None else " or ".join(str(k) for k in range(low, high + 1))
+                found.issues.append(Issue(f"{path}.arguments", f"{name}() received {len(node.parts)} arguments", f"give it {wanted}"))
+            if name in REFERENCES:
+                ref = _reference(name, node.parts, path, found)
                 if ref and ref not in found.references:
                     found.references.append(ref)
-                return
-        for part in node.parts:
-            visit(part)
+        for i, part in enumerate(node.parts):
+            visit(part, f"{path}.arguments[{i}]")
 
-    visit(root)
+    visit(root, "$")
     return found
 
 
+def _null(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
 @dataclass
 class Value:
-    kind: Column
-    num: Column
-    text: Column
-    flag: Column
-    error: Column
+    """A value as columns. ``static`` is its kind where that is known without a row; what is not given is null, an error that is not given none."""
+
+    of_kind: Column | None = None
+    number: Column | None = None
+    string: Column | None = None
+    boolean: Column | None = None
+    failure: Column | None = None
+    static: str | None = None
+    finite: bool = False
+
+    @property
+    def kind(self) -> Column:
+        return F.lit(self.static) if self.static else _null("string") if self.of_kind is None else self.of_kind
+
+    @property
+    def num(self) -> Column:
+        return _null("double") if self.number is None else self.number
+
+    @property
+    def text(self) -> Column:
+        return _null("string") if self.string is None else self.string
+
+    @property
+    def flag(self) -> Column:
+        return _null("boolean") if self.boolean is None else self.boolean
+
+    @property
+    def error(self) -> Column:
+        return _null("string") if self.failure is None else self.failure
+
+    def column(self, name: str) -> Column:
+        return {"kind": Value.kind, "num": Value.num, "str": Value.text, "bool": Value.flag, "error": Value.error}[name].fget(self)
 
     def columns(self) -> list[Column]:
+        if self.failure is None:
+            clean = lambda c, k: F.when(self.kind == k, c)
+            return [self.kind.alias("kind"), clean(self.num, "number").alias("num"), clean(self.text, "string").alias("str"), clean(self.flag, "boolean").alias("bool"), self.error.alias("error")]
         clean = lambda c, k: F.when(self.error.isNull() & (self.kind == k), c)
         return [F.when(self.error.isNull(), self.kind).alias("kind"), clean(self.num, "number").alias("num"), clean(self.text, "string").alias("str"), clean(self.flag, "boolean").alias("bool"), self.error.alias("error")]
 
 
-def _null(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
-
 def _value(kind: str | Column, num: Column | None = None, text: Column | None = None, flag: Column | None = None, error: Column | None = None) -> Value:
-    return Value(F.lit(kind) if isinstance(kind, str) else kind, _null("double") if num is None else num, _null("string") if text is None else text, _null("boolean") if flag is None else flag, _null("string") if error is None else error)
+    known = isinstance(kind, str)
+    return Value(None if known else kind, num, text, flag, error, kind if known else None)
 
 
 def input_value(x: Column, key: str) -> Value:
@@ -236,51 +296,170 @@ def input_value(x: Column, key: str) -> Value:
     return _value(x["kind"], x["num"], x["str"], x["bool"], F.when(x["in_id"].isNull(), F.concat(F.lit(f"cannot resolve {key.split('|')[0]} for "), period)))
 
 
-def _number_error(v: Value, label: str) -> Column:
-    return F.coalesce(v.error, F.when((v.kind != "number") | ~F.coalesce(is_finite(v.num), F.lit(False)), f"{label} requires a finite number"))
+def _number_error(v: Value, label: str) -> Column | None:
+    if v.finite:
+        return v.failure
+    bad = F.lit(True) if v.static not in (None, "number") else ~F.coalesce(is_finite(v.num), F.lit(False))
+    return _errors(v.failure, F.when(bad if v.static else (v.kind != "number") | bad, f"{label} requires a finite number"))
+
+
+def _boolean_error(v: Value, label: str) -> Column | None:
+    return v.failure if v.static == "boolean" else _errors(v.failure, F.when(v.kind != "boolean", f"{label} requires a boolean"))
+
 
+def _errors(*columns: Column | None) -> Column | None:
+    """The first error of all that can be one."""
+    found = [c for c in columns if c is not None]
+    return None if not found else found[0] if len(found) == 1 else F.coalesce(*found)
 
-def _errors(*columns: Column) -> Column:
-    return F.coalesce(*columns)
 
+def _pick(test: Column, a: Value, b: Value, error: Column | None) -> Value:
+    """One of two values; payloads that neither has stay null."""
+    either = lambda x, y, kind: None if x is None and y is None else F.when(test, _null(kind) if x is None else x).otherwise(_null(kind) if y is None else y)
+    same = a.static if a.static == b.static else None
+    return Value(None if same else F.when(test, a.kind).otherwise(b.kind), either(a.number, b.number, "double"), either(a.string, b.string, "string"), either(a.boolean, b.boolean, "boolean"), error, same)
 
-def _pick(test: Column, a: Value, b: Value, error: Column) -> Value:
-    return Value(*(F.when(test, x).otherwise(y) for x, y in ((a.kind, b.kind), (a.num, b.num), (a.text, b.text), (a.flag, b.flag))), error)
 
+FIELDS = ("kind", "num", "str", "bool", "error")
+#: The payload of each kind.
+PAYLOAD = {"number": "num", "string": "str", "boolean": "bool", "null": None}
 
-def compile_expression(text: str, lookup: Callable[[str], Value]) -> Value:
-    """The columns of an expression; ``lookup`` gives the value of a reference key."""
+
+def _parse_valid(text: str) -> Node:
     found = analyze(text)
     if not found.valid:
-        raise ValueError("; ".join(found.issues))
-    return _compile(parse(text), lookup)
+        raise ValueError("; ".join(issue.reason for issue in found.issues))
+    return parse(text)
+
+
+def _literal(v: object) -> Value:
+    if v is None:
+        return _value("null")
+    if isinstance(v, float):
+        return Value(number=F.lit(v), static="number", finite=math.isfinite(v))
+    return _value("boolean", flag=F.lit(v)) if isinstance(v, bool) else _value("string", text=F.lit(v))
+
+
+def _reference_key(node: Node) -> str | None:
+    return _reference(node.value.value, node.parts, "$", Analysis()).key if node.kind == "call" and node.value.value in REFERENCES else None
+
 
+class _Dag:
+    """The distinct nodes of a formula, operands first, each with its height; equal parts are one node."""
 
-def _compile(node: Node, lookup: Callable[[str], Value]) -> Value:
-    if node.kind == "literal":
-        v = node.value
-        if v is None:
-            return _value("null")
-        return _value("boolean", flag=F.lit(v)) if isinstance(v, bool) else _value("number", num=F.lit(v)) if isinstance(v, float) else _value("string", text=F.lit(v))
+    def __init__(self, root: Node):
+        self.nodes: list[tuple[Node, tuple[int, ...]]] = []
+        self.heights: list[int] = []
+        self._number: dict[tuple, int] = {}
+        self.root = self.add(root)
+
+    def add(self, node: Node) -> int:
+        if node.kind == "literal":
+            key, kids = ("literal", type(node.value).__name__, node.value), ()
+        elif ref := _reference_key(node):
+            key, kids = ("input", ref), ()
+        else:
+            kids = tuple(self.add(p) for p in node.parts)
+            key = (node.kind, node.value.value if node.kind == "call" else node.value, kids)
+        if key not in self._number:
+            self._number[key] = len(self.nodes)
+            self.nodes.append((node, kids))
+            self.heights.append(-1 if node.kind == "literal" else 1 + max((self.heights[k] for k in kids), default=-1))
+        return self._number[key]
+
+
+def with_values(df: DataFrame, formulas: dict[str | None, str], lookup: Callable[[str], Value], by: str | None = None) -> DataFrame:
+    """``df`` with the columns kind, num, str, bool and error: the value of each row's formula.
+
+    formulas: expressions by the value of column ``by``, or one of any key if ``by`` is not given; a row of no formula has nulls.
+    """
+    dags = {key: _Dag(_parse_valid(text)) for key, text in formulas.items()}
+    place: dict[tuple, tuple[int, int]] = {}
+    last_use: dict[tuple[int, int], int] = {}
+    at_height: dict[int, dict[int, list[tuple]]] = {}
+    for key, dag in dags.items():
+        used: dict[int, int] = {}
+        for i, height in enumerate(dag.heights):
+            if height >= 0:
+                place[key, i] = (height, used.setdefault(height, 0))
+                used[height] += 1
+                at_height.setdefault(height, {}).setdefault(place[key, i][1], []).append((key, i))
+                for kid in dag.nodes[i][1]:
+                    if dag.heights[kid] >= 0:
+                        last_use[place[key, kid]] = max(last_use.get(place[key, kid], 0), height)
+        if dag.heights[dag.root] >= 0:
+            last_use[place[key, dag.root]] = len(dag.nodes)
+    name = lambda spot, f: f"_node_{spot[0]}_{spot[1]}_{f}"
+    statics: dict[tuple, str | None] = {}
+    held: dict[tuple, list[str]] = {}
+
+    def varying(v: Value) -> list[str]:
+        parts = {"kind": None if v.static else v.of_kind, "num": v.number, "str": v.string, "bool": v.boolean, "error": v.failure}
+        return [f for f, c in parts.items() if c is not None]
+
+    def value(key: object, i: int) -> Value:
+        node = dags[key].nodes[i][0]
+        if node.kind == "literal":
+            return _literal(node.value)
+        have = [F.col(name(place[key, i], f)) if f in held[key, i] else None for f in FIELDS]
+        return Value(*have, statics[key, i])
+
+    def computed(key: object, i: int) -> Value:
+        node, kids = dags[key].nodes[i]
+        return lookup(ref) if (ref := _reference_key(node)) else _apply(node, [value(key, k) for k in kids])
+
+    def case(keys: list[object], each: list[Column]) -> Column:
+        if by is None:
+            return each[0]
+        found = F.when(F.col(by) == F.lit(keys[0]), each[0])
+        for key, c in zip(keys[1:], each[1:], strict=True):
+            found = found.when(F.col(by) == F.lit(key), c)
+        return found
+
+    own, live = df.columns, {}
+    for height in sorted(at_height):
+        live = {spot: fields for spot, fields in live.items() if last_use.get(spot, 0) >= height}
+        made, new = [], {}
+        for slot, owners in at_height[height].items():
+            values = [computed(*o) for o in owners]
+            statics |= {o: v.static for o, v in zip(owners, values, strict=True)}
+            held |= {o: varying(v) for o, v in zip(owners, values, strict=True)}
+            new[height, slot] = [f for f in FIELDS if any(f in held[o] for o in owners)]
+            for f in new[height, slot]:
+                having = [(key, v.column(f)) for (key, i), v in zip(owners, values, strict=True) if f in held[key, i]]
+                made.append(case([key for key, _ in having], [c for _, c in having]).alias(name((height, slot), f)))
+        df = df.select(*own, *(name(spot, f) for spot, fields in live.items() for f in fields), *made)
+        live |= new
+    roots = {key: value(key, dag.root) for key, dag in dags.items()}
+    if by is None:
+        return df.select(*own, *next(iter(roots.values())).columns())
+    whole = [case(list(roots), [v.column(f) for v in roots.values()]) if roots else None for f in FIELDS]
+    return df.select(*own, *Value(*whole).columns())
+
+
+def _apply(node: Node, parts: list[Value]) -> Value:
+    """The value of an operator or a function over the values of its operands."""
     if node.kind == "call":
-        return _call(node.value.value, node.parts, lookup)
-    parts = [_compile(p, lookup) for p in node.parts]
+        return _call(node.value.value, node.parts, parts)
     if node.kind == "unary":
         (v,) = parts
         if node.value == "!":
-            return _value("boolean", flag=~v.flag, error=_errors(v.error, F.when(v.kind != "boolean", "! requires a boolean")))
+            return _value("boolean", flag=~v.flag, error=_boolean_error(v, "!"))
         return _value("number", num=-v.num if node.value == "-" else v.num, error=_number_error(v, f"unary {node.value}"))
     if node.kind == "test":
         test, yes, no = parts
         chosen = F.coalesce(test.flag, F.lit(False))
-        error = _errors(test.error, F.when(test.kind != "boolean", "?: requires a boolean"), F.when(chosen, yes.error).otherwise(no.error))
-        return _pick(chosen, yes, no, error)
+        branch = None if yes.failure is None and no.failure is None else F.when(chosen, yes.error).otherwise(no.error)
+        return _pick(chosen, yes, no, _errors(_boolean_error(test, "?:"), branch))
     a, b = parts
     op = node.value
     if op in ("==", "===", "!=", "!=="):
-        same = (a.kind == b.kind) & F.when(a.kind == "null", F.lit(True)).when(a.kind == "number", (a.num == b.num) & ~F.isnan(a.num)).when(a.kind == "string", a.text == b.text).otherwise(a.flag == b.flag)
+        if a.static == b.static == "number":
+            same = (a.num == b.num) & ~F.isnan(a.num)
+        else:
+            same = (a.kind == b.kind) & F.when(a.kind == "null", F.lit(True)).when(a.kind == "number", (a.num == b.num) & ~F.isnan(a.num)).when(a.kind == "string", a.text == b.text).otherwise(a.flag == b.flag)
         same = F.coalesce(same, F.lit(False))
-        return _value("boolean", flag=same if op[0] == "=" else ~same, error=_errors(a.error, b.error))
+        return _value("boolean", flag=same if op[0] == "=" else ~same, error=_errors(a.failure, b.failure))
     error = _errors(_number_error(a, op), _number_error(b, op))
     if op in (">", ">=", "<", "<="):
         flag = {">": a.num > b.num, ">=": a.num >= b.num, "<": a.num < b.num, "<=": a.num <= b.num}[op]
@@ -289,18 +468,16 @@ def _compile(node: Node, lookup: Callable[[str], Value]) -> Value:
     return _value("number", num=num, error=error)
 
 
-def _call(name: str, args: tuple[Node, ...], lookup: Callable[[str], Value]) -> Value:
-    if name in ("ref", "period_ref", "lag", "lead"):
-        return lookup(_reference(name, args, []).key)
-    parts = [_compile(p, lookup) for p in args]
+def _call(name: str, args: tuple[Node, ...], parts: list[Value]) -> Value:
     if name == "when":
         test, yes, no = parts
-        return _pick(F.coalesce(test.flag, F.lit(False)), yes, no, _errors(test.error, yes.error, no.error, F.when(test.kind != "boolean", "when() requires a boolean")))
+        return _pick(F.coalesce(test.flag, F.lit(False)), yes, no, _errors(test.failure, yes.failure, no.failure, None if test.static == "boolean" else F.when(test.kind != "boolean", "when() requires a boolean")))
     if name == "coalesce":
         out = parts[-1]
         for v in reversed(parts[:-1]):
-            out = _pick(v.kind != "null", v, out, _null("string"))
-        return Value(out.kind, out.num, out.text, out.flag, _errors(*(v.error for v in parts)))
+            out = _pick(v.kind != "null", v, out, None)
+        out.failure = _errors(*(v.failure for v in parts))
+        return out
     error = _errors(*(_number_error(v, f"{name}()") for v in parts))
     nums = [v.num for v in parts]
     if name in ("sum", "average"):

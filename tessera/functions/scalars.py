@@ -20,13 +20,12 @@ def floor_mod(value: Column, divisor: Column) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    """IEEE division: a zero divisor gives an infinity or NaN and no error."""
-    infinite = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(float("nan"))
-    return F.when(b == 0, infinite).otherwise(a / F.when(b != 0, b))
+    """IEEE division: a zero divisor gives an infinity or NaN and no error; dividing by it is multiplying by an infinity."""
+    return F.coalesce(F.try_divide(a, b), a * F.when(b == 0, float("inf")))
 
 
 def is_finite(x: Column) -> Column:
-    return ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.abs(x) < float("inf")  # NaN is above all numbers
 
 
 def cell_row(cell: Column) -> Column:

@@ -135,12 +135,9 @@ def evaluate(db: ModelDb, inputs: DataFrame, hold: Hold = held) -> DataFrame:
         gathered = hold(gathered)
     out = None
     for at in range(0, max(len(rows), 1), FORMULAS):
-        chunk = rows[at : at + FORMULAS]
-        case: Column = F.lit(None).cast("struct<kind:string,num:double,str:string,bool:boolean,error:string>")
-        for r in reversed(chunk):
-            v = X.compile_expression(r["expression"], lambda key: X.input_value(F.col("in")[key], key))
-            case = F.when(F.col("transformation_id") == r["id"], F.struct(*v.columns())).otherwise(case)
-        part = gathered.filter(F.col("transformation_id").isin([r["id"] for r in chunk])).select("out_id", F.inline(F.array(case)))
+        chunk = {r["id"]: r["expression"] for r in rows[at : at + FORMULAS]}
+        mine = gathered.filter(F.col("transformation_id").isin(list(chunk)))
+        part = X.with_values(mine, chunk, lambda key: X.input_value(F.col("in")[key], key), by="transformation_id").select("out_id", *VALUE, "error")
         out = part if out is None else out.unionByName(part)
     return out
 

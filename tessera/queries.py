@@ -275,8 +275,7 @@ def _formula(text: str, df: DataFrame) -> DataFrame:
             return X._value("string", text=F.col("l_returnflag"))
         return X._value("number", num=F.col(columns[key]) if key in columns else F.col(key))
 
-    v = X.compile_expression(text, lookup)
-    return df.select("l_orderkey", "l_linenumber", *v.columns())
+    return X.with_values(df, {None: text}, lookup).select("l_orderkey", "l_linenumber", *X.FIELDS)
 
 
 def expr_arithmetic(spark, sf_dir):

@@ -29,9 +29,9 @@ def value_of(spark, text, **inputs):
         v = inputs.get(key.split("|")[0], "missing")
         if v == "missing":
             return X._value("null", error=F.lit("missing input"))
-        return X._compile(X.Node("literal", float(v) if isinstance(v, int) and not isinstance(v, bool) else v), None)
+        return X._literal(float(v) if isinstance(v, int) and not isinstance(v, bool) else v)
 
-    row = spark.range(1).select(*X.compile_expression(text, lookup).columns()).head()
+    row = X.with_values(spark.range(1), {None: text}, lookup).head()
     return f"error: {row['error']}" if row["error"] else {"number": row["num"], "string": row["str"], "boolean": row["bool"], "null": None}[row["kind"]]
 
 
@@ -66,6 +66,52 @@ def test_expression_values(spark, text, want):
     assert value_of(spark, text, a=0, n=None, t=2) == want
 
 
+def plan_length(spark, text):
+    lookup = lambda key: X._value("number", num=X.F.col("id").cast("double"))
+    return len(X.with_values(spark.range(1), {None: text}, lookup)._jdf.queryExecution().analyzed().toString())
+
+
+@pytest.mark.parametrize("step", ["round(@ / 3, 2)", "@ / 7", "mod(@, 5)", "round(@, mod(@, 3))", "@ > 2 ? @ - 1 : 0 - @", "coalesce(@, 1) + when(@ == 1, 2, @)"])
+def test_plans_grow_with_the_formula_alone(spark, step):
+    nested = lambda k: "ref('x')" if not k else step.replace("@", f"({nested(k - 1)})")
+    assert plan_length(spark, nested(6)) < 2.5 * plan_length(spark, nested(3))
+
+
+def test_equal_parts_are_one_node():
+    dag = X._Dag(X.parse("(ref('a') - ref('b')) / 2 + round((ref('a') - ref('b')) / 2) * (ref('a') - ref('b'))"))
+    assert [n.kind for n, _ in dag.nodes].count("binary") == 4 and [n.kind for n, _ in dag.nodes].count("call") == 3
+    assert X._Dag(X.parse("true ? 1 : 1.0")).nodes[-1][1] == (0, 1, 1)
+
+
+def test_formulas_by_key_share_one_pass(spark):
+    df = spark.createDataFrame([("p", 3.0, "x"), ("q", 3.0, "y"), ("r", 3.0, "z"), (None, 1.0, "w"), ("s", 0.0, "v"), ("t", 2.0, "u")], "formula string, x double, kind0 string")
+    formulas = {"p": "round(ref('x') / 2) + 1", "q": "ref('x') == 3 ? 'three' : null", "s": "1 / ref('x') + 1", "t": "!(ref('x') > 1)"}
+    got = X.with_values(df, formulas, lambda key: X._value("number", num=X.F.col("x")), by="formula")
+    assert got.columns == ["formula", "x", "kind0", *X.FIELDS]
+    assert {r["kind0"]: (r["kind"], r["num"], r["str"], r["bool"], r["error"]) for r in got.collect()} == {
+        "x": ("number", 3.0, None, None, None), "y": ("string", None, "three", None, None), "z": (None,) * 5, "w": (None,) * 5, "v": (None, None, None, None, "+ requires a finite number"), "u": ("boolean", None, None, False, None),
+    }
+    assert X.with_values(df, {}, None, by="formula").filter("kind is not null").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, paths",
+    [
+        ("ref('a') + b", ["$.right"]),
+        ("1 +", ["$"]),
+        ("ref(x)", ["$.arguments[0]", "$.arguments[0]"]),
+        ("sum(1, foo(2, y))", ["$.arguments[1].callee", "$.arguments[1].arguments[1]"]),
+        ("true ? lag('m', 0) : 5 % z", ["$.consequent.arguments[1]", "$.alternate", "$.alternate.right"]),
+        ("(1 && b) * -x.y", ["$.left", "$.right.argument"]),
+        ("round()", ["$.arguments"]),
+    ],
+)
+def test_issue_paths(text, paths):
+    issues = X.analyze(text).issues
+    assert [i.path for i in issues] == paths and all(i.reason and i.suggestion for i in issues)
+    assert X.analyze("lag('m', 0)").dependencies == ["m"]
+
+
 @pytest.mark.parametrize("text", ["", "1 +", "a + 1", "x.y", "[1]", "1 && 2", "5 % 2", "foo(1)", "sum()", "ref(1)", "ref('a', 'b')", "lag('m', 0)", "lag('m', 1.5)", "lag('m', ref('n'))", "period_ref('m')", "(ref)('a')('b')", "1; 2"])
 def test_expression_issues(text):
     assert not X.analyze(text).valid
