@@ -388,7 +388,7 @@ def with_values(df: DataFrame, formulas: dict[str | None, str], lookup: Callable
                     if dag.heights[kid] >= 0:
                         last_use[place[key, kid]] = max(last_use.get(place[key, kid], 0), height)
         if dag.heights[dag.root] >= 0:
-            last_use[place[key, dag.root]] = len(dag.nodes)
+            last_use[place[key, dag.root]] = len(formulas) + max(len(d.nodes) for d in dags.values())
     name = lambda spot, f: f"_node_{spot[0]}_{spot[1]}_{f}"
     statics: dict[tuple, str | None] = {}
     held: dict[tuple, list[str]] = {}

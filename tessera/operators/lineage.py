@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..plans.hold import hold as held
+from ..plans.hold import hold_by, new_folder
 from ..plans.model_db import ModelDb, period_key, value_matches
+from .graphs import formula_strata
 
 Hold = Callable[[DataFrame], DataFrame]
 VALUE = ["kind", "num", "str", "bool"]
@@ -104,10 +106,15 @@ def layers(nodes: DataFrame, edges: DataFrame, hold: Hold = held) -> Iterator[Da
 
 def reached(dependents: DataFrame, start: DataFrame, hold: Hold = held) -> DataFrame:
     """(id): ``start`` and all that it reaches. A frontier loop; what was found is not followed again."""
-    found = frontier = hold(start.select("id").distinct())
+    spark, folder, schema = start.sparkSession, new_folder(start.sparkSession, "reached"), start.select("id").schema
+    start.select("id").distinct().write.parquet(f"{folder}/0")
+    found, n = spark.read.schema(schema).parquet(f"{folder}/0"), 0
+    frontier = found
     while not frontier.isEmpty():
-        frontier = hold(frontier.join(dependents, "id").select(F.col("dependent_id").alias("id")).distinct().join(found, "id", "left_anti"))
-        found = hold(found.unionByName(frontier))
+        n += 1
+        frontier.join(dependents, "id").select(F.col("dependent_id").alias("id")).distinct().join(found, "id", "left_anti").write.parquet(f"{folder}/{n}")
+        frontier = spark.read.schema(schema).parquet(f"{folder}/{n}")
+        found = spark.read.schema(schema).parquet(*(f"{folder}/{k}" for k in range(n + 1)))
     return found
 
 
@@ -142,29 +149,78 @@ def evaluate(db: ModelDb, inputs: DataFrame, hold: Hold = held) -> DataFrame:
     return out
 
 
-def recalculate(db: ModelDb, only: DataFrame | None = None, hold: Hold = held, strict: bool = False) -> ModelDb:
+def steps(db: ModelDb, inputs: DataFrame, hold: Hold = held) -> DataFrame:
+    """(id, step): for each output of ``inputs`` the step (text, in order) in which it is computed, after all that it reads.
+
+    Steps follow from formulas and the order of periods (``graphs.formula_strata``). Only cells of formulas that refer to each other
+    by named periods, both ways in time, or in the same period, are layered by their edges; a cycle among them is an error.
+    """
+    metrics = db.observations.select(F.col("id"), "metric_id", "period_id")
+    made = inputs.select(F.col("out_id").alias("id"), "transformation_id").distinct().join(metrics, "id")
+    produced: dict[str, list[str]] = {}
+    for r in made.select("transformation_id", "metric_id").distinct().collect():  # formulas and their metrics, not cells
+        produced.setdefault(r["metric_id"], []).append(r["transformation_id"])
+    reads: dict[str, list[tuple[str, int, bool]]] = {t: [] for made_by in produced.values() for t in made_by}
+    for r in transformation_refs(db).collect():
+        if r["transformation_id"] in reads:
+            reads[r["transformation_id"]] += [(t, r["offset"], r["target_period"] is not None) for t in produced.get(r["metric_id"], ())]
+    rows = [(t, level, mode, place) for t, (level, mode, place) in formula_strata(reads).items()]
+    strata = db.observations.sparkSession.createDataFrame(rows, "transformation_id string, level int, mode string, place int")
+    rank = F.row_number().over(Window.partitionBy("type").orderBy(period_key(), "id"))
+    periods = db.periods.select("id", F.col("id").alias("period_id"), rank.alias("rank")).select("period_id", "rank")
+    placed = made.join(strata, "transformation_id").join(periods, "period_id", "left")
+    loose = [t for t, _, mode, _ in rows if mode == "cells"]
+    layer = None
+    if loose:
+        cells = hold(made.filter(F.col("transformation_id").isin(loose)).select("id"))
+        for n, ready in enumerate(layers(cells, direct_dependents(inputs), hold)):
+            part = ready.select("id", F.lit(n).alias("layer"))
+            layer = part if layer is None else layer.unionByName(part)
+    placed = placed.withColumn("layer", F.lit(None).cast("int")) if layer is None else placed.join(layer, "id", "left")
+    turn = F.when(F.col("mode") == "forward", F.coalesce("rank", F.lit(0))).when(F.col("mode") == "backward", 1_000_000 - F.coalesce("rank", F.lit(0))).otherwise(0)
+    kind = F.when(F.col("mode") == "once", 0).when(F.col("mode") == "cells", 3).when(F.col("mode") == "forward", 1).otherwise(2)
+    return placed.select("id", F.format_string("%05d-%d-%07d-%05d-%07d", "level", kind, turn, "place", F.coalesce("layer", F.lit(0))).alias("step"))
+
+
+def recalculate(db: ModelDb, only: DataFrame | None = None, hold: Hold = held, strict: bool = False, inputs: DataFrame | None = None) -> ModelDb:
     """The database with derived observations evaluated, each after all that it reads, however long the chains are.
 
     ``only`` (ids) limits it to the observations that an edit reaches. Failed evaluations keep their value, or are an error
-    if ``strict``. Inputs are resolved once, as no value decides which observation a reference means.
+    if ``strict``. Inputs are resolved once, as no value decides which observation a reference means, and stored by step; a step
+    reads its own and the results of the steps that it refers to. inputs: ``resolve_inputs`` of a database with the same
+    observations and formulas, whatever their values, if the caller has them.
     """
-    inputs = hold(resolve_inputs(db).select("out_id", "transformation_id", "ref", "in_period", "in_id", *VALUE))
-    targets = inputs.select(F.col("out_id").alias("id")).distinct()
+    spark = db.observations.sparkSession
+    given = inputs is not None
+    inputs = (inputs if given else resolve_inputs(db)).select("out_id", "transformation_id", "ref", "in_period", "in_id", *VALUE)
     if only is not None:
-        targets = targets.join(only.select("id"), "id", "left_semi")
-    new = None
-    for ready in layers(targets, direct_dependents(inputs), hold):
-        mine = inputs.join(ready.select(F.col("id").alias("out_id")), "out_id", "left_semi")
-        if new is not None:
-            fresh = new.select(F.col("id").alias("in_id"), F.struct(*VALUE).alias("_v"))
-            mine = mine.join(fresh, "in_id", "left").select("out_id", "transformation_id", "ref", "in_period", "in_id", *(F.when(F.col("_v").isNotNull(), F.col("_v")[c]).otherwise(F.col(c)).alias(c) for c in VALUE))
-        done = hold(evaluate(db, mine, hold).withColumnRenamed("out_id", "id"))
-        if strict and (failed := done.filter("error is not null").select("id", "error").orderBy("id").first()):
-            raise ValueError(f"{failed['id']} {failed['error']}")
-        done = done.filter("error is null").drop("error")
-        new = done if new is None else new.unionByName(done)
-    if new is None:
+        inputs = inputs.join(only.select(F.col("id").alias("out_id")), "out_id", "left_semi")
+    if given:
+        inputs = inputs.drop(*VALUE).join(db.observations.select(F.col("id").alias("in_id"), *VALUE), "in_id", "left")
+    inputs = hold(inputs)
+    step_of = hold(steps(db, inputs, hold))
+    own = step_of.select(F.col("id").alias("out_id"), "step")
+    theirs = step_of.select(F.col("id").alias("in_id"), F.col("step").alias("in_step"))
+    staged = hold_by(inputs.join(own, "out_id").join(theirs, "in_id", "left").select(*inputs.columns, "in_step", "step"), "step")
+    order = staged.groupBy("step").agg(F.collect_set("in_step").alias("reads"), F.collect_set("transformation_id").alias("formulas")).orderBy("step").collect()
+    if not order:
         return db
+    folder = new_folder(spark, "steps")
+    schema = "id string, kind string, num double, str string, bool boolean"
+    results = lambda names: spark.read.schema(schema).parquet(*(f"{folder}/{n}" for n in names))
+    for r in order:
+        mine = staged.filter(F.col("step") == r["step"])
+        if r["reads"]:
+            fresh = results(sorted(r["reads"])).select(F.col("id").alias("in_id"), F.struct(*VALUE).alias("_v"))
+            mine = mine.join(fresh, "in_id", "left").withColumns({c: F.when(F.col("_v").isNotNull(), F.col("_v")[c]).otherwise(F.col(c)) for c in VALUE})
+        one = db.replace(transformations=db.transformations.filter(F.col("id").isin(r["formulas"])))
+        done = evaluate(one, mine, hold).withColumnRenamed("out_id", "id")
+        if strict:
+            done = hold(done)
+            if failed := done.filter("error is not null").select("id", "error").orderBy("id").first():
+                raise ValueError(f"{failed['id']} {failed['error']}")
+        done.filter("error is null").select("id", *VALUE).write.parquet(f"{folder}/{r['step']}")
+    new = results([r["step"] for r in order])
     joined = db.observations.join(new.select("id", F.struct(*VALUE).alias("_v")), "id", "left")
     obs = joined.select(*(F.when(F.col("_v").isNotNull(), F.col("_v")[c]).otherwise(F.col(c)).alias(c) if c in VALUE else F.col(c) for c in db.observations.columns))
     return db.replace(observations=hold(obs))
@@ -175,12 +231,12 @@ def same_value(a: str, b: str) -> Column:
     return F.col(f"{a}.kind").eqNullSafe(F.col(f"{b}.kind")) & F.col(f"{a}.num").eqNullSafe(F.col(f"{b}.num")) & F.col(f"{a}.str").eqNullSafe(F.col(f"{b}.str")) & F.col(f"{a}.bool").eqNullSafe(F.col(f"{b}.bool"))
 
 
-def edit_values(db: ModelDb, edits: DataFrame, hold: Hold = held) -> tuple[ModelDb, DataFrame]:
+def edit_values(db: ModelDb, edits: DataFrame, hold: Hold = held, inputs: DataFrame | None = None) -> tuple[ModelDb, DataFrame]:
     """(new database, changes): base values replaced by ``edits`` (id, num, or id and a tagged value), and what follows from them.
 
     An unknown id, a derived observation, an equal value or one of another type than the metric's is an error, and so is a formula
     that fails, a cycle, or a result that does not fit its metric. changes: (id, before, after, direct); the provenance
-    of what changed is marked as corrected.
+    of what changed is marked as corrected. inputs: ``resolve_inputs`` of the database, of whatever values, if the caller has them.
     """
     if "kind" not in edits.columns:
         edits = edits.select("id", F.when(F.col("num").isNull(), "null").otherwise("number").alias("kind"), "num", F.lit(None).cast("string").alias("str"), F.lit(None).cast("boolean").alias("bool"))
@@ -193,9 +249,10 @@ def edit_values(db: ModelDb, edits: DataFrame, hold: Hold = held) -> tuple[Model
         raise ValueError(f"cannot edit {', '.join(r['id'] for r in bad)}: unknown, derived, unchanged or of another type")
     joined = db.observations.join(wanted, "id", "left")
     edited = joined.select(*(F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in VALUE else F.col(c) for c in db.observations.columns))
-    now = db.replace(observations=hold(edited))
-    affected = reached(hold(direct_dependents(resolve_inputs(now))), wanted, hold)
-    after = recalculate(now, affected.join(wanted, "id", "left_anti"), hold, strict=True)
+    now = db.replace(observations=edited)
+    inputs = hold(resolve_inputs(now)) if inputs is None else inputs
+    affected = reached(hold(direct_dependents(inputs)), wanted, hold)
+    after = recalculate(now, affected.join(wanted, "id", "left_anti"), hold, strict=True, inputs=inputs)
     value = F.struct(*VALUE)
     both = db.observations.select("id", value.alias("_before")).join(after.observations.select("id", "metric_id", value.alias("_after")), "id").filter(~same_value("_before", "_after"))
     changes = hold(both.join(wanted.select("id", F.lit(True).alias("direct")), "id", "left").withColumn("direct", F.coalesce("direct", F.lit(False))))

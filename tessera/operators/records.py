@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.hold import numbered
+
 
 def unique_lookup(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value) of the keys that have exactly one distinct value; two bounded aggregates, no collected set."""
@@ -17,20 +19,41 @@ def unique_lookup(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def dedup_transformations(cells: DataFrame) -> DataFrame:
-    """(id, output_metric_id, expression, n_periods, conflict) of (output_metric_id, status, expression, period_id, formula) rows.
+    """(id, output_metric_id, expression, n_periods, conflict, sources) of (output_metric_id, status, expression, period_id, formula) rows.
 
-    Equal formulas of a metric are one transformation, named by a digest of its key; two source formulas for one period are a conflict.
+    Equal formulas of a metric are one transformation, named by a digest of its key. sources: its source formula by period; the least,
+    where a period has two, which is a conflict (``checked_transformations`` refuses it).
     """
     digest = F.substring(F.sha2(F.concat_ws("\0", "output_metric_id", "status", "expression"), 256), 1, 8)
-    by_period = cells.groupBy("output_metric_id", "status", "expression", "period_id").agg((F.min("formula") != F.max("formula")).alias("c"))
-    return by_period.groupBy("output_metric_id", "status", "expression").agg(F.count(F.lit(1)).alias("n_periods"), F.max("c").alias("conflict")).select(F.concat(F.lit("transformation_"), digest).alias("id"), "output_metric_id", "expression", "n_periods", "conflict")
+    by_period = cells.groupBy("output_metric_id", "status", "expression", "period_id").agg((F.min("formula") != F.max("formula")).alias("c"), F.min("formula").alias("formula"))
+    # as many entries as periods
+    sources = F.map_from_entries(F.array_sort(F.collect_list(F.struct("period_id", "formula"))))
+    whole = by_period.groupBy("output_metric_id", "status", "expression").agg(F.count(F.lit(1)).alias("n_periods"), F.max("c").alias("conflict"), sources.alias("sources"))
+    return whole.select(F.concat(F.lit("transformation_"), digest).alias("id"), "output_metric_id", "expression", "n_periods", "conflict", "sources")
+
+
+def checked_transformations(cells: DataFrame) -> DataFrame:
+    """``dedup_transformations`` without the flag: a period with two source formulas for one transformation is an error, raised when the rows are read."""
+    found = dedup_transformations(cells)
+    wrong = F.raise_error(F.concat(F.lit("two source formulas for one period: "), "id")).cast("string")
+    return found.withColumn("id", F.when(F.col("conflict"), wrong).otherwise(F.col("id"))).drop("conflict")
 
 
 def context_ids(records: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Distinct contexts numbered by first sight: (keys, first, number)."""
+    """Distinct contexts numbered by first sight, without gaps: (keys, first, number). Ties are broken by the keys."""
     first = records.groupBy(*keys).agg(F.min(order).alias("first"))
-    # as many rows as distinct contexts; ties are broken by the keys
-    return first.withColumn("number", F.row_number().over(Window.orderBy("first", *keys)))
+    return numbered(first, ["first", *keys]).withColumn("number", F.col("number").cast("int"))
+
+
+def distinct_records(records: DataFrame, order: str, *, without: tuple[str, ...] = ()) -> DataFrame:
+    """Records that differ in any column but ``order`` and ``without``, the first of each, numbered by first sight (``record``).
+
+    Rows are compared by their canonical JSON: columns in the order of their names, nulls left out.
+    """
+    columns = sorted(c for c in records.columns if c != order and c not in without)
+    text = F.to_json(F.struct(*columns))
+    first = records.groupBy(text.alias("_json")).agg(F.min_by(F.struct(*records.columns), order).alias("_row"))
+    return numbered(first.select("_row.*", "_json"), [order, "_json"], "record").drop("_json")
 
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:

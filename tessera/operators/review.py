@@ -51,9 +51,10 @@ def observation_detail(db: ModelDb, inputs: DataFrame) -> DataFrame:
     named = inputs.filter("in_id is not null").select(F.col("in_id").alias("id"), F.col("out_id").alias("dependent_id")).distinct().join(places, "dependent_id")
     order = Window.partitionBy("id").orderBy(F.collate("metric_id", "UNICODE"), "_key", F.collate("dependent_id", "UNICODE"))
     used = named.withColumn("n", F.row_number().over(order)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "dependent_id"))).alias("dependents"))
-    items = db.unresolved_items.filter("status = 'open'").select(F.col("id").alias("item_id"), "target_id", F.col("model_id").alias("_model"), F.col("attention_level").alias("level"))
-    keys = db.observations.select("id", "model_id", F.explode(F.array("id", "metric_id")).alias("target_id"))
-    opened = keys.join(items, "target_id").filter("_model is null or _model = model_id").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("item_id", "level"))).alias("open_items"))
+    # gathered by target and model first: a metric with many items and observations is joined once for each observation
+    items = db.unresolved_items.filter("status = 'open' and target_id is not null").groupBy("target_id", F.coalesce("model_id", F.lit("")).alias("_model")).agg(F.collect_set(F.struct(F.col("id").alias("item_id"), F.col("attention_level").alias("level"))).alias("found"))
+    keys = db.observations.select("id", F.explode(F.array(F.struct(F.col("id").alias("target_id"), F.col("model_id").alias("_model")), F.struct(F.col("id").alias("target_id"), F.lit("").alias("_model")), F.struct(F.col("metric_id").alias("target_id"), F.col("model_id").alias("_model")), F.struct(F.col("metric_id").alias("target_id"), F.lit("").alias("_model")))).alias("k")).select("id", "k.*")
+    opened = keys.join(items, ["target_id", "_model"]).groupBy("id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))).alias("open_items"))
     names = [(db.metrics, "metric_id", "metric_name"), (db.models, "model_id", "model_name"), (db.entities, "entity_id", "entity_name")]
     out = db.observations.join(periods.drop("_key"), "period_id")
     for frame, key, name in names:

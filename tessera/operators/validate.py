@@ -14,6 +14,7 @@ from ..functions import expressions
 from ..plans.hold import hold as held
 from ..plans.model_db import CONTEXT, ModelDb, period_key, value_matches
 from .contract import contract
+from .graphs import formula_strata, shortest_cycles, small_cycles, strong_components
 from .hierarchy import parent_cycles, parent_issues
 from .lineage import transformation_refs
 
@@ -235,9 +236,8 @@ def presentation_duplicate_id(db: ModelDb) -> DataFrame:
 
 
 def presentation_duplicate_section(db: ModelDb) -> DataFrame:
-    """Section ids are global: a section of a later presentation that an earlier one has."""
-    sections = db.presentation_metrics.groupBy("presentation_id", "section_id").agg(F.min("ord").alias("ord"))
-    return _found(_repeated(sections, ["section_id"]), "presentation.duplicate_section", "sections", "section_id")
+    """Section ids are global: each section but the first of its id, in whatever presentation it stands."""
+    return _found(_repeated(db.sections, ["id"]), "presentation.duplicate_section", "id")
 
 
 def presentation_parents(db: ModelDb) -> DataFrame:
@@ -256,50 +256,96 @@ def presentation_names(db: ModelDb) -> DataFrame:
     return no_id.unionByName(_found(several.filter("title is null"), "presentation.title_required", "title"))
 
 
+def _first_item(items: DataFrame, key: str) -> DataFrame:
+    """(key, item_id): the open item declared first for each key."""
+    return items.groupBy(key).agg(F.min_by("id", "ord").alias("item_id"))
+
+
+def bare_models(db: ModelDb) -> DataFrame:
+    """(id, item_id): models without a presentation, and the first open presentation item of each, if it has one. An item without a model speaks for none."""
+    said = _first_item(db.unresolved_items.filter("status = 'open' and category = 'presentation' and model_id is not null"), "model_id")
+    bare = db.models.select("id").join(db.presentations.select(F.col("model_id").alias("id")), "id", "left_anti")
+    return bare.join(said.withColumnRenamed("model_id", "id"), "id", "left")
+
+
 def presentation_missing(db: ModelDb) -> DataFrame:
-    """Models without a presentation: a fallback if an open item says so, else missing."""
-    bare = db.models.join(db.presentations.select(F.col("model_id").alias("id")), "id", "left_anti").select("id")
-    # an item without a model speaks for all of them
-    said = db.unresolved_items.filter("status = 'open' and category = 'presentation'").select(F.coalesce("model_id", F.lit("*")).alias("_model"), F.lit(1).alias("_one")).distinct()
-    j = bare.withColumn("_model", F.explode(F.array("id", F.lit("*")))).join(said, "_model", "left").groupBy("id").agg(F.count("_one").alias("n"))
-    return j.select(F.when(F.col("n") > 0, "presentation.fallback").otherwise("presentation.missing").alias("code"), F.col("id").alias("object_id"), F.lit("tablePresentations").alias("field"))
+    """Models without a presentation: a fallback if an open item of theirs says so, else missing."""
+    code = F.when(F.col("item_id").isNotNull(), "presentation.fallback").otherwise("presentation.missing")
+    return bare_models(db).select(code.alias("code"), F.col("id").alias("object_id"), F.lit("tablePresentations").alias("field"))
+
+
+def opaque_formulas(db: ModelDb) -> DataFrame:
+    """(id, item_id): opaque formulas, and the first open formula action that points at each or at its metric, if there is one.
+
+    Actions are gathered by target first, so a metric of many formulas and items is joined once for each formula.
+    """
+    actions = db.unresolved_items.filter("status = 'open' and category = 'formula' and attention_level = 'action_required'")
+    affected = F.coalesce("affected_target_ids", F.array().cast("array<string>")) if "affected_target_ids" in actions.columns else F.array().cast("array<string>")
+    by_target = actions.select("id", "ord", F.explode(F.array_distinct(F.concat(F.array("target_id"), affected))).alias("target")).filter("target is not null")
+    first = by_target.groupBy("target").agg(F.min(F.struct("ord", "id")).alias("item"))
+    opaque = db.transformations.filter("status = 'opaque'").select("id", F.explode(F.array("id", "output_metric_id")).alias("target"))
+    return opaque.join(first, "target", "left").groupBy("id").agg(F.min("item")["id"].alias("item_id"))
 
 
 def transformation_opaque(db: ModelDb) -> DataFrame:
-    """Opaque formulas: a warning if an open formula action points at them or their metric, else an error."""
-    opaque = db.transformations.filter("status = 'opaque'").select("id", "output_metric_id")
-    acted = db.unresolved_items.filter("status = 'open' and category = 'formula' and attention_level = 'action_required'").select(F.col("target_id").alias("_t")).distinct()
-    either = opaque.select("id", F.explode(F.array("id", "output_metric_id")).alias("_t")).join(acted, "_t", "left_semi").select("id").distinct().withColumn("_has", F.lit(True))
-    j = opaque.join(either, "id", "left")
-    return j.select(F.when(F.col("_has"), "transformation.opaque").otherwise("transformation.opaque_action_required").alias("code"), F.col("id").alias("object_id"), F.lit("status").alias("field"))
-
-
-def formula_edges(db: ModelDb) -> DataFrame:
-    """(model_id, from_metric, from_period, to_metric, to_period): cells and the cells they read, on each model's own axis of periods by type."""
-    rows = db.transformations.filter("status = 'supported'").select("id", "output_metric_id", "expression").collect()
-    refs = [(r["id"], r["output_metric_id"], x.metric_id, x.offset, x.period_id) for r in rows for x in expressions.analyze(r["expression"]).references]
-    table = db.observations.sparkSession.createDataFrame(refs, "transformation_id string, from_metric string, to_metric string, offset int, named string")
+    """Opaque formulas: a warning if an open formula action names them or their metric, as target or among what is affected, else an error."""
+    code = F.when(F.col("item_id").isNotNull(), "transformation.opaque").otherwise("transformation.opaque_action_required")
+    return opaque_formulas(db).select(code.alias("code"), F.col("id").alias("object_id"), F.lit("status").alias("field"))
+
+
+def formula_edges(db: ModelDb, table: DataFrame) -> DataFrame:
+    """(model_id, from_metric, from_period, to_metric, to_period): cells and the cells they read, on each model's own axis of periods by type.
+
+    table: (transformation_id, from_metric, to_metric, offset, named).
+    """
     seen = db.observations.select("model_id", "period_id").distinct().join(db.periods.select(F.col("id").alias("period_id"), "type", period_key().alias("key")), "period_id")
     axis = seen.withColumn("pos", F.row_number().over(Window.partitionBy("model_id", "type").orderBy("key", "period_id")))
     cells = db.observations.filter("transformation_id is not null").select("model_id", "transformation_id", F.col("period_id").alias("from_period")).distinct().join(table, "transformation_id")
     here = axis.select("model_id", "type", F.col("period_id").alias("from_period"), "pos")
     there = axis.select("model_id", "type", F.col("period_id").alias("moved"), F.col("pos").alias("target"))
     placed = cells.join(here, ["model_id", "from_period"], "left").withColumn("target", F.col("pos") + F.col("offset")).join(there, ["model_id", "type", "target"], "left")
-    return placed.select("model_id", "from_metric", "from_period", "to_metric", F.coalesce("named", "moved").alias("to_period")).filter("to_period is not null").distinct()
+    moved = F.when((F.col("offset") == 0), F.col("from_period")).otherwise(F.col("moved"))
+    return placed.select("model_id", "from_metric", "from_period", "to_metric", F.coalesce("named", moved).alias("to_period")).filter("to_period is not null").distinct()
+
+
+def formula_cycles(db: ModelDb, hold: Callable[[DataFrame], DataFrame] = held) -> DataFrame:
+    """(model_id, metric_id, path): a shortest cycle of each strong component of the formulas' cells, as ``metric[period] -> ...``.
+
+    Formulas without an output are nodes of their metrics, without periods; their graph and that of the formulas' metrics are as small
+    as the formulas and are looked through on the driver. Cells are looked at only where metrics refer to each other in one period, by
+    named periods or both ways in time; all others are in the order of their periods.
+    """
+    spark = db.observations.sparkSession
+    formulas = [(r["id"], r["output_metric_id"], expressions.analyze(r["expression"] or "")) for r in db.transformations.filter("status = 'supported'").select("id", "output_metric_id", "expression").collect()]
+    used = {r[0] for r in db.observations.select("transformation_id").filter("transformation_id is not null").distinct().collect()}
+    bare: dict[str, list[str]] = {}
+    reads: dict[str, list[tuple[str, int, bool]]] = {}
+    for name, metric, found in formulas:
+        if name in used:
+            reads.setdefault(metric, []).extend((r.metric_id, r.offset, r.period_id is not None) for r in found.references)
+        else:
+            bare.setdefault(metric, []).extend(found.dependencies)
+    rows = [(None, path[0], " -> ".join(path)) for path in small_cycles(bare)]
+    out = spark.createDataFrame(rows, "model_id string, metric_id string, path string")
+    for refs in list(reads.values()):
+        for metric, _, _ in refs:
+            reads.setdefault(metric, [])
+    strata = formula_strata(reads)
+    loose = {m for m, (_, mode, _) in strata.items() if mode == "cells"}
+    refs = [(name, metric, r.metric_id, r.offset, r.period_id) for name, metric, found in formulas if name in used and metric in loose for r in found.references if r.metric_id in loose]
+    if not refs:
+        return out
+    table = spark.createDataFrame(refs, "transformation_id string, from_metric string, to_metric string, offset int, named string")
+    cell = lambda a: F.struct("model_id", F.col(f"{a}_metric").alias("metric_id"), F.col(f"{a}_period").alias("period_id"))
+    edges = hold(formula_edges(db, table).select(cell("from").alias("a"), cell("to").alias("b")))
+    paths = shortest_cycles(edges, strong_components(edges, hold), hold)
+    text = F.array_join(F.transform("path", lambda c: F.concat(c["metric_id"], F.lit("["), c["period_id"], F.lit("]"))), " -> ")
+    return out.unionByName(paths.select(F.col("path")[0]["model_id"].alias("model_id"), F.col("path")[0]["metric_id"].alias("metric_id"), text.alias("path")))
 
 
 def transformation_cycle(db: ModelDb) -> DataFrame:
-    """Cells on a cycle of formulas, or between two: cells that read none of the rest, or that none of the rest reads, are trimmed until nothing changes."""
-    edges = held(formula_edges(db).select(F.concat_ws("/", "model_id", "from_metric", "from_period").alias("a"), F.concat_ws("/", "model_id", "to_metric", "to_period").alias("b")))
-    n = edges.count()
-    while n:
-        reads, read = edges.select(F.col("a").alias("b")).distinct(), edges.select(F.col("b").alias("a")).distinct()
-        edges = held(edges.join(reads, "b", "left_semi").join(read, "a", "left_semi").select("a", "b"))
-        left = edges.count()
-        if left == n:
-            break
-        n = left
-    return _found(edges.select("a").distinct(), "transformation.cycle", "expression", "a")
+    """One diagnostic for each cycle of formulas, at the metric where its path begins."""
+    return _found(formula_cycles(db), "transformation.cycle", "expression", "metric_id")
 
 
 def component_cycle(db: ModelDb) -> DataFrame:
@@ -312,17 +358,16 @@ def decision_change_value_type(db: ModelDb) -> DataFrame:
 
 
 def extraction_run_open_attention(db: ModelDb) -> DataFrame:
-    """Runs reported as completed while an open item is traced to them."""
-    traced = db.unresolved_items.filter("status = 'open'").select(F.explode(F.array("id", "target_id")).alias("target_id")).filter("target_id is not null")
+    """Runs reported as completed while an open item is traced to them: by the item's own provenance, not by that of its target."""
+    traced = db.unresolved_items.filter("status = 'open'").select(F.col("id").alias("target_id"))
     runs = db.provenance_records.join(traced, "target_id", "left_semi").join(db.provenance_contexts.select(F.col("id").alias("context_id"), "extraction_run_id"), "context_id").select(F.col("extraction_run_id").alias("id")).distinct()
     return _found(db.extraction_runs.filter("status = 'completed'").join(runs, "id", "left_semi"), "extraction_run.open_attention", "status")
 
 
 def open_items(db: ModelDb) -> DataFrame:
-    """A warning for each open item that no presentation or opaque rule reports."""
-    opaque = db.transformations.filter("status = 'opaque'").select(F.explode(F.array("id", "output_metric_id")).alias("target_id")).distinct()
-    said = db.unresolved_items.filter("category = 'formula' and attention_level = 'action_required'").join(opaque, "target_id", "left_semi").select("id")
-    rest = db.unresolved_items.filter("status = 'open' and category <> 'presentation'").join(said, "id", "left_anti")
+    """A warning for each open item but those that ``bare_models`` and ``opaque_formulas`` name: these rules report them."""
+    said = bare_models(db).select("item_id").unionByName(opaque_formulas(db).select("item_id")).filter("item_id is not null").select(F.col("item_id").alias("id")).distinct()
+    rest = db.unresolved_items.filter("status = 'open'").join(said, "id", "left_anti")
     return rest.select(F.concat(F.lit("unresolved."), "attention_level").alias("code"), F.col("id").alias("object_id"), F.lit("status").alias("field"))
 
 
@@ -364,7 +409,7 @@ RULES: list[tuple[Callable[[ModelDb], DataFrame], set[str]]] = [
     (component_cycle, {"relationships"}),
     (decision_change_value_type, {"decision_changes"}),
     (extraction_run_open_attention, {"extraction_runs", "unresolved_items", "provenance_records", "provenance_contexts"}),
-    (open_items, {"sections", "transformations", "unresolved_items"}),
+    (open_items, {"sections", "models", "transformations", "unresolved_items"}),
 ]
 
 

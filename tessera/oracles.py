@@ -219,7 +219,7 @@ ct as (select * replace (case when id = 'transformation_net_margin' then 'opaque
        ('transformation_discount', 'metric_discount_amount', 'supported', 'x', 20), ('transformation_dark', 'metric_quantity', 'opaque', '', 21)),
 co as (select * replace (case when metric_id = 'metric_discount_amount' then 'transformation_discount' else transformation_id end as transformation_id) from b),
 said as (select distinct target_id from items where status = 'open' and category = 'formula' and attention_level = 'action_required' and target_id is not null),
-cell as (select distinct model_id, period_id, transformation_id from co where period_id in (select id from periods)),
+cell as (select distinct model_id, period_id, transformation_id from co),
 ring as (select a.model_id, a.period_id from cell a join cell c using (model_id, period_id) where a.transformation_id = 'transformation_net_revenue' and c.transformation_id = 'transformation_discount')"""
 
 
@@ -254,35 +254,74 @@ RULES = {
     "series_duplicate": _rule("observation_series.duplicate", "observationSeries", f"select concat_ws('/', {_CONTEXT}) as object_id from (select {_CONTEXT}, min(ord) as s from b0 group by all) where s % 5 = 0"),
     "duplicate_point": _rule("observation.duplicate_point", "points", f"select id as object_id from b qualify row_number() over (partition by {_CONTEXT}, period_id, coalesce(scenario_id, 'none') order by ord) > 1"),
     "id_duplicate": _rule("id.duplicate", "id", "select id as object_id from b qualify row_number() over (partition by id order by ord) > 1"),
-    "model_current_version": _rule("model.current_version", "currentVersionId", "select id as object_id from mo where ord = 2"),
-    "transformation_duplicate": _rule("transformation.duplicate", "expression", "select id as object_id from bt qualify row_number() over (partition by output_metric_id, status, expression order by ord) > 1"),
     "transformation_unused": _rule("transformation.unused", "id", "select id as object_id from bt where id not in (select transformation_id from b where transformation_id is not null)"),
     "transformation_output_metric": _rule("transformation.output_metric", "transformationId", "select b.id as object_id from b join bt on bt.id = transformation_id where metric_id <> output_metric_id"),
     "transformation_source_expression": _rule("transformation.source_expression", "sourceExpressions", "select transformation_id as object_id from bs where ltrim(formula) not like '=%'"),
     "transformation_source_period": _rule("transformation.source_period", "periodId", "select id as object_id from b where transformation_id is not null and not exists (select 1 from bs where bs.transformation_id = b.transformation_id and bs.period_id = b.period_id)"),
     "transformation_source_without_output": _rule("transformation.source_without_output", "sourceExpressions", "select transformation_id || '/' || period_id as object_id from bs where not exists (select 1 from b where bs.transformation_id = b.transformation_id and bs.period_id = b.period_id)"),
-    "transformation_expression": _rule("transformation.expression", "expression", "select id as object_id from bt where status = 'supported' and regexp_matches(regexp_replace(expression, '''[^'']*''|null', '', 'g'), '[a-z_]+ *($|[^a-z_( ])')"),
-    "component_metric": _rule("relationship.component_metric", "type", "select id as object_id from br where from_id not in (select id from bme) or to_id not in (select id from bme)"),
-    "component_multiple_parents": _rule("relationship.component_multiple_parents", "fromId", "select id as object_id from (select *, first(to_id) over (partition by from_id order by ord) as f from br where from_id in (select id from bme) and to_id in (select id from bme)) where to_id <> f"),
-    "artifact_content_hash": _rule("artifact.content_hash", "contentHash", "select id as object_id from ba where not regexp_matches(content_hash, '^[A-Za-z0-9]+:[A-Fa-f0-9]+$')"),
     "provenance_missing": _rule("provenance.missing", "provenanceRecords", "select id as object_id from canon where id not in (select target_id from bp) and id not in (select id from ba union all select id from bc union all select 'run_1') group by 1"),
-    "provenance_context_duplicate": _rule("provenance_context.duplicate", "provenanceContexts", "select id as object_id from bc qualify row_number() over (partition by source_artifact_id, extraction_run_id, confidence, review_status order by ord) > 1"),
     "provenance_duplicate": _rule("provenance.duplicate", "provenanceRecords", "select target_id as object_id from bp qualify row_number() over (partition by target_id, context_id, sheet, cell order by ord) > 1"),
     "presentation_metric_missing": _rule("presentation.metric_missing", "sections", "select model_id || '/' || metric_id as object_id from (select distinct model_id, metric_id from b where model_id in (select model_id from bpr)) s where not exists (select 1 from bm join bpr p on p.id = presentation_id where p.model_id = s.model_id and bm.metric_id = s.metric_id)"),
     "presentation_duplicate_metric": _rule("presentation.duplicate_metric", "metricIds", "select presentation_id || '/' || metric_id as object_id from bm qualify row_number() over (partition by presentation_id, metric_id order by ord) > 1"),
     "presentation_metric_not_visible": _rule("presentation.metric_not_visible", "metricIds", "select presentation_id || '/' || metric_id as object_id from bm join bpr p on p.id = presentation_id where not exists (select 1 from b where b.model_id = p.model_id and b.metric_id = bm.metric_id)"),
-    "presentation_duplicate_id": _rule("presentation.duplicate_id", "id", "select id as object_id from bpr group by id having count(*) > 1"),
-    "presentation_duplicate_section": _rule("presentation.duplicate_section", "sections", "select section_id as object_id from (select distinct presentation_id, section_id from bm) group by 1 having count(*) > 1"),
     "presentation_parents": _q("select case when p.metric_id is null then 'presentation.parent_unknown' else 'presentation.parent_order' end as code, concat_ws('/', c.presentation_id, c.section_id, c.metric_id) as object_id, 'metricParentIds' as field from (select distinct presentation_id, section_id, metric_id, parent_id from bm where parent_id is not null) c left join (select presentation_id, section_id, metric_id, max(ord) as ord from bm group by all) me on me.presentation_id = c.presentation_id and me.section_id = c.section_id and me.metric_id = c.metric_id left join (select presentation_id, section_id, metric_id, max(ord) as ord from bm group by all) p on p.presentation_id = c.presentation_id and p.section_id = c.section_id and p.metric_id = c.parent_id where p.metric_id is null or p.ord >= me.ord", _BROKEN),
-    "presentation_names": _q("select 'presentation.id_required' as code, id as object_id, 'id' as field from bpr where id like 'unnamed%' union all select 'presentation.title_required', id, 'title' from bpr where title is null", _BROKEN),
-    "presentation_missing": _rule("presentation.missing", "tablePresentations", "select id as object_id from mo where id not in (select model_id from bpr)"),
-    "unresolved_repair_required": _rule("unresolved.repair_required", "attentionLevel", "select id as object_id from items where status = 'open' and category = 'source_error' and attention_level <> 'action_required'"),
-    "decision_change_value_type": _rule("decision_change.value_type", "before/after", "select id as object_id from bch where odd"),
-    "extraction_run_open_attention": _rule("extraction_run.open_attention", "status", "select distinct extraction_run_id as object_id from bp join bc on bc.id = context_id where target_id in (select unnest([id, target_id]) from items where status = 'open') and extraction_run_id = 'run_1'"),
-    "transformation_opaque": _cyclic("code", "status", "select id as object_id, case when id in (select target_id from said) or output_metric_id in (select target_id from said) then 'transformation.opaque' else 'transformation.opaque_action_required' end as code from ct where status = 'opaque'"),
-    "transformation_cycle": _cyclic("'transformation.cycle'", "expression", "select model_id || '/' || m || '/' || period_id as object_id from ring, (values ('metric_net_revenue'), ('metric_discount_amount')) t(m)"),
-    "component_cycle": "select 'relationship.component_cycle' as code, 'metric_gross_revenue' as object_id, 'relationships' as field",
-    "open_items": _cyclic("code", "status", "select id as object_id, 'unresolved.' || attention_level as code from items where status = 'open' and not (category = 'formula' and attention_level = 'action_required' and coalesce(target_id in (select unnest([id, output_metric_id]) from ct where status = 'opaque'), false))"),
+}
+
+_CATALOG = """
+with recursive metrics as (select 'metric_' || p_partkey as id, p_partkey as ord from part where p_partkey % 37 <> 0),
+plain as (
+  select p_partkey as k, 'transformation_' || p_partkey as id, case when p_partkey % 19 = 0 then 'metric_gone_' else 'metric_' end || p_partkey as output_metric_id,
+         case when p_size % 9 = 0 then 'opaque' else 'supported' end as status from part),
+formulas as (select k, id, output_metric_id, status, k as ord from plain union all select k, id || '_twin', output_metric_id, status, k + 1000000000 from plain where k % 23 = 0),
+relations as (
+  select 'relationship_' || p_partkey as id, 'metric_' || p_partkey as from_id, case when p_partkey % 13 = 0 then 'derived_from' else 'component_of' end as type, 'metric_' || (p_partkey * p_partkey + 1) % 101 as to_id, p_partkey as ord from part
+  union all select 'relationship_' || p_partkey || '_b', case when p_partkey % 40 = 0 then 'metric_gone_' else 'metric_' end || p_partkey, 'component_of', 'metric_' || (p_partkey + 5), p_partkey + 1000000000 from part where p_partkey % 6 = 0),
+components as (select * from relations where type = 'component_of'),
+views as (
+  select case when o_orderkey % 29 = 0 then 'unnamed_presentation_' || o_orderkey when o_orderkey % 50 = 0 then 'presentation_' || o_orderkey % 1000 else 'presentation_' || o_orderkey end as id,
+         'model_' || o_custkey as model_id, case when o_orderkey % 31 <> 0 then o_orderpriority end as title, o_orderkey as ord from orders where o_custkey % 3 <> 0),
+items as (
+  select event_id as ord, 'item_' || event_id as id, list_extract(['formula', 'presentation', 'source_error'], event_id % 3 + 1) as category, event_id % 4 <> 3 as open, case when event_id % 5 < 2 then 'action_required' else 'needs_review' end as attention_level,
+         case when event_id % 7 <> 6 then 'model_' || user_id end as model_id, case when event_id % 8 = 0 then 'transformation_' || user_id when event_id % 8 = 1 then 'metric_' || user_id when event_id % 8 > 2 then 'model_' || user_id end as target_id,
+         case when event_id % 8 = 2 then ['transformation_' || user_id + 1, 'metric_' || user_id] else [] end as affected from events),
+bare as (
+  select 'model_' || c_custkey as id, (select min(i.ord) from items i where i.open and i.category = 'presentation' and i.model_id = 'model_' || c_custkey) as item
+  from customer where 'model_' || c_custkey not in (select model_id from views)),
+acts as (select ord, unnest(list_append(affected, target_id)) as t from items where open and category = 'formula' and attention_level = 'action_required'),
+opaque as (select f.id, min(a.ord) as item from formulas f left join acts a on a.t = f.id or a.t = f.output_metric_id where status = 'opaque' group by 1)
+"""
+
+
+def _catalog(code: str, field: str, select: str) -> str:
+    code = code if code.startswith("case") or code == "code" else f"'{code}'"
+    return f"{_CATALOG} select {code} as code, object_id, '{field}' as field from ({select})"
+
+
+_CYCLE_OF_THREE = """select 'metric_' || a.k as object_id, a.k from plain a join plain b on b.k = a.k + 1 join plain c on c.k = a.k + 2
+  where a.k % 10 = 0 and 'opaque' not in (a.status, b.status, c.status) and a.k % 19 <> 0 and b.k % 19 <> 0 and c.k % 19 <> 0"""
+RULES |= {
+    "transformation_expression": _catalog("transformation.expression", "expression", "select id as object_id from formulas where status = 'supported' and k % 10 in (4, 6, 7, 8)"),
+    "transformation_duplicate": _catalog("transformation.duplicate", "expression", "select id as object_id from formulas where id like '%twin'"),
+    "transformation_cycle": _catalog("transformation.cycle", "expression", _CYCLE_OF_THREE),
+    "transformation_opaque": _catalog("code", "status", "select id as object_id, case when item is null then 'transformation.opaque_action_required' else 'transformation.opaque' end as code from opaque"),
+    "component_metric": _catalog("relationship.component_metric", "type", "select id as object_id from components where from_id not in (select id from metrics) or to_id not in (select id from metrics)"),
+    "component_multiple_parents": _catalog("relationship.component_multiple_parents", "fromId", "select id as object_id from (select *, first(to_id) over (partition by from_id order by ord) as f from components where from_id in (select id from metrics) and to_id in (select id from metrics)) where to_id <> f"),
+    "component_cycle": _CATALOG + """, up as (select from_id as id, min_by(to_id, ord) as p from components group by 1),
+      walk as (select id as start, p as here, 1 as n from up union all select start, up.p, n + 1 from walk join up on up.id = here where here <> start and n <= 150),
+      ring as (select distinct start from walk where here = start),
+      least as (select start, least(start, min(here)) as low from walk where start in (select start from ring) group by 1)
+      select distinct 'relationship.component_cycle' as code, low as object_id, 'relationships' as field from least""",
+    "artifact_content_hash": _catalog("artifact.content_hash", "contentHash", "select 'artifact_' || s_suppkey as object_id from supplier where s_suppkey % 5 in (1, 3)"),
+    "provenance_context_duplicate": _catalog("provenance_context.duplicate", "provenanceContexts", "select 'context_' || s_suppkey as object_id from supplier qualify row_number() over (partition by s_suppkey % 7, s_suppkey % 9 order by s_suppkey) > 1"),
+    "decision_change_value_type": _catalog("decision_change.value_type", "before/after", "select 'change_' || event_id as object_id from events where event_type = 'error'"),
+    "model_current_version": _catalog("model.current_version", "currentVersionId", "select 'model_' || c_custkey as object_id from customer where c_custkey % 3 = 2"),
+    "presentation_duplicate_id": _catalog("presentation.duplicate_id", "id", "select id as object_id from views qualify row_number() over (partition by id order by ord) > 1"),
+    "presentation_duplicate_section": _catalog("presentation.duplicate_section", "id", "select 'section_' || n as object_id from (select unnest(case when o_orderkey % 41 = 0 then [o_orderkey, o_orderkey] when o_orderkey % 43 = 0 then [o_orderkey - 1] else [o_orderkey] end) as n, o_orderkey as ord from orders where o_custkey % 3 <> 0) qualify row_number() over (partition by n order by ord) > 1"),
+    "presentation_names": _CATALOG + ", several as (select * from views qualify count(*) over (partition by model_id) > 1) select 'presentation.id_required' as code, id as object_id, 'id' as field from several where id like 'unnamed%' union all select 'presentation.title_required', id, 'title' from several where title is null",
+    "presentation_missing": _catalog("code", "tablePresentations", "select id as object_id, case when item is null then 'presentation.missing' else 'presentation.fallback' end as code from bare"),
+    "extraction_run_open_attention": _catalog("extraction_run.open_attention", "status", "select distinct 'run_' || s.s_suppkey % 9 as object_id from events join supplier s on s.s_suppkey = event_id % 50 join supplier r on r.s_suppkey = s.s_suppkey % 9 where event_id % 97 = 0 and event_id % 4 <> 3 and r.s_suppkey % 2 = 0"),
+    "open_items": _catalog("code", "status", "select id as object_id, 'unresolved.' || attention_level as code from items where open and ord not in (select item from bare where item is not null union all select item from opaque where item is not null)"),
+    "unresolved_repair_required": _catalog("unresolved.repair_required", "attentionLevel", "select id as object_id from items where open and category = 'source_error' and attention_level <> 'action_required'"),
 }
 
 _FORMULA = "list_extract(['=1+2', '= 50%*2', '=A1*2', '=SUM(3,4)', '', '=1.5e3/2', '=(2-1)^2'], l_linenumber)"
@@ -307,6 +346,19 @@ def _format(inspector: bool) -> str:
       select l_orderkey, l_linenumber, case when q = 13 then '—' when k = 'text' then f when k = 'boolean' then case when q > 25 then 'Yes' else 'No' end
         when k = 'percentage' then case when x < 0 then '-' else '' end || u || '%' when x < 0 then {sign} else u end as text from u"""
 
+def _deep(step: str, start: str = "l_quantity") -> str:
+    """``step`` over itself eight times, a select for each, so that the text grows in proportion."""
+    source = f"select l_orderkey, l_linenumber, l_tax, {start} as v from lineitem"
+    for _ in range(8):
+        source = f"select l_orderkey, l_linenumber, l_tax, {step} as v from ({source})"
+    return source
+
+
+_NESTED = "select l_orderkey, l_linenumber, case when not isnan(v) then round(v, 6) end as num, case when isnan(v) then '- requires a finite number' end as error from (" + " union all ".join(
+    f"select * from ({_deep(step)}) where l_linenumber = {n}"
+    for n, step in enumerate(["floor(v * 3 / 2 * 10 + 0.5) / 10", "v - 11 * floor(v / 11) + l_tax", "case when v > 30 then v - 20 else v + 7 end", "greatest(v / 2, least(v, 9))", "case when isinf(v) or isnan(v) then 'nan'::DOUBLE else 100 / (v - 5) end", "case when v = 3 then 4 else v end"], 1)
+) + " union all select l_orderkey, l_linenumber, l_tax, null from lineitem where l_linenumber > 6)"
+
 
 def oracle_sql() -> dict[str, str]:
     wide = ", ".join(f"max(num) filter (period_id = '{p}') as {p}" for p in WIDE)
@@ -370,13 +422,19 @@ def oracle_sql() -> dict[str, str]:
         "dependent_reach": _q("select id from all_obs where metric_id = 'metric_discount_amount' union select dependent_id from deps where id in (select id from all_obs where metric_id = 'metric_discount_amount') union select d2.dependent_id from deps d1 join deps d2 on d2.id = d1.dependent_id where d1.id in (select id from all_obs where metric_id = 'metric_discount_amount')", _INPUTS),
         "eval_errors": _q("select out_id, 'cannot resolve metric_gross_revenue for ' || coalesce(p.label, 'the requested period') as error from (select out_id, arg_min(in_period, ref) as in_period from (select out_id, ref, in_period from inputs where transformation_id = 'transformation_growth' and in_id is null) group by 1) left join periods p on p.id = in_period", _INPUTS),
         "edit_provenance": _q("select target_id, cell, case when target_id in (select id from ed union all select out_id from moved) then 'corrected' else review_status end as review_status from records", _REVIEW + ", " + _EVAL + _EDIT),
-        "formula_references": "select * from (values ('transformation_net_revenue', 'metric_gross_revenue|0', 'metric_gross_revenue', 0, 1), ('transformation_net_revenue', 'metric_discount_amount|0', 'metric_discount_amount', 0, 0), ('transformation_net_margin', 'metric_gross_revenue|0', 'metric_gross_revenue', 0, 0), ('transformation_net_margin', 'metric_net_revenue|0', 'metric_net_revenue', 0, 1), ('transformation_growth', 'metric_gross_revenue|0', 'metric_gross_revenue', 0, 0), ('transformation_growth', 'metric_gross_revenue|-4', 'metric_gross_revenue', -4, 0)) t(transformation_id, ref, metric_id, \"offset\", dependency)",
         "metric_hierarchy": _q("select model_id, metric_id, parent_id, depth::INT as depth, array_to_string(path, '.') as path from tree", _TREE, True),
         "hierarchy_below": _q("select s.model_id, s.metric_id, case when s.metric_id <> 'metric_net_revenue' then 'metric_net_revenue' end as parent_id, (s.metric_id <> 'metric_net_revenue')::INT as depth from seen s where s.metric_id in ('metric_net_revenue', 'metric_net_margin', 'metric_growth')", _TREE, True),
         "inspector_format": _format(True),
         "number_format": _format(False),
         "expr_sum": "select l_orderkey, l_linenumber, l_quantity + l_tax + 0.25 - case when l_quantity = 7 then -1 else l_discount end as num, null::VARCHAR as error from lineitem",
-        "expr_issues": "select * from (values (0, false, 1, 'a|0'), (1, false, 1, ''), (2, false, 1, ''), (3, false, 1, ''), (4, false, 1, ''), (5, false, 1, ''), (6, false, 1, ''), (7, false, 1, ''), (8, false, 1, ''), (9, false, 1, ''), (10, false, 1, ''), (11, true, 0, 'm|-1,m|period:p')) t(n, valid, n_issues, refs)",
+        "expr_issues": _CATALOG + "select id, list_extract([null, null, null, null, '$.arguments[1]', null, '$.callee', '$', '$', null], (k % 10 + 1)::INT) as path, list_extract([null, null, null, null, 'name b is not allowed', null, 'function foo is not allowed', 'operator && is not allowed', 'cannot be parsed: unexpected end', null], (k % 10 + 1)::INT) as reason from plain where status = 'supported' and k % 10 in (4, 6, 7, 8)",
+        "formula_references": _CATALOG + ", steps(d, n, step) as (values (0, 1, 1), (1, 1, 1), (2, 1, 1), (2, 2, -2), (3, 1, 1), (4, 1, 1), (5, 1, 1), (6, 1, 1), (9, 1, 1), (9, 2, -4)), r as (select id, 'metric_' || (k + step) as metric_id, d from formulas join steps on d = k % 10 where status = 'supported') select id as transformation_id, metric_id || case d when 3 then '|-1' when 5 then '|period:period_x' else '|0' end as ref, metric_id, case d when 3 then -1 else 0 end::INT as offset, (row_number() over (partition by id order by metric_id) - 1)::INT as dependency from r",
+        "formula_cycle_paths": _CATALOG + f"select object_id as metric_id, 'metric_' || k || ' -> metric_' || (k + 1) || ' -> metric_' || (k + 2) || ' -> metric_' || k as path from ({_CYCLE_OF_THREE})",
+        "cell_cycle_paths": _q("select model_id, 'metric_discount_amount' as metric_id, 'metric_discount_amount[' || period_id || '] -> metric_net_revenue[' || period_id || '] -> metric_discount_amount[' || period_id || ']' as path from ring", _CYCLIC),
+        "strong_components": "with back as (select p_partkey as high, p_partkey - p_size % 5 as low from part where p_size % 4 = 0 and p_partkey >= p_size % 5), cover as (select p_partkey as id, exists (select 1 from back where low <= p_partkey and p_partkey < high) as joined, exists (select 1 from back where low <= p_partkey and p_partkey <= high) as inside from part), runs as (select id, inside, sum(case when joined then 0 else 1 end) over (order by id rows between unbounded preceding and 1 preceding) as run from cover) select id, max(id) over (partition by coalesce(run, 0)) as component from runs where inside",
+        "metric_search": "select 'metric_' || p_partkey as id, p_name as name from part where contains(lower(p_name), 'widget') or contains(lower('metric_' || p_partkey), 'widget') or contains(lower(p_type), 'widget') or contains(lower(p_brand), 'widget')",
+        "expr_nested": _NESTED,
+        "distinct_records": "with r as (select l_returnflag, case when l_linenumber < 6 then l_linenumber end as l_linenumber, l_quantity, min(l_orderkey) as l_orderkey from lineitem group by 1, 2, 3) select *, row_number() over (order by l_orderkey, case when l_linenumber is null then '' else '{\"l_linenumber\":' || l_linenumber || ',' end || case when l_linenumber is null then '{' else '' end || '\"l_quantity\":' || l_quantity || ',\"l_returnflag\":\"' || l_returnflag || '\"}') as record from r",
         "sum_if": _sums("coalesce(sum(v) filter (same), 0)"),
         "average_if": _sums("avg(v) filter (same)"),
         "style_roles": "select l_returnflag as role, case when l_linenumber % 2 = 0 then 'input' else 'none' end as kind, count(*) as n from lineitem group by all union all select l_returnflag, null, count(*) from lineitem group by 1",
@@ -386,7 +444,6 @@ def oracle_sql() -> dict[str, str]:
         "task_matches": "with l as (select 'transformation_' || l_orderkey % 50 as t, 'period_' || l_quantity::INT as p, * from lineitem), a as (select t, p, count(*) as n from l where l_linenumber = 3 and l_orderkey % 3 = 0 group by 1, 2), b as (select distinct t, p from l where l_linenumber = 2 and l_orderkey % 5 = 0) select coalesce(a.t, b.t) as transformation_id, coalesce(a.p, b.p) as period_id, case when a.t is null then 'missing_task' when b.t is null then 'unknown_task' else 'repeated_task' end as issue from a full join b on a.t = b.t and a.p = b.p where a.t is null or b.t is null or n > 1",
         "entities_with_data": _q("select distinct model_id, entity_id, n_name as name, n_nationkey::BIGINT as ord from obs join nation on entity_id = 'entity_nation_' || n_nationkey"),
         "period_modes": _q("select model_id, entity_id, period_id, mode, coalesce(lag(mode) over (partition by model_id, entity_id order by period_key) <> mode, false) as boundary from (select model_id, entity_id, period_id, period_key, arg_min(actuality, metric_ord) as mode from fin group by 1, 2, 3, 4)", _TABLE),
-        "metric_search": _q("select id, name from metrics where contains(lower(name || ' ' || id || ' ' || tags), 'revenue')"),
         "object_index": _q("select 'model_' || replace(lower(r_name), ' ', '_') as id, 'models' as collection, r_name as label from region union all select 'entity_nation_' || n_nationkey, 'entities', n_name from nation union all select id, 'metrics', name from metrics union all select id, 'periods', label from periods union all select id, 'transformations', id from transformations union all select id, 'relationships', id from relationships union all select 'scenario_' || x, 'scenarios', 'scenario_' || x from (values ('base'), ('bull'), ('bear')) t(x)"),
         "relationships_both_ways": _q("select target_id, relationship_id, type, direction, other_id, m.name as other_label from (select from_id as target_id, id as relationship_id, type, 'outgoing' as direction, to_id as other_id from relationships union all select to_id, id, type, 'incoming', from_id from relationships where from_id <> to_id) join metrics m on m.id = other_id"),
         "period_axis": _q("select model_id, entity_id, version_id, out_as_of, out_scenario, period_type, period_id, pos::INT as pos from axis", _AXIS),
@@ -408,10 +465,10 @@ def oracle_sql() -> dict[str, str]:
         "locator_parse": "with c as (select l_orderkey, l_linenumber, replace('$' || list_extract(['a', 'B', 'aa', 'ZZ', '', 'Ab1x', 'c'], l_linenumber) || '$' || l_orderkey % 1000, '$', '') as cell from lineitem), p as (select *, nullif(upper(regexp_extract(cell, '^([A-Za-z]+)[0-9]+', 1)), '') as col from c) select l_orderkey, l_linenumber, try_cast(nullif(regexp_extract(cell, '^[A-Za-z]+([0-9]+)', 1), '') as BIGINT) as row, col as \"column\", case length(col) when 1 then ascii(col) - 64 when 2 then (ascii(col[1]) - 64) * 26 + ascii(col[2]) - 64 end::BIGINT as number from p",
         "formula_kind": f"select l_orderkey, l_linenumber, case when l_orderkey % 5 = 0 or l_orderkey % 7 = 0 then 'expression' when f in ('=1+2', '= 50%*2', '=1.5e3/2', '=(2-1)^2') then 'constant' else 'expression' end as formula_kind from (select *, {_FORMULA} as f from lineitem)",
         "unique_lookup": "select l_orderkey, min(l_returnflag) as l_returnflag from lineitem group by 1 having count(distinct l_returnflag) = 1",
-        "transformation_dedup": "with c as (select 'metric_' || o_custkey % 50 as m, lower(o_orderstatus) as s, 'ref(''m'') * ' || o_orderkey % 3 as e, strftime(o_orderdate, '%Y%m') as p, '=B' || o_orderkey % 2 as f from orders), d as (select m, s, e, p, count(distinct f) > 1 as c from c group by 1, 2, 3, 4) select 'transformation_' || left(sha256(m || chr(0) || s || chr(0) || e), 8) as id, m as output_metric_id, e as expression, count(*) as n_periods, bool_or(c) as conflict from d group by m, s, e",
+        "transformation_dedup": "with c as (select 'metric_' || o_custkey % 50 as m, lower(o_orderstatus) as s, 'ref(''m'') * ' || o_orderkey % 3 as e, strftime(o_orderdate, '%Y%m') as p, '=B' || o_orderkey % 2 as f from orders), d as (select m, s, e, p, count(distinct f) > 1 as c, min(f) as f from c group by 1, 2, 3, 4) select 'transformation_' || left(sha256(m || chr(0) || s || chr(0) || e), 8) as id, m as output_metric_id, e as expression, count(*) as n_periods, bool_or(c) as conflict, string_agg(p || f, ',' order by p) as sources from d group by m, s, e",
         "context_ids": "select o_orderstatus, o_orderpriority, first, row_number() over (order by first, o_orderstatus, o_orderpriority)::INT as number from (select o_orderstatus, o_orderpriority, min(o_orderkey) as first from orders group by 1, 2)",
         "function_histogram": "select name, count(*) as n from (select unnest(regexp_extract_all(upper('=Sum(A1)+' || list_extract(['IF(B1>2,1,0)', 'sum(B2)*Round(C1,2)', 'AVERAGE.IF(A1)', '2', 'IFERROR(SUM(A2),0)', 'MAX(1,2)', 'x'], l_linenumber)), '([A-Z][A-Z0-9.]*)\\(', 1)) as name from lineitem) group by 1",
-        "workbook_inventory": "select 'book' || l_orderkey % 100 as path, 'S' || l_orderkey as sheet, count(*) * 8 as stored, count(*) * 8 as non_empty, count(*) * 5 as formulas, count(*) as external, count(distinct l_linenumber % 2) * 8 as styles from lineitem group by l_orderkey",
+        "workbook_inventory": "select 'book' || l_orderkey % 100 as path, 'S' || l_orderkey as sheet, count(*) * 8 as stored, count(*) * 8 - count(*) filter (l_linenumber % 3 = 0) as non_empty, count(*) * 5 as formulas, count(*) filter (l_linenumber % 5 <> 0) as external, count(distinct l_linenumber % 2) * 8 as styles from lineitem group by l_orderkey",
         "formula_translation": """select 'book' || l_orderkey % 100 as path, 'S' || l_orderkey as sheet, upper(c) || l_linenumber as cell, 'metric_' || c as metric_id, 'period_' || l_linenumber as period_id,
             case when c = 'd' and l_linenumber <> 4 then 'ref(''metric_b'') * 2' when c = 'e' then '(ref(''metric_c'') == 0 ? 7 : ref(''metric_b'') / ref(''metric_c''))' when c = 'f' then 'sum(ref(''metric_b''), ref(''metric_c''))' when c = 'h' then 'when(ref(''metric_b'') > 25, ref(''metric_c''), 0)' end as expression,
             case when c = 'd' and l_linenumber <> 4 then 'metric_b' when c in ('e', 'f', 'h') then 'metric_b,metric_c' else '' end as dependencies,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .functions import scalars as S
-from .operators import hierarchy, lineage, records, review, series, validate
+from .operators import graphs, hierarchy, lineage, records, review, series, validate
 from .plans import model_db as M
 from .plans.hold import hold
 from .plans.model_db import ModelDb
@@ -160,10 +161,6 @@ def period_modes(spark, sf_dir):
     return series.period_modes(series.financial_table(model_db(spark, sf_dir), AS_OF, SCENARIO)).select("model_id", "entity_id", "period_id", "mode", "boundary")
 
 
-def metric_search(spark, sf_dir):
-    return series.search_metrics(model_db(spark, sf_dir), " REVENUE ").select("id", "name")
-
-
 def object_index(spark, sf_dir):
     return M.object_index(model_db(spark, sf_dir), OBJECTS)
 
@@ -214,24 +211,23 @@ def eval_all(spark, sf_dir):
 
 
 def edit_propagation(spark, sf_dir):
-    db = lineage.recalculate(derived_db(spark, sf_dir))
+    db = derived_db(spark, sf_dir)
+    inputs = hold(lineage.resolve_inputs(db))
+    db = lineage.recalculate(db, inputs=inputs)
     edits = db.observations.filter("metric_id = 'metric_gross_revenue' and period_id = 'period_1998q2' and as_of = '2001-12-31'").select("id", (F.col("num") + 1000).alias("num"))
-    _, changes = lineage.edit_values(db, edits)
+    _, changes = lineage.edit_values(db, edits, inputs=inputs)
     return changes.select("id", "direct", "before", "after")
 
 
 def edit_provenance(spark, sf_dir):
     db = reviewed_db(spark, sf_dir)
-    db = db.replace(observations=lineage.recalculate(db).observations)
+    inputs = hold(lineage.resolve_inputs(db))
+    db = db.replace(observations=lineage.recalculate(db, inputs=inputs).observations)
     edits = db.observations.filter("metric_id = 'metric_gross_revenue' and period_id = 'period_1998q2' and as_of = '2001-12-31'").select("id", (F.col("num") + 1000).alias("num"))
-    after, _ = lineage.edit_values(db, edits)
+    after, _ = lineage.edit_values(db, edits, inputs=inputs)
     return after.provenance_records.select("target_id", "cell", "review_status")
 
 
-def formula_references(spark, sf_dir):
-    return lineage.transformation_refs(model_db(spark, sf_dir)).select("transformation_id", "ref", "metric_id", "offset", "dependency")
-
-
 def metric_hierarchy(spark, sf_dir):
     found = hierarchy.metric_hierarchy(reviewed_db(spark, sf_dir))
     return found.select("model_id", "metric_id", "parent_id", "depth", F.array_join("path", ".").alias("path"))
@@ -308,12 +304,6 @@ def expr_sum(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "num", "error")
 
 
-def expr_issues(spark, sf_dir):
-    texts = ["ref('a') + b", "1 +", "x.y", "1 && 2", "5 % 2", "foo(1)", "sum()", "ref(1)", "lag('m', 0)", "period_ref('m', n)", "/a/ + 1", "lag('m') + period_ref('m', 'p')"]
-    rows = [(i, X.analyze(t).valid, len(X.analyze(t).issues), ",".join(r.key for r in X.analyze(t).references)) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "n int, valid boolean, n_issues int, refs string")
-
-
 def locator_parse(spark, sf_dir):
     cells = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.concat(F.lit("$"), F.element_at(F.array(*(F.lit(x) for x in ("a", "B", "aa", "ZZ", "", "Ab1x", "c"))), F.col("l_linenumber")), F.lit("$"), F.col("l_orderkey") % 1000).alias("cell"))
     column = S.cell_column(F.col("cell"))
@@ -349,7 +339,14 @@ def unique_lookup(spark, sf_dir):
 def transformation_dedup(spark, sf_dir):
     orders = _read(spark, sf_dir, "orders")
     cells = orders.select(F.concat(F.lit("metric_"), F.col("o_custkey") % 50).alias("output_metric_id"), F.lower("o_orderstatus").alias("status"), F.concat(F.lit("ref('m') * "), F.col("o_orderkey") % 3).alias("expression"), F.date_format("o_orderdate", "yyyyMM").alias("period_id"), F.concat(F.lit("=B"), F.col("o_orderkey") % 2).alias("formula"))
-    return records.dedup_transformations(cells)
+    found = records.dedup_transformations(cells)
+    sources = F.transform(F.map_entries("sources"), lambda e: F.concat_ws("", e["key"], e["value"]))
+    return found.withColumn("sources", F.array_join(sources, ","))
+
+
+def distinct_records(spark, sf_dir):
+    lines = _lines(spark, sf_dir).select("l_returnflag", F.when(F.col("l_linenumber") < 6, F.col("l_linenumber")).alias("l_linenumber"), "l_quantity", "l_orderkey")
+    return records.distinct_records(lines, "l_orderkey").select("l_returnflag", "l_linenumber", "l_quantity", "l_orderkey", "record")
 
 
 def context_ids(spark, sf_dir):
@@ -418,7 +415,11 @@ def workbook_cells(spark, sf_dir):
 def workbook_inventory(spark, sf_dir):
     from .sources import xlsx
 
-    return xlsx.inventory(workbook_cells(spark, sf_dir))
+    cells = workbook_cells(spark, sf_dir)
+    row, column = F.regexp_extract("cell", "([0-9]+)$", 1).cast("int"), F.substring("cell", 1, 1)
+    # texts that are only formatted, formulas without a result, and references that are cut off
+    cells = cells.withColumns({"value": F.when(~((column == "A") & (row % 3 == 0)) & ~((column == "D") & (row % 2 == 0)), F.when((column == "A") & (row % 3 == 1), "").otherwise(F.col("value"))), "formula": F.when((column == "G") & (row % 5 == 0), F.replace("formula", F.lit("]"), F.lit(""))).otherwise(F.col("formula"))})
+    return xlsx.inventory(cells)
 
 
 def formula_translation(spark, sf_dir):
@@ -547,16 +548,102 @@ def cyclic_db(spark: SparkSession, sf_dir: str) -> ModelDb:
     return db.replace(observations=obs, transformations=transformations, relationships=relationships)
 
 
-#: Rules whose faults would get in the way of others are tried on a copy of their own.
-CYCLIC = ["transformation_cycle", "component_cycle", "transformation_opaque", "open_items"]
+#: Formulas of the catalogue by the last digit of the part; %d are other parts. Some break a rule of the language.
+FORMULAS = ["ref('metric_%d')", "ref('metric_%d') * 2", "ref('metric_%d') + ref('metric_%d')", "lag('metric_%d')", "round(ref('metric_%d'), b)", "period_ref('metric_%d', 'period_x')", "foo(ref('metric_%d'))", "ref('metric_%d') && 1", "ref(", "ref('metric_%d') - ref('metric_%d')"]
+#: How far on the parts of each formula lie.
+STEPS = [(1,), (1,), (1, -2), (1,), (1,), (1,), (1,), (1,), (), (1, -4)]
+
+
+def catalog_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    texts = [F.format_string(text, *((k + n) for n in steps)) if steps else F.lit(text) for text, steps in zip(FORMULAS, STEPS, strict=True)]
+    text = F.element_at(F.array(*texts), (k % 10 + 1).cast("int"))
+    status = F.when(F.col("p_size") % 9 == 0, "opaque").otherwise("supported")
+    metric = F.concat(F.when(k % 19 == 0, "metric_gone_").otherwise("metric_"), k)
+    return _read(spark, sf_dir, "part").select(F.concat(F.lit("transformation_"), k).alias("id"), metric.alias("output_metric_id"), status.alias("status"), F.when(status == "supported", text).alias("expression"), k.alias("ord"))
+
+
+def catalog_db(spark: SparkSession, sf_dir: str) -> ModelDb:
+    """A database without observations: metrics, formulas and relationships of parts, models of customers, presentations of orders, items and changes of events, runs and artifacts of suppliers."""
+    part, customer, orders, events, supplier = (_read(spark, sf_dir, t) for t in ("part", "customer", "orders", "events", "supplier"))
+    name = lambda kind, key: F.concat(F.lit(f"{kind}_"), key)
+    k, c, o, e, u, s = F.col("p_partkey"), F.col("c_custkey"), F.col("o_orderkey"), F.col("event_id"), F.col("user_id"), F.col("s_suppkey")
+    far = lambda x: x + 10**9
+    metrics = part.filter(k % 37 != 0).select(name("metric", k).alias("id"), F.col("p_name").alias("name"), F.lit("number").alias("data_type"), k.alias("ord"))
+    formulas = catalog_formulas(spark, sf_dir)
+    formulas = formulas.unionByName(formulas.filter("ord % 23 = 0").withColumns({"id": F.concat("id", F.lit("_twin")), "ord": far(F.col("ord"))}))
+    first = part.select(name("relationship", k).alias("id"), name("metric", k).alias("from_id"), F.when(k % 13 == 0, "derived_from").otherwise("component_of").alias("type"), name("metric", (k * k + 1) % 101).alias("to_id"), k.alias("ord"))
+    second = part.filter(k % 6 == 0).select(F.concat(name("relationship", k), F.lit("_b")).alias("id"), F.when(k % 40 == 0, name("metric_gone", k)).otherwise(name("metric", k)).alias("from_id"), F.lit("component_of").alias("type"), name("metric", k + 5).alias("to_id"), far(k).alias("ord"))
+    models = customer.select(name("model", c).alias("id"), name("version", c % 3).alias("current_version_id"), c.alias("ord"))
+    versions = customer.select(name("model", c).alias("model_id"), F.explode(F.array(F.lit("version_0"), F.lit("version_1"))).alias("version_id"))
+    presentations = orders.filter("o_custkey % 3 <> 0").select(F.when(o % 29 == 0, name("unnamed_presentation", o)).when(o % 50 == 0, name("presentation", o % 1000)).otherwise(name("presentation", o)).alias("id"), name("model", F.col("o_custkey")).alias("model_id"), F.when(o % 31 != 0, F.col("o_orderpriority")).alias("title"), o.alias("ord"))
+    sections = orders.filter("o_custkey % 3 <> 0").select(F.explode(F.when(o % 41 == 0, F.array(o, o)).when(o % 43 == 0, F.array(o - 1)).otherwise(F.array(o))).alias("n"), o.alias("ord")).select(name("section", F.col("n")).alias("id"), "ord")
+    pick = lambda test, a, b: F.when(test, a).otherwise(b)
+    items = events.select(
+        name("item", e).alias("id"), e.alias("ord"), F.element_at(F.array(*(F.lit(x) for x in ("formula", "presentation", "source_error"))), (e % 3 + 1).cast("int")).alias("category"),
+        pick(e % 4 == 3, "resolved", F.lit("open")).alias("status"), pick(e % 5 < 2, "action_required", F.lit("needs_review")).alias("attention_level"), F.when(e % 7 != 6, name("model", u)).alias("model_id"),
+        F.when(e % 8 == 0, name("transformation", u)).when(e % 8 == 1, name("metric", u)).when(e % 8 > 2, name("model", u)).alias("target_id"), F.when(e % 8 == 2, F.array(name("transformation", u + 1), name("metric", u))).alias("affected_target_ids"),
+    )
+    traces = events.filter(e % 97 < 2).select(pick(e % 97 == 0, name("item", e), name("metric", u)).alias("target_id"), name("context", e % 50).alias("context_id"), e.alias("ord"))
+    contexts = supplier.select(name("context", s).alias("id"), name("artifact", s % 7).alias("source_artifact_id"), name("run", s % 9).alias("extraction_run_id"), F.lit(0.5).alias("confidence"), F.when(s % 3 == 0, "unreviewed").alias("review_status"), s.alias("ord"))
+    hashes = F.element_at(F.array(*(F.lit(x) for x in ("sha256:ab12", "sha256-xyz", None, "md5:0G", "crc32:DEAD"))), (s % 5 + 1).cast("int"))
+    artifacts = supplier.select(name("artifact", s).alias("id"), hashes.alias("content_hash"), s.alias("ord"))
+    runs = supplier.select(name("run", s).alias("id"), pick(s % 2 == 0, "completed", F.lit("completed_with_issues")).alias("status"), s.alias("ord"))
+    changes = events.select(name("change", e).alias("id"), e.alias("ord"), F.lit("number").alias("before_kind"), pick(F.col("event_type") == "error", "string", F.lit("number")).alias("after_kind"))
+    base = model_db(spark, sf_dir)
+    none = spark.createDataFrame([], base.observations.schema)
+    return ModelDb({"observations": none, "periods": base.periods, "metrics": metrics, "transformations": formulas, "relationships": first.unionByName(second), "models": models, "model_versions": versions, "presentations": presentations, "sections": sections, "unresolved_items": items, "provenance_records": traces, "provenance_contexts": contexts, "source_artifacts": artifacts, "extraction_runs": runs, "decision_changes": changes})
+
+
+def expr_issues(spark, sf_dir):
+    rows = spark.createDataFrame([(t, i.path, i.reason) for t in FORMULAS for i in X.analyze(t.replace("%d", "0")).issues], "template string, path string, reason string")
+    of = catalog_formulas(spark, sf_dir).filter("status = 'supported'").select("id", F.regexp_replace("expression", "metric_-?[0-9]+", "metric_%d").alias("template"))
+    return of.join(rows, "template").select("id", "path", "reason")
+
+
+def formula_references(spark, sf_dir):
+    return lineage.transformation_refs(catalog_db(spark, sf_dir)).select("transformation_id", "ref", "metric_id", "offset", "dependency")
+
+
+def formula_cycle_paths(spark, sf_dir):
+    return validate.formula_cycles(catalog_db(spark, sf_dir)).select("metric_id", "path")
+
+
+def cell_cycle_paths(spark, sf_dir):
+    return validate.formula_cycles(cyclic_db(spark, sf_dir)).select("model_id", "metric_id", "path")
+
+
+def strong_components(spark, sf_dir):
+    """Parts lead to the next one; some lead back by a few. A cycle is a run of parts that overlapping ways back hold together."""
+    k, back = F.col("p_partkey"), F.when(F.col("p_size") % 4 == 0, F.col("p_partkey") - F.col("p_size") % 5)
+    part = _read(spark, sf_dir, "part")
+    edges = part.select(k.alias("a"), F.explode(F.array(k + 1, back)).alias("b")).filter("b >= 0").join(part.select(k.alias("b")), "b", "left_semi").select("a", "b")
+    return graphs.strong_components(edges)
+
+
+def metric_search(spark, sf_dir):
+    return series.search_metrics(ModelDb({"metrics": _read(spark, sf_dir, "part").select(F.concat(F.lit("metric_"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.array(F.lower("p_type"), "p_brand").alias("tags"), F.col("p_partkey").alias("ord"))}), " WIDGET ").select("id", "name")
+
+
+def expr_nested(spark, sf_dir):
+    """Formulas by the line of an order, eight operations deep, in one pass."""
+    deep = lambda step: functools.reduce(lambda text, _: step.replace("@", text), range(8), "ref('quantity')")
+    formulas = {1: deep("round(@ * 3 / 2, 1)"), 2: deep("(mod(@, 11) + ref('tax'))"), 3: deep("(@ > 30 ? @ - 20 : @ + 7)"), 4: deep("max(@ / 2, min(@, 9))"), 5: deep("(100 / (@ - 5))"), 6: deep("coalesce(@ == 3 ? null : @, 4)")}
+    lookup = lambda key: X._value("number", num=F.col({"quantity|0": "l_quantity", "tax|0": "l_tax"}[key]))
+    out = X.with_values(_lines(spark, sf_dir), formulas, lookup, by="l_linenumber")
+    return out.select("l_orderkey", "l_linenumber", F.round("num", 6).alias("num"), "error")
+
+
+#: Rules on collections that grow with no observation are tried on the catalogue.
+CATALOG = ["transformation_expression", "transformation_duplicate", "transformation_cycle", "transformation_opaque", "component_metric", "component_multiple_parents", "component_cycle", "artifact_content_hash", "provenance_context_duplicate", "decision_change_value_type", "model_current_version", "presentation_duplicate_id", "presentation_duplicate_section", "presentation_names", "presentation_missing", "extraction_run_open_attention", "open_items", "unresolved_repair_required"]
 
 
 def _rule(rule: Callable[[ModelDb], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    build = cyclic_db if rule.__name__ in CYCLIC else broken_db
+    build = catalog_db if rule.__name__ in CATALOG else broken_db
     return lambda spark, sf_dir: rule(build(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    private = ("derived_db", "reviewed_db", "broken_db", "cyclic_db", "model_db", "queries", "hold", "workbook_cells")
+    private = ("derived_db", "reviewed_db", "broken_db", "cyclic_db", "catalog_db", "catalog_formulas", "model_db", "queries", "hold", "workbook_cells")
     plain = {name: f for name, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_") and name not in private}
     return plain | {f"validate_{rule.__name__}": _rule(rule) for rule, _ in validate.RULES}

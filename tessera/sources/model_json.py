@@ -140,10 +140,13 @@ def without_persons(value: object) -> object:
 
 def read_model(spark: SparkSession, path: str, cap: int = MAX_BYTES) -> ModelDb:
     """The database of one JSON or gzip file, at most ``cap`` bytes decoded; several matching files are an error."""
-    rows = spark.read.format("binaryFile").load(path).filter(F.col("length") <= cap).select("content").take(2)
-    if len(rows) != 1:
-        raise InvalidDocument("no file of at most that size" if not rows else "several files; name one")
-    return from_document(spark, parse_document(decode(bytes(rows[0]["content"]), cap)))
+    files = spark.read.format("binaryFile").load(path)
+    sizes = [r["length"] for r in files.select("length").take(2)]
+    if len(sizes) != 1:
+        raise InvalidDocument("several files; name one" if sizes else "no such file")
+    if sizes[0] > cap:
+        raise InvalidDocument(f"more than {cap} bytes")
+    return from_document(spark, parse_document(decode(bytes(files.select("content").first()["content"]), cap)))
 
 
 def encode_gzip(document: dict) -> bytes:

@@ -118,9 +118,9 @@ def workbook_comments(content: bytes) -> Iterator[tuple[str, str, str]]:
                     yield name, c.get("ref"), _text(c).removeprefix(f"{author}:").strip()
 
 
-#: Number formats of the file format that are not written out, and the order of theme colours.
+#: Number formats of the file format that are not written out, and theme colours by number: dark before light.
 BUILTIN_FORMATS = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@"}
-THEME = ["lt1", "dk1", "lt2", "dk2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6", "hlink", "folHlink"]
+THEME = ["dk1", "lt1", "dk2", "lt2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6", "hlink", "folHlink"]
 _DRAW = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 
 
@@ -250,11 +250,14 @@ def read_comments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory(cells: DataFrame) -> DataFrame:
-    """(path, sheet, stored, non_empty, formulas, external, styles): counts of each sheet."""
+    """(path, sheet, stored, non_empty, formulas, external, styles): counts of each sheet.
+
+    A cell is not empty if a value, even an empty text, or a formula is stored, whether or not that has a result.
+    """
     return cells.groupBy("path", "sheet").agg(
         F.count(F.lit(1)).alias("stored"),
-        F.count_if(F.coalesce("value", F.lit("")) != "").alias("non_empty"),
+        F.count_if(F.col("value").isNotNull() | F.col("formula").isNotNull()).alias("non_empty"),
         F.count_if(F.col("formula").isNotNull()).alias("formulas"),
-        F.count_if(F.col("formula").contains("[")).alias("external"),
+        F.count_if(F.col("formula").contains("[") & F.col("formula").contains("]")).alias("external"),
         F.count_distinct("style").alias("styles"),
     )

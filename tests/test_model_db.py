@@ -302,8 +302,8 @@ def test_later_rules(spark):
     codes = {c for c, _ in found}
     assert {"presentation.duplicate_section", "presentation.parent_unknown", "presentation.parent_order", "presentation.id_required", "presentation.title_required", "presentation.missing", "transformation.opaque_action_required", "transformation.cycle", "relationship.component_cycle", "decision_change.value_type", "extraction_run.open_attention", "unresolved.needs_review"} <= codes
     assert ("decision_change.value_type", "change_2") not in found
-    cyclic = {o.split("/")[1] for c, o in found if c == "transformation.cycle"}
-    assert cyclic == {"metric_turnover", "metric_surplus"}
+    cyclic = {o for c, o in found if c == "transformation.cycle"}
+    assert cyclic == {"metric_surplus"}
 
 
 def test_contract(spark, db):
