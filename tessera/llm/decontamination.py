@@ -3,8 +3,8 @@
 A shard is one block of whole texts. Words of the benchmark get ids; runs of at least a window of such
 words are the only places where a window can occur, so the index is built over these runs (with separators).
 Windows are searched backwards, occurrences located, and the covered words merged into removal spans. No
-shuffle: a benchmark larger than ``BLOCK_BYTES`` is dealt into blocks, and one pass for each block adds to the
-spans that the passes before it have found.
+shuffle: a benchmark larger than ``BLOCK_BYTES`` is dealt into blocks, each searched in a job of its own whose hits,
+by text, go to the shared folder and are merged at the end; driver and tasks hold the windows of one block at a time.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import masked, unmasked
+from .common import masked, shared_path, unmasked
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -109,8 +109,9 @@ class Windows:
         run = np.searchsorted(place, at, "right") - 1
         return starts[run] + at - place[run], window
 
-    def mark(self, found: list[tuple], hashes: np.ndarray, first: np.ndarray) -> list[tuple]:
-        """(n_words, spans, items) of each text, with what earlier passes have ``found``."""
+    def mark(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple]:
+        """(n_words, spans, items) of each text."""
+        found: list[tuple] = [(int(n), [], []) for n in np.diff(first)]
         at, window = self.occurrences(hashes, first)
         if not len(at):
             return found
@@ -118,17 +119,13 @@ class Windows:
         order = np.argsort(text, kind="stable")
         hit_texts, begins = np.unique(text[order], return_index=True)
         for t, mine in zip(hit_texts.tolist(), np.split(order, begins[1:]), strict=True):
-            n, spans, items = found[t]
             change = np.zeros(int(first[t + 1] - first[t]) + 1, np.int64)
             np.add.at(change, at[mine] - first[t], 1)
             np.add.at(change, at[mine] - first[t] + self.sizes[window[mine]], -1)
-            for s in spans:
-                change[s["begin"]] += 1
-                change[s["end"]] -= 1
             hit = np.concatenate(([False], np.cumsum(change[:-1]) > 0, [False]))
             edges = np.flatnonzero(hit[1:] != hit[:-1])
             named = {self.item_ids[o] for w in np.unique(window[mine]) for o in self.owners[self.owner_first[w] : self.owner_first[w + 1]]}
-            found[t] = (n, [{"begin": int(b), "end": int(e)} for b, e in zip(edges[::2], edges[1::2], strict=True)], sorted(named | set(items)))
+            found[t] = (found[t][0], [{"begin": int(b), "end": int(e)} for b, e in zip(edges[::2], edges[1::2], strict=True)], sorted(named))
         return found
 
 
@@ -141,15 +138,36 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     kept = [c for c in docs.columns if keep_text or c != text_col]
-    out = docs
+    if n_blocks == 1:
+        return _one_pass(docs, _windows(usable, window), text_col, kept)
+    spark = docs.sparkSession
+    items, hits = shared_path(spark, "benchmark"), shared_path(spark, "hits")
+    usable.withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))).write.partitionBy("_block").parquet(items)
+    texts = docs.select(F.col(text_col).alias("_text"))
     for b in range(n_blocks):
-        # bounded by BLOCK_BYTES on average; ids are hashed into blocks
-        rows = usable.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect()
-        out = _one_pass(out, Windows(sorted((r["item_id"], r["text"]) for r in rows), window), text_col, b > 0, kept if b == n_blocks - 1 else docs.columns)
-    return out
+        found = _one_pass(texts, _windows(spark.read.parquet(items).filter(F.col("_block") == b), window), "_text", ["_text"])
+        found.filter(F.size("_found.spans") > 0).select(F.md5(F.col("_text").cast("binary")).alias("_key"), "_found.spans", "_found.items").dropDuplicates(["_key"]).write.parquet(f"{hits}/{b}")
+    each = spark.read.parquet(*(f"{hits}/{b}" for b in range(n_blocks))).groupBy("_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = each.select("_key", _merged("spans").alias("_spans"), F.col("items").alias("_items"))
+    counted = _one_pass(docs.withColumn("_key", F.md5(F.col(text_col).cast("binary"))), Windows([], window), text_col, [*kept, "_key"])
+    both = counted.join(merged, "_key", "left")
+    none = F.col("_found")
+    return both.select(*kept, F.struct(none["n_words"].alias("n_words"), F.coalesce("_spans", none["spans"]).alias("spans"), F.coalesce("_items", none["items"]).alias("items")).alias("_found"))
 
 
-def _one_pass(docs: DataFrame, windows: Windows, text_col: str, again: bool, kept: list[str]) -> DataFrame:
+def _windows(items: DataFrame, window: int) -> Windows:
+    """The windows of a block: about ``BLOCK_BYTES`` of text, as ids are hashed into blocks."""
+    return Windows(sorted((r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()), window)
+
+
+def _merged(spans: str) -> Column:
+    """Spans of words joined where they overlap or touch, in order."""
+    last = lambda done: F.element_at(done, -1)
+    longer = lambda done, s: F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last(done)["begin"].alias("begin"), F.greatest(last(done)["end"], s["end"]).alias("end"))))
+    return F.aggregate(F.array_sort(spans), F.slice(spans, 1, 0), lambda done, s: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["begin"]), longer(done, s)).otherwise(F.concat(done, F.array(s))))
+
+
+def _one_pass(docs: DataFrame, windows: Windows, text_col: str, kept: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), _SCHEMA])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +175,7 @@ def _one_pass(docs: DataFrame, windows: Windows, text_col: str, again: bool, kep
             for begin, end, buf, offs in vec.text_blocks(batch.column(text_col)):
                 part = batch.slice(begin, end - begin)
                 *_, first, hashes = _lower_words(buf, offs)
-                before = [tuple(x.values()) for x in part.column("_found").to_pylist()] if again else [(int(n), [], []) for n in np.diff(first)]
-                rows = windows.mark(before, hashes, first)
-                found = pa.array([dict(zip(("n_words", "spans", "items"), r, strict=True)) for r in rows], _FOUND)
+                found = pa.array([dict(zip(("n_words", "spans", "items"), r, strict=True)) for r in windows.mark(hashes, first)], _FOUND)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), found], [*kept, "_found"])
 
     return docs.mapInArrow(run, schema)
