@@ -360,6 +360,9 @@ _NESTED = "select l_orderkey, l_linenumber, case when not isnan(v) then round(v,
 ) + " union all select l_orderkey, l_linenumber, l_tax, null from lineitem where l_linenumber > 6)"
 
 
+_SHEET_ROWS = "(select *, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag) as n from lineitem)"
+
+
 def oracle_sql() -> dict[str, str]:
     wide = ", ".join(f"max(num) filter (period_id = '{p}') as {p}" for p in WIDE)
     quarter = "(l_quantity - 25)"
@@ -468,11 +471,15 @@ def oracle_sql() -> dict[str, str]:
         "transformation_dedup": "with c as (select 'metric_' || o_custkey % 50 as m, lower(o_orderstatus) as s, 'ref(''m'') * ' || o_orderkey % 3 as e, strftime(o_orderdate, '%Y%m') as p, '=B' || o_orderkey % 2 as f from orders), d as (select m, s, e, p, count(distinct f) > 1 as c, min(f) as f from c group by 1, 2, 3, 4) select 'transformation_' || left(sha256(m || chr(0) || s || chr(0) || e), 8) as id, m as output_metric_id, e as expression, count(*) as n_periods, bool_or(c) as conflict, string_agg(p || f, ',' order by p) as sources from d group by m, s, e",
         "context_ids": "select o_orderstatus, o_orderpriority, first, row_number() over (order by first, o_orderstatus, o_orderpriority)::INT as number from (select o_orderstatus, o_orderpriority, min(o_orderkey) as first from orders group by 1, 2)",
         "function_histogram": "select name, count(*) as n from (select unnest(regexp_extract_all(upper('=Sum(A1)+' || list_extract(['IF(B1>2,1,0)', 'sum(B2)*Round(C1,2)', 'AVERAGE.IF(A1)', '2', 'IFERROR(SUM(A2),0)', 'MAX(1,2)', 'x'], l_linenumber)), '([A-Z][A-Z0-9.]*)\\(', 1)) as name from lineitem) group by 1",
-        "workbook_inventory": "select 'book' || l_orderkey % 100 as path, 'S' || l_orderkey as sheet, count(*) * 8 as stored, count(*) * 8 - count(*) filter (l_linenumber % 3 = 0) as non_empty, count(*) * 5 as formulas, count(*) filter (l_linenumber % 5 <> 0) as external, count(distinct l_linenumber % 2) * 8 as styles from lineitem group by l_orderkey",
-        "formula_translation": """select 'book' || l_orderkey % 100 as path, 'S' || l_orderkey as sheet, upper(c) || l_linenumber as cell, 'metric_' || c as metric_id, 'period_' || l_linenumber as period_id,
-            case when c = 'd' and l_linenumber <> 4 then 'ref(''metric_b'') * 2' when c = 'e' then '(ref(''metric_c'') == 0 ? 7 : ref(''metric_b'') / ref(''metric_c''))' when c = 'f' then 'sum(ref(''metric_b''), ref(''metric_c''))' when c = 'h' then 'when(ref(''metric_b'') > 25, ref(''metric_c''), 0)' end as expression,
-            case when c = 'd' and l_linenumber <> 4 then 'metric_b' when c in ('e', 'f', 'h') then 'metric_b,metric_c' else '' end as dependencies,
-            case when c = 'g' or (c = 'd' and l_linenumber = 4) then 'syntax_or_replay' end as blocker from lineitem, (values ('d'), ('e'), ('f'), ('g'), ('h')) t(c)""",
+        "workbook_inventory": f"select 'book' || l_orderkey % 100 as path, 'S' || l_orderkey as sheet, count(*) * 8 as stored, count(*) * 8 - count(*) filter (n % 3 = 0) as non_empty, count(*) * 5 as formulas, count(*) filter (n % 5 <> 0) as external, count(distinct n % 2) * 8 as styles from {_SHEET_ROWS} group by l_orderkey",
+        "formula_translation": f"""select 'book' || l_orderkey % 100 as path, 'S' || l_orderkey as sheet, upper(c) || n as cell, 'metric_' || c as metric_id, 'period_' || n as period_id,
+            case when c = 'd' and n <> 4 then 'ref(''metric_b'') * 2' when c = 'e' then '(ref(''metric_c'') == 0 ? 7 : ref(''metric_b'') / ref(''metric_c''))' when c = 'f' then 'sum(ref(''metric_b''), ref(''metric_c''))' when c = 'h' then 'when(ref(''metric_b'') > 25, ref(''metric_c''), 0)' end as expression,
+            case when c = 'd' and n <> 4 then 'metric_b' when c in ('e', 'f', 'h') then 'metric_b,metric_c' else '' end as dependencies,
+            case when c = 'g' then 'unmapped_sheet' when c = 'd' and n = 4 then 'syntax_or_replay' end as blocker from {_SHEET_ROWS}, (values ('d'), ('e'), ('f'), ('g'), ('h')) t(c)""",
+        "formula_blockers": f"""select 'book' || l_orderkey % 100 as path, 'S' || l_orderkey as sheet, c || n as cell,
+            case when c = 'D' then 'ref(''metric_b'') * 2' when c = 'J' then 'ref(''metric_b'') * 2' when c = 'I' and ahead is null and l_quantity = 0 then '0 * 1' end as expression,
+            case when c in ('D', 'J') or (c = 'I' and ahead is null and l_quantity = 0) then null when c = 'K' then 'unmapped_sheet' when c in ('E', 'F', 'H') then 'unmapped_period' when c = 'I' and ahead is not null then 'unmapped_metric' when c = 'G' then 'unmapped_sheet' else 'syntax_or_replay' end as blocker
+            from (select *, lead(n) over (partition by l_orderkey order by n) as ahead from {_SHEET_ROWS}), (values ('D'), ('E'), ('F'), ('G'), ('H'), ('I'), ('J'), ('K')) t(c) where n % 2 = 1""",
         "shared_formula_shift": "select l_orderkey, l_linenumber, '=SUM($A$1:' || chr((66 + l_linenumber)::INT) || (2 + l_orderkey % 5) || ')&\"C3\"+' || chr((67 + l_linenumber)::INT) || '$3' as shifted from lineitem",
         "provenance_resolved": _q("select * from prov", _REVIEW),
         "unreviewed_counts": _q("select model_id, count(*) as n_unreviewed from prov join all_obs on id = target_id where review_status = 'unreviewed' group by 1", _REVIEW),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import expressions as X
@@ -405,7 +405,8 @@ def history_fold(spark, sf_dir):
 
 def workbook_cells(spark, sf_dir):
     """Cells of made workbooks: a sheet for each order, with a row for each of its lines. B holds quantities, C taxes, D to H formulas."""
-    rows = _lines(spark, sf_dir).select(F.format_string("book%d", F.col("l_orderkey") % 100).alias("path"), F.format_string("S%d", "l_orderkey").alias("sheet"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("t"), F.col("l_returnflag").alias("f"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"))
+    rows = _lines(spark, sf_dir).select(F.format_string("book%d", F.col("l_orderkey") % 100).alias("path"), F.format_string("S%d", "l_orderkey").alias("sheet"), place.alias("n"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("t"), F.col("l_returnflag").alias("f"))
     cell = lambda column, kind, value, formula=None: F.struct(F.concat(F.lit(column), "n").alias("cell"), F.lit(kind).alias("type"), F.concat(F.lit(column), F.col("n") % 2).alias("style"), value.cast("string").alias("value"), (F.lit(None).cast("string") if formula is None else F.format_string(formula, *["n"] * formula.count("%d"))).alias("formula"))
     twice = F.when(F.col("n") == 4, F.col("q")).otherwise(F.col("q") * 2)  # the fourth row was not computed anew
     cells = [cell("A", "s", F.col("f")), cell("B", "n", F.col("q")), cell("C", "n", F.col("t")), cell("D", "n", twice, "=B%d*2"), cell("E", "n", F.when(F.col("t") == 0, 7.0).otherwise(F.col("q") / F.when(F.col("t") != 0, F.col("t"))), "=IFERROR(B%d/C%d,7)"), cell("F", "n", F.col("q") + F.col("t"), "=SUM(A%d:C%d)"), cell("G", "n", F.col("q"), "=[1]Other!B%d+Z%d"), cell("H", "n", F.when(F.col("q") > 25, F.col("t")).otherwise(0.0), "=IF(B%d>25,C%d,0)")]
@@ -432,6 +433,22 @@ def formula_translation(spark, sf_dir):
     return out.select("path", "sheet", "cell", "metric_id", "period_id", "expression", F.array_join("dependencies", ",").alias("dependencies"), "blocker")
 
 
+def formula_blockers(spark, sf_dir):
+    """Formulas over a map that has the odd rows and no column A, C or Z. I reads the next row, J a literal, K another sheet."""
+    from .functions.translation import translate_cells
+
+    cells = workbook_cells(spark, sf_dir)
+    n = F.regexp_extract("cell", "([0-9]+)$", 1).cast("int")
+    own = cells.filter("cell like 'B%'").withColumn("n", n).drop("cell", "formula", "type")
+    more = lambda column, kind, value, formula: own.select("path", "sheet", F.concat(F.lit(column), "n").alias("cell"), F.lit(kind).alias("type"), "style", value.alias("value"), formula.alias("formula"))
+    value = F.col("value")
+    cells = cells.unionByName(more("I", "n", value, F.format_string("=B%d*1", F.col("n") + 1))).unionByName(more("J", "n", (value.cast("double") * 2).cast("string"), F.format_string("=B%d*A%d", "n", "n"))).unionByName(more("K", "n", value, F.format_string("=Gone!B%d", "n")))
+    mapping = cells.filter((n % 2 == 1) & ~F.substring("cell", 1, 1).isin("A", "C")).select("path", "sheet", "cell", F.concat(F.lit("metric_"), F.lower(F.substring("cell", 1, 1))).alias("metric_id"), F.concat(F.lit("period_"), n).alias("period_id"))
+    literals = cells.filter("cell like 'A%'").select("path", "sheet", "cell", F.lit("n").alias("type"), F.lit("2").alias("value"))
+    out = translate_cells(cells, mapping, literals, strict_grid=True)
+    return out.select("path", "sheet", "cell", "expression", "blocker")
+
+
 def shared_formula_shift(spark, sf_dir):
     base = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.lit("=SUM($A$1:B2)&\"C3\"+C$3").alias("formula"), (F.col("l_orderkey") % 5).cast("int").alias("rows"), F.col("l_linenumber").cast("int").alias("cols"))
     return records.shift_formulas(base, "formula", "rows", "cols", "shifted").select("l_orderkey", "l_linenumber", "shifted")

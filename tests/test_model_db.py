@@ -296,6 +296,8 @@ def test_later_rules(spark):
     d["transformations"][0] |= {"expression": "ref('metric_surplus')"}
     d["transformations"][3] |= {"status": "opaque", "expression": None}
     d["extractionRuns"][0]["status"] = "completed"
+    # the item's own provenance counts, not that of its target
+    d["provenanceRecords"].append({"targetId": next(i["id"] for i in d["unresolvedItems"] if i["status"] == "open"), "contextId": d["provenanceContexts"][0]["id"]})
     d["decisionChanges"] = [{"id": "change_1", "before": 1, "after": "x"}, {"id": "change_2", "before": 1, "after": 2}]
     d["relationships"] += [{"id": "relationship_3", "fromId": "metric_turnover", "type": "component_of", "toId": "metric_support"}]
     found = {(r["code"], r["object_id"]) for r in validate.validate(model_json.from_document(spark, d)).collect()}
