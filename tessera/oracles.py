@@ -363,6 +363,17 @@ _NESTED = "select l_orderkey, l_linenumber, case when not isnan(v) then round(v,
 _SHEET_ROWS = "(select *, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag) as n from lineitem)"
 
 
+_EXTRACTED = f"""
+with r as (select 'book' || l_orderkey % 100 as path, 'S' || l_orderkey as sheet, n, l_quantity as q, l_tax as t from {_SHEET_ROWS}),
+x as (
+  select *, lower(c) || '_' || sheet as m, case c when 'D' then 'ref(''metric_b_' || sheet || ''') * 2' when 'E' then '(ref(''metric_c_' || sheet || ''') == 0 ? 7 : ref(''metric_b_' || sheet || ''') / ref(''metric_c_' || sheet || '''))' end as e
+  from r, (values ('A'), ('B'), ('C'), ('D'), ('E'), ('F')) v(c) where c <> 'F' or n % 5 = 0),
+y as (
+  select *, case when e is not null then 'transformation_' || m || '_' || left(sha256('metric_' || m || chr(0) || 'supported' || chr(0) || e), 8) end as transformation_id,
+         case when c = 'F' or (c = 'A' and n % 3 = 0) then 'missing_source_value' when c = 'D' and n % 2 = 0 then 'missing_value' when c = 'A' then 'incompatible_value' end as state from x)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     wide = ", ".join(f"max(num) filter (period_id = '{p}') as {p}" for p in WIDE)
     quarter = "(l_quantity - 25)"
@@ -438,6 +449,9 @@ def oracle_sql() -> dict[str, str]:
         "metric_search": "select 'metric_' || p_partkey as id, p_name as name from part where contains(lower(p_name), 'widget') or contains(lower('metric_' || p_partkey), 'widget') or contains(lower(p_type), 'widget') or contains(lower(p_brand), 'widget')",
         "expr_nested": _NESTED,
         "distinct_records": "with r as (select l_returnflag, case when l_linenumber < 6 then l_linenumber end as l_linenumber, l_quantity, min(l_orderkey) as l_orderkey from lineitem group by 1, 2, 3) select *, row_number() over (order by l_orderkey, case when l_linenumber is null then '' else '{\"l_linenumber\":' || l_linenumber || ',' end || case when l_linenumber is null then '{' else '' end || '\"l_quantity\":' || l_quantity || ',\"l_returnflag\":\"' || l_returnflag || '\"}') as record from r",
+        "extracted_observations": _EXTRACTED + "select path, 'model_' || path as model_id, 'observation_' || m || '_' || n as id, 'metric_' || m as metric_id, 'period_' || n as period_id, case when n >= 3 then 'scenario_base' end as scenario_id, 'number' as kind, round(case c when 'B' then q when 'C' then t when 'D' then q * 2 else case when t = 0 then 7 else q / t end end, 6) as num, case when e is not null then 'derived' when n < 3 then 'reported' else 'assumption' end as value_type, transformation_id from y where state is null",
+        "extracted_items": _EXTRACTED + "select path, 'unresolved_' || state || '_' || m || '_' || n as id, 'source_error' as category, 'metric_' || m as target_id, sheet, c || n as cell, 'source_owner' as action_owner from y where state is not null",
+        "extracted_transformations": _EXTRACTED + "select path, transformation_id as id, 'metric_' || m as output_metric_id, 'supported' as status, e as expression, count(*)::INT as n_sources, string_agg('period_' || n, ',' order by 'period_' || n) as periods from y where state is null and e is not null group by all",
         "sum_if": _sums("coalesce(sum(v) filter (same), 0)"),
         "average_if": _sums("avg(v) filter (same)"),
         "style_roles": "select l_returnflag as role, case when l_linenumber % 2 = 0 then 'input' else 'none' end as kind, count(*) as n from lineitem group by all union all select l_returnflag, null, count(*) from lineitem group by 1",

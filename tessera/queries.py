@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .functions import scalars as S
-from .operators import graphs, hierarchy, lineage, records, review, series, validate
+from .operators import extraction, graphs, hierarchy, lineage, records, review, series, validate
 from .plans import model_db as M
 from .plans.hold import hold
 from .plans.model_db import ModelDb
@@ -449,6 +449,42 @@ def formula_blockers(spark, sf_dir):
     return out.select("path", "sheet", "cell", "expression", "blocker")
 
 
+def _extraction(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Extraction of columns A to F of the made workbooks: a metric for each sheet and column, a period for each row. A holds texts, D lacks results in even rows, F is not there."""
+    n, column = F.regexp_extract("cell", "([0-9]+)$", 1).cast("int"), F.substring("cell", 1, 1)
+    cells = workbook_cells(spark, sf_dir).filter(column.isin("A", "B", "C", "D", "E"))
+    gone = ((column == "A") & (n % 3 == 0)) | ((column == "D") & (n % 2 == 0))
+    cells = cells.withColumn("value", F.when(~gone, F.col("value")))
+    places = cells.filter("cell like 'B%'").select("path", "sheet", n.alias("n"))
+    kinds = {"A": "number", "B": "count", "C": "percentage", "D": "number", "E": "number", "F": "text"}
+    metric = lambda c: F.concat(F.lit("metric_"), F.lower(c), F.lit("_"), F.col("sheet"))
+    each = places.select("*", F.explode(F.array(*(F.lit(c) for c in kinds))).alias("c")).filter("c <> 'F' or n % 5 = 0")
+    empty = F.lit(None).cast("string")
+    paths = places.select("path").distinct()
+    m = {
+        "models": paths.select("path", F.concat(F.lit("model_"), "path").alias("model_id"), F.lit("entity_1").alias("entity_id"), F.lit("2024-01-01").alias("as_of"), F.lit("version_1").alias("version_id"), F.lit("scenario_base").alias("default_scenario_id"), F.lit("artifact_1").alias("source_id")),
+        "periods": places.select("path", "n").distinct().select("path", F.concat(F.lit("period_"), "n").alias("period_id"), empty.alias("column"), F.when(F.col("n") < 3, "actual").otherwise("estimate").alias("actuality"), F.col("n").cast("long").alias("ord")),
+        "metrics": each.select("path", "sheet", "c").distinct().select("path", metric("c").alias("metric_id"), F.element_at(F.create_map(*(F.lit(x) for k in kinds.items() for x in k)), F.col("c")).alias("data_type"), "sheet", F.lit(None).cast("long").alias("row"), empty.alias("expression"), F.ascii("c").cast("long").alias("ord")),
+        "cells": each.select("path", metric("c").alias("metric_id"), "sheet", F.concat("c", "n").alias("cell"), F.concat(F.lit("period_"), "n").alias("period_id"), F.lit(None).cast("double").alias("confidence")),
+        "headers": paths.select("path", F.lit("S0").alias("sheet"), F.lit("Z1").alias("low"), F.lit("Z1").alias("high")),
+    }
+    m = {name: hold(df) for name, df in m.items()}
+    return extraction.extract(hold(cells), m)
+
+
+def extracted_observations(spark, sf_dir):
+    return _extraction(spark, sf_dir)["observations"].select("path", "model_id", "id", "metric_id", "period_id", "scenario_id", "kind", F.round("num", 6).alias("num"), "value_type", "transformation_id")
+
+
+def extracted_items(spark, sf_dir):
+    return _extraction(spark, sf_dir)["unresolved_items"].select("path", "id", "category", "target_id", "sheet", "cell", "action_owner")
+
+
+def extracted_transformations(spark, sf_dir):
+    found = _extraction(spark, sf_dir)["transformations"]
+    return found.select("path", "id", "output_metric_id", "status", "expression", F.size("source_expressions").alias("n_sources"), F.array_join(F.map_keys("source_expressions"), ",").alias("periods"))
+
+
 def shared_formula_shift(spark, sf_dir):
     base = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.lit("=SUM($A$1:B2)&\"C3\"+C$3").alias("formula"), (F.col("l_orderkey") % 5).cast("int").alias("rows"), F.col("l_linenumber").cast("int").alias("cols"))
     return records.shift_formulas(base, "formula", "rows", "cols", "shifted").select("l_orderkey", "l_linenumber", "shifted")
