@@ -452,6 +452,14 @@ def oracle_sql() -> dict[str, str]:
         "extracted_observations": _EXTRACTED + "select path, 'model_' || path as model_id, 'observation_' || m || '_' || n as id, 'metric_' || m as metric_id, 'period_' || n as period_id, case when n >= 3 then 'scenario_base' end as scenario_id, 'number' as kind, round(case c when 'B' then q when 'C' then t when 'D' then q * 2 else case when t = 0 then 7 else q / t end end, 6) as num, case when e is not null then 'derived' when n < 3 then 'reported' else 'assumption' end as value_type, transformation_id from y where state is null",
         "extracted_items": _EXTRACTED + "select path, 'unresolved_' || state || '_' || m || '_' || n as id, 'source_error' as category, 'metric_' || m as target_id, sheet, c || n as cell, 'source_owner' as action_owner from y where state is not null",
         "extracted_transformations": _EXTRACTED + "select path, transformation_id as id, 'metric_' || m as output_metric_id, 'supported' as status, e as expression, count(*)::INT as n_sources, string_agg('period_' || n, ',' order by 'period_' || n) as periods from y where state is null and e is not null group by all",
+        "package_items": """with i as (
+            select 'package_' || user_id % 97 as path, 'item_' || event_id as id, event_id as e, event_id % 4 <> 3 as open, case when event_id % 5 < 2 then 'ACTION REQUIRED' else 'NEEDS REVIEW' end as label,
+                   event_type || ' of user ' || user_id || ' at ' || event_id as text from events),
+          l as (select path, e, '- ' || case when e % 7 = 0 then 'NOTE' else label end || ' `' || id || '`: ' || case when e % 6 = 0 then 'other' else text end as line from i where e % 10 <> 0),
+          r as (select path, string_agg(line, ' ' order by e) as report from l group by 1),
+          s as (select i.path, i.id, bool_or(contains(line, label)) as labelled from i left join l on l.path = i.path and contains(line, i.id) where open group by 1, 2)
+          select path, case when labelled is null then 'item_not_recorded' else 'item_label' end as issue, id as object_id from s where labelled is null or not labelled
+          union all select i.path, 'item_text', id || '/description' from i join r using (path) where not contains(report, text)""",
         "sum_if": _sums("coalesce(sum(v) filter (same), 0)"),
         "average_if": _sums("avg(v) filter (same)"),
         "style_roles": "select l_returnflag as role, case when l_linenumber % 2 = 0 then 'input' else 'none' end as kind, count(*) as n from lineitem group by all union all select l_returnflag, null, count(*) from lineitem group by 1",

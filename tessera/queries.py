@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .functions import scalars as S
-from .operators import extraction, graphs, hierarchy, lineage, records, review, series, validate
+from .operators import extraction, graphs, hierarchy, lineage, packages, records, review, series, validate
 from .plans import model_db as M
 from .plans.hold import hold
 from .plans.model_db import ModelDb
@@ -485,6 +485,18 @@ def extracted_transformations(spark, sf_dir):
     return found.select("path", "id", "output_metric_id", "status", "expression", F.size("source_expressions").alias("n_sources"), F.array_join(F.map_keys("source_expressions"), ",").alias("periods"))
 
 
+def package_items(spark, sf_dir):
+    """Items and reports of packages made from events: some lines, labels and texts are missing, and ids begin one another."""
+    e, user = F.col("event_id"), F.col("user_id")
+    text = lambda gap: F.concat("event_type", F.lit(f"{gap}of user "), user, F.lit(" at "), e)
+    label = F.when(e % 5 < 2, "action_required").otherwise("needs_review")
+    items = _read(spark, sf_dir, "events").select(F.concat(F.lit("package_"), user % 97).alias("path"), F.concat(F.lit("item_"), e).alias("id"), F.when(e % 4 == 3, "resolved").otherwise("open").alias("status"), label.alias("attention_level"), text(" ").alias("description"), e.alias("e"), text("  ").alias("shown"))
+    name = F.when(F.col("e") % 7 == 0, "NOTE").when(F.col("attention_level") == "action_required", "ACTION REQUIRED").otherwise("NEEDS REVIEW")
+    line = F.when(F.col("e") % 10 != 0, F.concat(F.lit("- "), name, F.lit(" `"), "id", F.lit("`: "), F.when(F.col("e") % 6 == 0, "other").otherwise(F.col("shown"))))
+    reports = items.groupBy("path").agg(F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("e", line.alias("line"))))).alias("lines")).select("path", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+    return packages.report_items(hold(reports), items.drop("e", "shown"))
+
+
 def shared_formula_shift(spark, sf_dir):
     base = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.lit("=SUM($A$1:B2)&\"C3\"+C$3").alias("formula"), (F.col("l_orderkey") % 5).cast("int").alias("rows"), F.col("l_linenumber").cast("int").alias("cols"))
     return records.shift_formulas(base, "formula", "rows", "cols", "shifted").select("l_orderkey", "l_linenumber", "shifted")
