@@ -1,16 +1,19 @@
 """XLSX workbooks as DataFrames: stored cells, shared formulas, sheets and comments.
 
-Files come through Spark's binaryFile reader, so any store will do. A task parses one workbook at a time and sends
-only cells that are stored, never a rectangle.
+Files come through Spark's binaryFile reader, so any store will do. Sheets of a workbook are dealt over tasks and parsed a row
+at a time; only cells that are stored are sent, never a rectangle, and shared texts are joined by their number.
 """
 
 from __future__ import annotations
 
+import gzip
 import io
+import itertools
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,36 +69,47 @@ def _sheets(package: zipfile.ZipFile) -> list[tuple[str, str, str]]:
     return out
 
 
-def workbook_cells(content: bytes) -> Iterator[tuple]:
-    """(sheet, cell, row, col, type, style, raw, value, formula) of the stored cells."""
-    with zipfile.ZipFile(io.BytesIO(content)) as package:
-        shared = []
-        if "xl/sharedStrings.xml" in package.namelist():
-            shared = [_text(x) for x in ET.fromstring(package.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        for name, part, _ in _sheets(package):
-            bases: dict[str, tuple[str, int, int]] = {}
-            for c in ET.fromstring(package.read(part)).iter(f"{_MAIN}c"):
-                ref = c.get("r")
-                letters, digits = re.match(r"([A-Za-z]+)(\d+)", ref).groups()
-                row, col, kind = int(digits), column_index(letters), c.get("t", "n")
-                raw = c.findtext(f"{_MAIN}v")
-                value = _text(c.find(f"{_MAIN}is")) if kind == "inlineStr" else raw
-                if kind == "s" and raw is not None:
-                    value = shared[int(raw)]
-                elif kind == "n" and raw is not None and float(raw).is_integer() and abs(float(raw)) < 2**53:
-                    value = str(int(float(raw)))
-                elif kind == "b":
-                    value = {"1": "true", "0": "false"}.get(raw, raw)
-                f, formula = c.find(f"{_MAIN}f"), None
-                if f is not None:
-                    formula = f"={f.text}" if f.text else None
-                    if f.get("t") == "shared":
-                        if f.text:
-                            bases[f.get("si")] = (formula, row, col)
-                        elif f.get("si") in bases:
-                            base, r, k = bases[f.get("si")]
-                            formula = shift_formula(base, row - r, col - k)
-                yield name, ref, row, col, kind, int(c.get("s", 0)), raw, value, formula
+def shared_texts(stream: BinaryIO) -> Iterator[str]:
+    """The shared texts of a workbook in order, read one by one."""
+    for event, x in ET.iterparse(stream, ("start", "end")):
+        if event == "start" and x.tag == f"{_MAIN}sst":
+            root = x
+        elif event == "end" and x.tag == f"{_MAIN}si":
+            yield _text(x)
+            root.clear()
+
+
+def sheet_cells(stream: BinaryIO) -> Iterator[tuple]:
+    """(cell, row, col, type, style, raw, value, formula) of a sheet, read row by row; the value of a shared text is left to the caller."""
+    bases: dict[str, tuple[str, int, int]] = {}
+    data = None
+    for event, c in ET.iterparse(stream, ("start", "end")):
+        if event == "start":
+            data = c if c.tag == f"{_MAIN}sheetData" else data
+            continue
+        if c.tag == f"{_MAIN}row":
+            data.clear()
+        if c.tag != f"{_MAIN}c":
+            continue
+        ref = c.get("r")
+        letters, digits = re.match(r"([A-Za-z]+)(\d+)", ref).groups()
+        row, col, kind = int(digits), column_index(letters), c.get("t", "n")
+        raw = c.findtext(f"{_MAIN}v")
+        value = _text(c.find(f"{_MAIN}is")) if kind == "inlineStr" else raw
+        if kind == "n" and raw is not None and float(raw).is_integer() and abs(float(raw)) < 2**53:
+            value = str(int(float(raw)))
+        elif kind == "b":
+            value = {"1": "true", "0": "false"}.get(raw, raw)
+        f, formula = c.find(f"{_MAIN}f"), None
+        if f is not None:
+            formula = f"={f.text}" if f.text else None
+            if f.get("t") == "shared":
+                if f.text:
+                    bases[f.get("si")] = (formula, row, col)
+                elif f.get("si") in bases:
+                    base, r, k = bases[f.get("si")]
+                    formula = shift_formula(base, row - r, col - k)
+        yield ref, row, col, kind, int(c.get("s", 0)), raw, value, formula
 
 
 def workbook_comments(content: bytes) -> Iterator[tuple[str, str, str]]:
@@ -228,16 +242,52 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+#: Cells or texts that are sent at once.
+_ROWS = 10_000
+
+
+def _chunks(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while part := list(itertools.islice(rows, _ROWS)):
+        yield pd.DataFrame(part, columns=columns)
+
+
 def read_cells(spark: SparkSession, path: str, sheets: list[str] | None = None) -> DataFrame:
-    """Stored cells of all workbooks of a path; only the named sheets, if given."""
+    """Stored cells of all workbooks of a path; only the named sheets, if given.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CELLS.split(", ")]
+    A first pass unpacks each workbook into its sheets, which are dealt over tasks by their names; a sheet is read row by row.
+    """
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame([(file, *c) for c in workbook_cells(content) if sheets is None or c[0] in sheets], columns=names)
+                with zipfile.ZipFile(io.BytesIO(content)) as package:
+                    for name, part, _ in _sheets(package):
+                        if sheets is None or name in sheets:
+                            packed = io.BytesIO()
+                            with package.open(part) as source, gzip.GzipFile(fileobj=packed, mode="wb", compresslevel=1) as target:
+                                while piece := source.read(1 << 20):
+                                    target.write(piece)
+                            yield pd.DataFrame([(file, name, packed.getvalue())], columns=["path", "sheet", "xml"])
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as package:
+                    if "xl/sharedStrings.xml" in package.namelist():
+                        with package.open("xl/sharedStrings.xml") as stream:
+                            yield from _chunks(((file, str(i), t) for i, t in enumerate(shared_texts(stream))), ["path", "raw", "_text"])
 
-    return _files(spark, path).mapInPandas(run, CELLS)
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in CELLS.split(", ")]
+        for pdf in batches:
+            for file, name, xml in zip(pdf["path"], pdf["sheet"], pdf["xml"], strict=True):
+                yield from _chunks(((file, name, *c) for c in sheet_cells(gzip.GzipFile(fileobj=io.BytesIO(xml)))), names)
+
+    unpacked = _files(spark, path).mapInPandas(unpack, "path string, sheet string, xml binary").repartition("path", "sheet")
+    cells = unpacked.mapInPandas(parse, CELLS)
+    shared = _files(spark, path).mapInPandas(texts, "path string, raw string, _text string").withColumn("type", F.lit("s"))
+    joined = cells.join(shared, ["path", "raw", "type"], "left")
+    return joined.withColumn("value", F.when(F.col("type") == "s", F.col("_text")).otherwise(F.col("value"))).select(*(c.split()[0] for c in CELLS.split(", ")))
 
 
 def read_comments(spark: SparkSession, path: str) -> DataFrame:
