@@ -384,8 +384,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
 
-    keyed = narrow.withColumn("row", F.xxhash64("doc_id", "text"))
-    named = keyed.filter("doc_id is not null").select("doc_id", "row", F.unhex(F.md5(F.col("text").cast("binary"))).alias("md5"))
+    # a row is known by the digest of its text and its id
+    keyed = narrow.withColumn("row", F.concat(F.unhex(F.md5(F.col("text").cast("binary"))), F.unhex(F.lpad(F.hex("doc_id"), 16, "0"))))
+    named = keyed.filter("doc_id is not null").select("doc_id", "row", F.substring("row", 1, 16).alias("md5"))
     several = named.groupBy("md5").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     copies = named.join(several, "md5").filter("doc_id > first").select(F.col("row").alias("id")).distinct()
     untouched = keyed.filter("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr(f"cast(array() as {_SPANS})").alias("spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
