@@ -2,13 +2,17 @@
 
 Tokens of a URL are its top-level domain, site, host, the words of the labels before the site, path segments (digits as ``#``),
 extension, query keys and whether it has a fragment. FP-growth finds the token sets that are frequent in labelled URLs, with
-and without the label ``bad``. A set becomes a rule if it is bad in at least ``CONFIDENCE`` percent of ``support`` or more URLs and
-lies ``DEVIATIONS`` standard deviations above the share of bad URLs; sets that hold another rule are pruned. Rules are looked up by
-an inverted index: each under its rarest token, the others compared after that.
+and without the label ``bad``; the sets of a URL double with each token, so tokens beyond the ``ITEMS`` most common ones of any URL are
+left to ``rare_rules``, which grows sets that hold one of them and loses no rule. A set becomes a rule if it is bad in at least
+``CONFIDENCE`` percent of its URLs, ``support`` or more bad ones, and lies ``DEVIATIONS`` standard deviations above the share of bad
+URLs; sets that hold another rule are pruned. Rules are looked up by an inverted index: each under its rarest token, the others
+compared after that.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +24,8 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: A rule holds for at least so many bad URLs, and this share (1 / SHARE) of the labelled ones.
 SUPPORT, SHARE = 20, 2000
 CONFIDENCE, DEVIATIONS = 60, 5
-#: Tokens of a labelled URL that are mined: those whose share of bad URLs departs most from the whole's. Bounds the sets of a URL.
+#: Tokens of a labelled URL that go to FP-growth at most, the most common ones; rules with others are found level by level. The SQL
+#: counts subsets of so many tokens alone.
 ITEMS = 10
 #: Rules and keys of URLs that are broadcast at most; more are joined by shuffle.
 BROADCAST_RULES, BROADCAST_URLS = 10_000, 100_000
@@ -76,7 +81,7 @@ def mine_rules(labelled: DataFrame, support: int = SUPPORT, share: int = SHARE,
     """(items, rarest, n, b): token sets that tell bad URLs, the rarest token of each, URLs that hold them, and bad ones among these.
 
     labelled: (url, bad). A URL counts once, as bad if any of its rows is; null URLs and labels are left out. Without enough
-    bad URLs there are no rules.
+    bad URLs there are no rules. items: what FP-growth takes of a URL; the rules are the same for any.
     """
     spark = labelled.sparkSession
     known = materialize(labelled.filter("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("bad")).withColumn("tokens", tokens(F.col("url"))), "labelled_urls")
@@ -84,26 +89,76 @@ def mine_rules(labelled: DataFrame, support: int = SUPPORT, share: int = SHARE,
     least = max(support, -(-total // share))
     if bad < least:
         return spark.createDataFrame([], _SCHEMA)
+    n, b = F.col("n"), F.col("b")
+    above = (b * total - n * bad).cast("double")
+    tells = (100 * b >= confidence * n) & (above > 0) & (above * above >= F.lit(deviations * deviations) * n.cast("double") * float(bad) * float(total - bad))
     each = known.select("url", "bad", F.explode("tokens").alias("token"))
-    frequent = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("b")).filter(F.col("b") >= least)
-    ranked = frequent.select("token", "n", (-F.abs(F.col("b") * total - F.col("n") * bad)).alias("score"))
-    kept = each.join(ranked, "token").groupBy("url").agg(F.max("bad").alias("bad"), F.array_sort(F.collect_list(F.struct("score", "token"))).alias("kept"))
-    baskets = materialize(kept.select(F.concat(F.transform(F.slice("kept", 1, items), lambda x: x["token"]), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items")), "baskets")
-    model = FPGrowth(minSupport=(least - 0.5) / max(baskets.count(), 1), itemsCol="items").fit(baskets)
+    frequent = materialize(each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("b")).filter(b >= least), "frequent_tokens")
+    baskets = _baskets(each, frequent)
+    rare = materialize(baskets.select(F.explode(F.slice("tokens", F.lit(items + 1), F.size("tokens"))).alias("token")).distinct(), "rare_tokens")
+    some = not rare.isEmpty()
+    if some:
+        baskets = _baskets(each, frequent.join(rare, "token", "left_anti"))
+    baskets = baskets.select(F.concat("tokens", F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    model = FPGrowth(minSupport=min(1.0, (least - 0.5) / max(baskets.count(), 1)), itemsCol="items").fit(baskets)
     sets = materialize(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq"), "frequent_sets")
     with_bad = sets.filter(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(F.array_remove("items", _BAD).alias("items"), F.col("freq").alias("b"))
-    rules = with_bad.join(sets.withColumnRenamed("freq", "n"), "items")
-    above = (F.col("b") * total - F.col("n") * bad).cast("double")
-    good = rules.filter((100 * F.col("b") >= confidence * F.col("n")) & (above > 0) & (above * above >= F.lit(deviations * deviations) * F.col("n").cast("double") * float(bad) * float(total - bad)))
-    good = materialize(good.select("items", "n", "b"), "url_rules")
-    # at most 2^ITEMS subsets each
-    parts = good.select("items", F.expr("explode(sequence(1, shiftleft(1, size(items)) - 1))").alias("mask")).select("items", F.expr("filter(items, (x, i) -> shiftright(mask, i) % 2 = 1)").alias("part")).filter("size(part) < size(items)")
+    good = with_bad.join(sets.withColumnRenamed("freq", "n"), "items").filter(tells).select("items", F.col("items").alias("common"), "n", "b")
+    if some:
+        good = good.unionByName(rare_rules(each, frequent, rare, tells, least))
+    good = materialize(good, "url_rules")
+    # of a rule with rare tokens, parts that hold one are no rules: at most 2^ITEMS subsets each
+    parts = good.filter(F.size("common") > 0).select("items", "common", F.expr("explode(sequence(1, shiftleft(1, size(common)) - 1))").alias("mask"))
+    parts = parts.select("items", F.expr("filter(common, (x, i) -> shiftright(mask, i) % 2 = 1)").alias("part")).filter("size(part) < size(items)")
     redundant = parts.join(good.select(F.col("items").alias("part")), "part").select("items").distinct()
     minimal = good.join(redundant, "items", "left_anti")
-    rarest = minimal.select("items", F.explode("items").alias("token")).join(frequent.select("token", F.col("n").alias("count")), "token").groupBy("items").agg(F.min_by("token", F.struct("count", "token")).alias("rarest"))
+    rarest = minimal.select("items", F.explode("items").alias("token")).join(frequent.select("token", n.alias("count")), "token").groupBy("items").agg(F.min_by("token", F.struct("count", "token")).alias("rarest"))
     return materialize(minimal.join(rarest, "items").select("items", "rarest", "n", "b"), "url_rules")
 
 
+def _baskets(each: DataFrame, kept: DataFrame) -> DataFrame:
+    """(bad, tokens) of each URL, of the tokens ``kept``, the most common first."""
+    held = each.join(kept.select("token", (-F.col("n")).alias("rank")), "token").groupBy("url")
+    return materialize(held.agg(F.max("bad").alias("bad"), F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("held")).select("bad", F.col("held.token").alias("tokens")), "baskets")
+
+
+def rare_rules(each: DataFrame, frequent: DataFrame, rare: DataFrame, tells: Column, least: int) -> DataFrame:
+    """(items, common, n, b) of the sets that hold a token of ``rare`` and pass ``tells``, without those that hold a smaller one of these.
+
+    common: the tokens of a set that are not rare. each: (url, bad, token); tells: of n and b.
+
+    Sets grow by a token at a time. One that passes is done. So is one that lies in as many good URLs as a part of it: the part lies in
+    at least as many bad ones, so it passes wherever the whole does, and the same holds with more tokens. Hence tokens that always come
+    together, or one only with another, do not multiply: only sets remain in which every token keeps out good URLs of its own.
+    """
+    good_urls = F.col("n") - F.col("b")
+    going_on = ~tells & (good_urls > 0)
+    numbered = frequent.join(rare.withColumn("rare", F.lit(True)), "token", "left").withColumn("id", F.monotonically_increasing_id())
+    # rare tokens have ids below zero, so that the first of a sorted set is rare
+    numbered = materialize(numbered.select("token", "n", "b", F.when(F.col("rare"), -1 - F.col("id")).otherwise(F.col("id")).alias("id")), "numbered_tokens")
+    urls = each.join(numbered.filter(going_on).select("token", "id"), "token").groupBy("url").agg(F.max("bad").alias("bad"), F.sort_array(F.collect_list("id")).alias("ids"))
+    urls = materialize(urls.filter(F.col("ids")[0] < 0).select("bad", "ids"), "rare_baskets")
+    # a row for each set in each URL, with the tokens that may follow
+    longer = urls.select("bad", "ids", F.explode(F.filter("ids", lambda x: x < 0)).alias("id")).select("bad", F.filter("ids", lambda x: x > F.col("id")).alias("ids"), F.array("id").alias("items"))
+    sets = numbered.filter("id < 0").select(F.array("id").alias("items"), "n", "b")
+    found = [sets.filter(tells)]
+    while going := (grown := sets.filter(going_on)).limit(BROADCAST_RULES + 1).count():
+        items = grown.select("items")
+        held = longer.join(F.broadcast(items) if going <= BROADCAST_RULES else items, "items", "left_semi").select("bad", "ids", "items")
+        # single tokens are not written: all that may follow each of them grows with the square of a URL's tokens
+        held = held if len(found) == 1 else materialize(held, "held_sets")
+        longer = held.select("bad", "ids", "items", F.explode("ids").alias("id")).select("bad", F.filter("ids", lambda x: x > F.col("id")).alias("ids"), F.concat("items", F.array("id")).alias("items"))
+        counted = longer.groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("b")).filter(F.col("b") >= least)
+        parts = counted.select("items", "n", "b", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part")).filter(F.col("part")[0] < 0)
+        parts = parts.join(grown.select(F.col("items").alias("part"), good_urls.alias("in_part")), "part", "left")
+        wider = F.coalesce(F.col("in_part") > good_urls, F.lit(False))
+        sets = materialize(parts.groupBy("items", "n", "b").agg(F.bool_and(wider).alias("whole")).filter("whole").drop("whole"), "grown_sets")
+        found.append(sets.filter(tells))
+    named = reduce(DataFrame.unionByName, found).select("items", "n", "b", F.explode("items").alias("id")).join(numbered.select("id", "token"), "id")
+    named = named.groupBy("items", "n", "b").agg(F.sort_array(F.collect_list("token")).alias("all"), F.sort_array(F.collect_list(F.when(F.col("id") >= 0, F.col("token")))).alias("common"))
+    return named.select(F.col("all").alias("items"), "common", "n", "b")
+
+
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, mined) of the URLs that a rule matches: distinct, with the least rule that does, its tokens joined by ``+``."""
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
@@ -150,7 +205,11 @@ def report(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same verdicts in SQL: all subsets of each labelled URL's mined tokens are counted in place of FP-growth."""
+    """The same verdicts in SQL: all subsets of each labelled URL's tokens are counted in place of FP-growth.
+
+    It counts subsets of ``ITEMS`` tokens of a URL, as they double with each token; the operator has no such bound. Both agree
+    where no labelled URL has more frequent tokens.
+    """
     ordered = sorted(reversed(RULES), key=lambda r: -len(r[1] + r[2]))
     fits = [(what, name + start, f"ends_with('.' || host, '.{name}') and starts_with(path, '{start}')") for what, name, start in ordered]
     rule = "case " + " ".join(f"when {test} then '{text}'" for _, text, test in fits) + " end"

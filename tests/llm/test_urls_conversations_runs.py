@@ -91,6 +91,57 @@ def test_pages_are_filtered_with_all_columns(spark):
     assert sorted(repr(r["page_id"]) for r in kept.collect()) == sorted(repr(r["page_id"]) for r in allowed.collect())
 
 
+def make_wide_pages():
+    """URLs of up to 15 frequent tokens, bad where two of them come together or neither does (no sign alone), or few others are there (a weak sign)."""
+    rng = random.Random(11)
+    pages, labels = [], []
+    for i in range(400):
+        here = {k for k in "abcdefghi" if rng.random() < (0.5 if k in "be" else 0.8)}
+        pages.append((i, f"http://{rng.choice('vw')}.wide.org/{i}/{'/'.join(f's-{k}' for k in sorted(here))}?k=1", "x"))
+        labels.append((i, 1, int((("b" in here) == ("e" in here)) or (len(here - {*"be"}) < 6 and rng.random() < 0.6))))
+    return pages, labels
+
+
+def test_url_rules_of_urls_with_many_tokens_match_sql(spark, monkeypatch):
+    pages, labels = make_wide_pages()
+    frames = {"pages": pd.DataFrame(pages, columns=["page_id", "url", "html"]), "labels": pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"])}
+    df, marks = spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = rows_of(url_rules.report(df, marks))
+    monkeypatch.setattr(url_rules, "ITEMS", 20)  # of the SQL alone: what the operator gives to FP-growth is bound above
+    whole = url_rules.oracle()
+    assert "r <= 20" in whole and got == rows_sql(whole, **frames)
+    assert any(row[1] == "path:s-b+path:s-e" for row in got)
+
+
+def test_url_rules_do_not_depend_on_what_fp_growth_takes(spark, monkeypatch):
+    pages, labels = make_pages()
+    df, marks = spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    labelled = url_rules.document_labels(df, marks)
+    loose = {"support": 5, "confidence": 30, "deviations": 2.0}
+    want = rows_of(url_rules.mine_rules(labelled, **loose))
+    assert len(want) > 1
+    for items, broadcast in ((0, 10_000), (3, 1)):
+        monkeypatch.setattr(url_rules, "BROADCAST_RULES", broadcast)
+        assert rows_of(url_rules.mine_rules(labelled, items=items, **loose)) == want
+
+
+def test_url_rules_without_frequent_tokens(spark):
+    labelled = spark.createDataFrame([(f"http://h{i}", True) for i in range(30)] + [(f"g{i}", False) for i in range(5)], "url string, bad boolean")
+    assert [r["items"] for r in url_rules.mine_rules(labelled).collect()] == []
+
+
+def test_url_rules_of_tokens_that_come_together_do_not_multiply(spark):
+    deep = "/".join(f"d{k}x" for k in "abcdefghijklmnopqrstuvwxyz")  # 26 segments in the same URLs
+    nested = [f"/n{'/n'.join('abcdefghijklmnopqrstuvwxyz'[: 1 + i % 26])}" for i in range(520)]  # each segment only with those before it
+    urls = [(f"http://w.deep.org/{deep}/{i}{'/sale' if i % 2 else ''}", i % 2 == 1) for i in range(120)]
+    urls += [(f"http://w.nest.org{path}/{i}{'/sale' if i % 7 == 0 else ''}", i % 7 == 0 and i % 3 > 0) for i, path in enumerate(nested)]
+    urls += [(f"http://w.plain.org/{i}/sale", False) for i in range(120)]
+    found = {tuple(r["items"]): (r["n"], r["b"]) for r in url_rules.mine_rules(spark.createDataFrame(urls, "url string, bad boolean")).collect()}
+    alike = [f"path:d{k}x" for k in "abcdefghijklmnopqrstuvwxyz"] + ["host:w.deep.org", "site:deep.org"]
+    assert {items for items in found if set(items) & set(alike)} == {tuple(sorted((x, "path:sale"))) for x in alike}
+    assert all(found[tuple(sorted((x, "path:sale")))] == (60, 60) for x in alike)
+
+
 # Conversation repair
 
 
