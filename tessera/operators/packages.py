@@ -6,16 +6,20 @@ row, at most as large as a document may be.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.hold import hold as held
+
 #: The sections of a report, in order.
 SECTIONS = ["Inputs and hashes", "Inventory", "Object counts", "Table presentation", "Actual / estimate boundary", "Formula coverage", "Workbook quality audit", "Unresolved mappings", "Missing lineage", "Validator result", "Questions and next actions"]
 #: The label of each attention level, and fields of an item that a report must hold.
 LABELS = {"action_required": "ACTION REQUIRED", "needs_review": "NEEDS REVIEW"}
 FIELDS = ["description", "current_treatment", "impact", "next_action"]
-#: Letters of the pieces by which ids and lines meet.
-GRAM = 4
+#: Letters by which the beginning of a value is known, and of the pieces in which beginnings are looked for.
+GRAM, CELL = 4, 64
 _LOCAL = r"(?i:file:)//|/(?:home|root|Users)/|(?m:(?:^|[\s\"'`])[A-Za-z]:[\\/])"
 
 
@@ -55,26 +59,35 @@ def report_form(reports: DataFrame, command: str = r"check-extraction(\s|`|$)")
     return found.unionByName(_issue(there.filter((F.col("name") == "Validator result") & ~F.col("content").rlike(command)), "no_command", "name"))
 
 
-def _grams(c: str, size: Column) -> Column:
-    """Distinct pieces of ``size`` letters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, size)))
+def _cut(text: str, size: Column, over: Column) -> Column:
+    """Pieces of ``size`` letters, each with the first ``over`` letters of the next one."""
+    pieces = F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), size, F.lit("}")), F.lit(0))
+    # as the variable of a lambda the pieces are cut once, not once for each of them
+    return F.transform(F.array(pieces), lambda p: F.transform(p, lambda x, i: F.concat(x, F.coalesce(F.substr(F.get(p, i + 1), F.lit(1), over), F.lit("")))))[0]
 
 
-def lines_of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(path, id, line, text): the lines (path, line, text) that hold an id (path, id) of their package, anywhere in them.
+def occurrences(texts: DataFrame, wanted: DataFrame, flags: Collection[str] = ()) -> DataFrame:
+    """(path, value, and ``flags``): values (path, value) that a text (path, no, text, and flags) of their package holds, anywhere in it, and whether such a text has a flag.
 
-    An id is looked up by the rarest of its pieces of ``GRAM`` letters (all of it, if it is shorter), so that the beginnings that ids share
-    bring no pairs; what is found is compared in full.
+    Places where any value can begin, by its first ``GRAM`` letters, are found on short pieces of the texts. From each, the lengths of the values
+    that begin so are cut and joined to the values as a whole. Work grows with the texts and the lengths, not with values times texts,
+    however much the values are alike.
     """
-    sized = ids.select("path", "id").distinct().filter(F.length("id") > 0).withColumn("size", F.least(F.length("id"), F.lit(GRAM)))
-    sizes = sized.select("path", "size").distinct()
-    pieces = lines.join(sizes, "path").withColumn("gram", F.explode(_grams("text", F.col("size")))).filter(F.length("gram") == F.col("size")).select("path", "line", "gram")
-    often = pieces.groupBy("path", "gram").agg(F.count(F.lit(1)).alias("n"))
-    keys = sized.withColumn("gram", F.explode(_grams("id", F.col("size")))).join(often, ["path", "gram"], "left")
-    # a piece that no line has says that no line has the id
-    rarest = keys.groupBy("path", "id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    near = rarest.join(pieces, ["path", "gram"]).select("path", "id", "line")
-    return near.join(lines, ["path", "line"]).filter(F.contains("text", "id")).select("path", "id", "line", "text")
+    wanted = wanted.filter(F.length("value") > 0).select("path", "value").distinct()
+    heads = held(wanted.groupBy("path", F.least(F.length("value"), F.lit(GRAM)).alias("size"), F.substring("value", 1, GRAM).alias("head")).agg(F.collect_set(F.length("value")).alias("lengths")))
+    spans = held(heads.groupBy("path").agg(F.greatest(F.max(F.array_max("lengths")), F.lit(CELL)).alias("span"), F.collect_set("size").alias("sizes"), F.array_join(F.collect_set(F.substring("head", 1, 1)), "").alias("firsts")))
+    sized = texts.join(spans, "path")
+    cells = sized.select("path", "no", "span", "sizes", "firsts", F.posexplode(_cut("text", F.lit(CELL), F.lit(GRAM - 1))).alias("cell", "piece")).withColumn("size", F.explode("sizes"))
+    letters = F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(CELL)))
+    places = cells.select("*", F.explode(F.filter(letters, lambda i: F.contains("firsts", F.substr("piece", i, F.lit(1))))).alias("i"))
+    begun = places.select("path", "no", "span", "size", F.substr("piece", F.col("i"), F.col("size")).alias("head"), (F.col("cell").cast("long") * CELL + F.col("i") - 1).alias("at"))
+    hits = begun.join(heads, ["path", "size", "head"]).select("path", "no", F.floor(F.col("at") / F.col("span")).cast("int").alias("block"), (F.col("at") % F.col("span") + 1).cast("int").alias("start"), "lengths")
+    blocks = sized.select("path", "no", *flags, F.posexplode(_cut("text", F.col("span"), F.col("span"))).alias("block", "piece"))
+    cuts = hits.join(blocks, ["path", "no", "block"]).select("path", *flags, "piece", "start", F.explode("lengths").alias("n"))
+    # a piece that ends early is shorter than any value of that length
+    found = cuts.filter(F.col("start") + F.col("n") <= F.length("piece") + 1).select("path", F.substr("piece", F.col("start"), F.col("n")).alias("value"), *flags)
+    once = found.groupBy("path", "value").agg(*(F.max(f).alias(f) for f in flags)) if flags else found.distinct()
+    return once.join(wanted, ["path", "value"], "left_semi")
 
 
 def report_items(reports: DataFrame, items: DataFrame) -> DataFrame:
@@ -84,14 +97,17 @@ def report_items(reports: DataFrame, items: DataFrame) -> DataFrame:
     """
     said = items.filter("id is not null").join(reports.select("path").distinct(), "path", "left_semi")
     opened = said.filter("status = 'open'").select("path", "id", F.when(F.col("attention_level") == "action_required", LABELS["action_required"]).otherwise(LABELS["needs_review"]).alias("label")).distinct()
-    lines = lines_of_ids(report_lines(reports), opened).join(opened, ["path", "id"]).groupBy("path", "id").agg(F.max(F.contains("text", "label")).alias("labelled"))
-    seen = opened.join(lines, ["path", "id"], "left")
+    lines = report_lines(reports).select("path", F.col("line").alias("no"), "text", *(F.contains("text", F.lit(label)).alias(level) for level, label in LABELS.items()))
+    there = occurrences(lines, opened.select("path", F.col("id").alias("value")), LABELS).withColumnRenamed("value", "id")
+    labelled = F.coalesce(*(F.when(F.col("label") == label, F.col(level)) for level, label in LABELS.items()))
+    seen = opened.join(there, ["path", "id"], "left").select("path", "id", labelled.alias("labelled"))
     found = _issue(seen.filter("labelled is null"), "item_not_recorded", "id").unionByName(_issue(seen.filter("not labelled"), "item_label", "id"))
     fields = [f for f in FIELDS if f in items.columns]
     if not fields:
         return found
     texts = said.select("path", "id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), normalized(f).alias("value")) for f in fields))).alias("x")).select("path", "id", "x.*").filter("value <> ''")
-    lost = texts.join(reports.select("path", normalized("text").alias("_text")), "path").filter(~F.contains("_text", "value"))
+    whole = reports.filter("text is not null").select("path", F.lit(0).alias("no"), normalized("text").alias("text"))
+    lost = texts.join(whole.select("path").distinct(), "path", "left_semi").join(occurrences(whole, texts), ["path", "value"], "left_anti")
     return found.unionByName(_issue(lost, "item_text", F.concat_ws("/", "id", "field")))
 
 

@@ -47,6 +47,24 @@ def test_items_of_reports_match_plain_checks(spark):
     assert packages.report_items(spark.createDataFrame([], "path string, text string"), frame).count() == 0
 
 
+def test_values_are_found_anywhere_in_long_and_alike_texts(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["ab", "abab", "b", "\U0001f600a", "a b", "."])
+    texts = [(f"p{k % 3}", k, "".join(word() for _ in range(rng.choice([0, 3, 40, 400]))), k % 4 == 0) for k in range(24)]
+    values = {(f"p{k % 3}", "".join(word() for _ in range(1 + k % 5))) for k in range(200)}
+    values |= {(path, text[at : at + size]) for path, _, text, _ in texts for at, size in ((0, 1), (7, 3), (61, 4), (62, 70), (100, 300), (0, len(text))) if text[at : at + size]}
+    values |= {(path, value + "!") for path, value in list(values)[:50]} | {("none", "ab"), ("p0", "x" * 500)}
+    want = {(path, v, any(flag for p, _, t, flag in texts if p == path and v in t)) for path, v in values if any(p == path and v in t for p, _, t, _ in texts)}
+    found = packages.occurrences(spark.createDataFrame(texts, "path string, no int, text string, marked boolean"), spark.createDataFrame(list(values), "path string, value string"), ["marked"])
+    assert {tuple(r) for r in found.collect()} == want and len({x[2] for x in want}) == 2 and len(want) < len(values)
+
+
+def test_no_value_is_compared_with_a_whole_report(spark):
+    items = spark.createDataFrame([("p", "u1", "open", "needs_review", "a text")], "path string, id string, status string, attention_level string, description string")
+    plan = packages.report_items(spark.createDataFrame([("p", "# x")], "path string, text string"), items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(_text" not in plan and not re.search(r"Contains\(text#\d+, id#", plan)
+
+
 def test_form_of_reports(spark):
     rng = random.Random(1)
     good = make_report(rng, [])
