@@ -5,8 +5,9 @@ A diagnostic is (code, object_id, field). References are anti-joins, duplicates
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ from .graphs import formula_strata, shortest_cycles, small_cycles, strong_compon
 from .hierarchy import parent_cycles, parent_issues
 from .lineage import transformation_refs
 
+#: References up to which a graph of metrics is looked through on the driver.
+SMALL = 10_000
+
 
 def _found(df: DataFrame, code: str, field: str, object_id: str | Column = "id") -> DataFrame:
     return df.select(F.lit(code).alias("code"), (F.col(object_id) if isinstance(object_id, str) else object_id).alias("object_id"), F.lit(field).alias("field"))
@@ -308,34 +312,66 @@ def formula_edges(db: ModelDb, table: DataFrame) -> DataFrame:
     return placed.select("model_id", "from_metric", "from_period", "to_metric", F.coalesce("named", moved).alias("to_period")).filter("to_period is not null").distinct()
 
 
+def _read_metrics(db: ModelDb) -> DataFrame:
+    """(transformation_id, from_metric, to_metric, offset, named): the references of each supported formula, parsed in tasks."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, metrics, texts = (batch.column(c).to_pylist() for c in ("id", "output_metric_id", "expression"))
+            rows = [(name, metric, r.metric_id, r.offset, r.period_id) for name, metric, text in zip(names, metrics, texts, strict=True) for r in expressions.analyze(text or "").references]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["transformation_id", "from_metric", "to_metric", "offset", "named"])
+
+    formulas = db.transformations.filter("status = 'supported' and output_metric_id is not null").select("id", "output_metric_id", "expression")
+    return formulas.repartition("id").mapInArrow(parse, "transformation_id string, from_metric string, to_metric string, offset int, named string")
+
+
+def _metric_cycles(reads: DataFrame, hold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(metric_id, path) of the cycles of a graph of metrics; up to ``SMALL`` references it is looked through on the driver, else as tables."""
+    edges = hold(reads.select(F.col("from_metric").alias("a"), F.col("to_metric").alias("b")).distinct())
+    if edges.count() <= SMALL:
+        graph: dict[str, list[str]] = {}
+        for r in edges.collect():
+            graph.setdefault(r["a"], []).append(r["b"])
+        return edges.sparkSession.createDataFrame([(path[0], " -> ".join(path)) for path in small_cycles(graph)], "metric_id string, path string")
+    paths = shortest_cycles(edges, strong_components(edges, hold), hold)
+    return paths.select(F.col("path")[0].alias("metric_id"), F.array_join("path", " -> ").alias("path"))
+
+
+def _loose(reads: DataFrame, hold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``reads`` among metrics of whose formulas only cells tell what comes first, as ``formula_strata`` has it."""
+    if reads.count() <= SMALL:
+        graph: dict[str, list[tuple[str, int, bool]]] = {}
+        for r in reads.collect():
+            graph.setdefault(r["from_metric"], []).append((r["to_metric"], r["offset"], r["named"] is not None))
+            graph.setdefault(r["to_metric"], [])
+        loose = reads.sparkSession.createDataFrame([(m,) for m, (_, mode, _) in formula_strata(graph).items() if mode == "cells"], "id string")
+    else:
+        edges = lambda df: df.select(F.col("from_metric").alias("a"), F.col("to_metric").alias("b"))
+        found = hold(strong_components(edges(reads), hold))
+        of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+        inner = hold(reads.join(of("from_metric"), "from_metric").join(of("to_metric"), "to_metric").filter("of_from_metric = of_to_metric"))
+        both = inner.groupBy(F.col("of_from_metric").alias("component")).agg(F.max(F.col("named").isNotNull()).alias("named"), F.countDistinct(F.when(F.col("offset") != 0, F.col("offset") > 0)).alias("signs")).filter("named or signs <> 1").select("component")
+        still = strong_components(edges(inner.filter("offset = 0 and named is null")), hold).select("id").join(found, "id").select("component")
+        loose = hold(found.join(both.unionByName(still).distinct(), "component", "left_semi").select("id"))
+    kept = lambda c: loose.select(F.col("id").alias(c))
+    return reads.join(kept("from_metric"), "from_metric", "left_semi").join(kept("to_metric"), "to_metric", "left_semi")
+
+
 def formula_cycles(db: ModelDb, hold: Callable[[DataFrame], DataFrame] = held) -> DataFrame:
     """(model_id, metric_id, path): a shortest cycle of each strong component of the formulas' cells, as ``metric[period] -> ...``.
 
-    Formulas without an output are nodes of their metrics, without periods; their graph and that of the formulas' metrics are as small
-    as the formulas and are looked through on the driver. Cells are looked at only where metrics refer to each other in one period, by
-    named periods or both ways in time; all others are in the order of their periods.
+    Formulas are parsed in tasks. Those without an output are nodes of their metrics, without periods. Cells are looked at only where metrics refer to
+    each other in one period, by named periods or both ways in time; all others are in the order of their periods.
     """
-    spark = db.observations.sparkSession
-    formulas = [(r["id"], r["output_metric_id"], expressions.analyze(r["expression"] or "")) for r in db.transformations.filter("status = 'supported'").select("id", "output_metric_id", "expression").collect()]
-    used = {r[0] for r in db.observations.select("transformation_id").filter("transformation_id is not null").distinct().collect()}
-    bare: dict[str, list[str]] = {}
-    reads: dict[str, list[tuple[str, int, bool]]] = {}
-    for name, metric, found in formulas:
-        if name in used:
-            reads.setdefault(metric, []).extend((r.metric_id, r.offset, r.period_id is not None) for r in found.references)
-        else:
-            bare.setdefault(metric, []).extend(found.dependencies)
-    rows = [(None, path[0], " -> ".join(path)) for path in small_cycles(bare)]
-    out = spark.createDataFrame(rows, "model_id string, metric_id string, path string")
-    for refs in list(reads.values()):
-        for metric, _, _ in refs:
-            reads.setdefault(metric, [])
-    strata = formula_strata(reads)
-    loose = {m for m, (_, mode, _) in strata.items() if mode == "cells"}
-    refs = [(name, metric, r.metric_id, r.offset, r.period_id) for name, metric, found in formulas if name in used and metric in loose for r in found.references if r.metric_id in loose]
-    if not refs:
+    refs = hold(_read_metrics(db))
+    used = db.observations.select("transformation_id").filter("transformation_id is not null").distinct()
+    bare = _metric_cycles(refs.join(used, "transformation_id", "left_anti"), hold)
+    out = bare.select(F.lit(None).cast("string").alias("model_id"), "metric_id", "path")
+    table = hold(_loose(hold(refs.join(used, "transformation_id", "left_semi")), hold))
+    if table.isEmpty():
         return out
-    table = spark.createDataFrame(refs, "transformation_id string, from_metric string, to_metric string, offset int, named string")
     cell = lambda a: F.struct("model_id", F.col(f"{a}_metric").alias("metric_id"), F.col(f"{a}_period").alias("period_id"))
     edges = hold(formula_edges(db, table).select(cell("from").alias("a"), cell("to").alias("b")))
     paths = shortest_cycles(edges, strong_components(edges, hold), hold)
